@@ -225,7 +225,7 @@ def _sel(cols, src: str, keep=()) -> str:
 
 def _crosstab(key: str, src: str, where: str = "") -> str:
     w = f"WHERE {key} IS NOT NULL" + (f" AND {where}" if where else "")
-    return (f"SELECT {key}, count(*) FILTER (WHERE target = 0) AS natural, count(*) FILTER (WHERE target = 1) AS human "
+    return (f"SELECT {key}, count(*) FILTER (WHERE target = 0) AS \"natural\", count(*) FILTER (WHERE target = 1) AS human "
             f"FROM {src} {w} GROUP BY {key}")
 
 
@@ -234,8 +234,8 @@ _CLEAN_T = (f"(SELECT *, cast(isodow({_DATE}) - 1 AS int) AS dow, cast(floor(yr
 
 
 def _pct(key: str, tab: str, order: bool) -> str:
-    s = (f"SELECT {key}, {R('natural * 100e0 / (natural + human)')} AS natural_pct, "
-         f"{R('human * 100e0 / (natural + human)')} AS human_pct FROM ({tab})")
+    s = (f"SELECT {key}, {R('"natural" * 100e0 / ("natural" + human)')} AS natural_pct, "
+         f"{R('human * 100e0 / ("natural" + human)')} AS human_pct FROM ({tab})")
     return s
 
 
@@ -266,8 +266,10 @@ def _corr() -> str:
     parts = []
     for i, a in enumerate(cols):
         for b in cols[: i + 1]:
-            val = "1e0" if a == b else R(f"corr({a}, {b})")
-            parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {val} AS corr FROM cc")
+            if a == b:
+                parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, 1e0 AS corr")
+            else:
+                parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {R(f'corr({a}, {b})')} AS corr FROM cc")
     return with_("model_raw") + f", cc AS (SELECT * FROM model_raw WHERE {drop})\n" + " UNION ALL ".join(parts)
 
 
@@ -458,7 +460,7 @@ FROM clean c LEFT JOIN prov_dict p ON c.agency = p.agency LEFT JOIN d2 ON coales
                  'bulk://climate/daily?format=csv&stationID=' || station_id || '&Year=' || year
                  || '&Month=1&Day=1&timeframe=2' AS url FROM yrs)
 , ex AS (SELECT 'climate_daily_' || l.name || '_' || e.yr || '.csv' AS file_name, e.size
-         FROM (SELECT l_suppkey, cast(year(l_shipdate) AS int) AS yr, count(*) FILTER (WHERE l_returnflag = 'R') AS size
+         FROM (SELECT l_suppkey, cast(year(l_shipdate) AS int) AS yr, count(*) FILTER (WHERE l_quantity >= 50) AS size
                FROM lineitem GROUP BY 1, 2) e JOIN station_list l ON l.station_id = e.l_suppkey)
 SELECT station_id, name, year, file_name, url FROM man
 WHERE file_name NOT IN (SELECT file_name FROM ex WHERE size > 0)"""

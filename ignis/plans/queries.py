@@ -108,11 +108,11 @@ def q_station_geo(spark, sf):
 
 def _existing_files(spark, sf):
     """Already fetched files: one per supplier x ship year; size = returned items
-    (0 = an empty file, which is fetched again)."""
+    (0 = an empty file, which is fetched again); size = items shipped at the maximum quantity."""
     li = fx.table(spark, sf, "lineitem")
     st = STN.filter_stations(STN.catalogue_fixture(spark, sf), *STATION_PERIOD)
     per = li.groupBy(F.col("l_suppkey").alias("STATION_ID"), F.year("l_shipdate").alias("year")).agg(
-        F.count_if(F.col("l_returnflag") == "R").alias("size"))
+        F.count_if(F.col("l_quantity") >= 50).alias("size"))
     return per.join(st.select("STATION_ID", "NAME"), "STATION_ID").select(
         F.format_string("climate_daily_%s_%d.csv", F.col("NAME"), F.col("year")).alias("file_name"), "size")
 
