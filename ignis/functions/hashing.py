@@ -1,9 +1,12 @@
 """A seeded integer hash that any SQL engine can replay bit for bit.
 
 ``xxhash64`` cannot be replayed outside Spark, so sampling, splits and
-resampling use this small non-linear mixer over BIGINT arithmetic.  Every
-intermediate product stays below 2**62, so it never overflows under ANSI mode,
-whatever the size of the ids.
+resampling use this small mixer: a linear step modulo the Mersenne prime
+2**31 - 1, then the fractional part of a square root (IEEE ``sqrt`` is
+correctly rounded, so every engine gets the same bits), twice.  Each stage
+reads the previous one exactly once, so the expression stays small wherever
+the optimizer inlines it, and every product stays below 2**62 (no overflow
+under ANSI mode, whatever the size of the ids).  Output range: [0, 2**31).
 """
 
 from __future__ import annotations
@@ -11,39 +14,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the mixer (modulus is the Mersenne prime 2**31 - 1).
-P = 2147483647
+# Fixed values of the mixer.
+P = 2147483647          # modulus of the linear steps (2**31 - 1)
+RANGE = 2147483648      # output range (2**31)
 A1, B1, S1 = 1103515245, 12345, 40503
-C2 = 1013904223
 A3, B3 = 48271, 2654435
 
 
+def _frac_sqrt(h: Column) -> Column:
+    s = F.sqrt(h.cast("double") + F.lit(0.5))
+    return F.floor((s - F.floor(s)) * F.lit(float(RANGE))).cast("long")
+
+
 def mix_col(x, seed=0) -> Column:
-    """Uniform-ish integer in [0, P) from an integer column and a seed (int or Column)."""
+    """Pseudo-random integer in [0, 2**31) from an integer column and a seed (int or Column)."""
     xc = F.col(x) if isinstance(x, str) else x
     sc = F.lit(int(seed)) if isinstance(seed, int) else seed
-    h = F.pmod(xc.cast("long"), F.lit(P))
-    h = F.pmod(h * F.lit(A1) + F.pmod(sc.cast("long"), F.lit(P)) * F.lit(S1) + F.lit(B1), F.lit(P))
-    h = F.pmod(h * h + F.lit(C2), F.lit(P))
+    h = F.pmod(F.pmod(xc.cast("long"), F.lit(P)) * F.lit(A1)
+               + F.pmod(sc.cast("long"), F.lit(P)) * F.lit(S1) + F.lit(B1), F.lit(P))
+    h = _frac_sqrt(h)
     h = F.pmod(h * F.lit(A3) + F.lit(B3), F.lit(P))
-    h = F.pmod(h * h + F.lit(C2), F.lit(P))
-    return h
+    return _frac_sqrt(h)
+
+
+def _frac_sqrt_sql(h: str) -> str:
+    return (f"cast(floor((sqrt(cast({h} AS double) + 0.5e0) - floor(sqrt(cast({h} AS double) + 0.5e0)))"
+            f" * {float(RANGE)!r}) AS bigint)")
 
 
 def mix_sql(x: str, seed: str | int = 0) -> str:
-    h = f"(cast({x} as bigint) % {P} + {P}) % {P}"
-    s = f"((cast({seed} as bigint) % {P} + {P}) % {P})"
-    h = f"(({h}) * {A1} + {s} * {S1} + {B1}) % {P}"
-    h = f"(({h}) * ({h}) + {C2}) % {P}"
+    h = (f"(((cast({x} AS bigint) % {P} + {P}) % {P}) * {A1} "
+         f"+ ((cast({seed} AS bigint) % {P} + {P}) % {P}) * {S1} + {B1}) % {P}")
+    h = _frac_sqrt_sql(h)
     h = f"(({h}) * {A3} + {B3}) % {P}"
-    h = f"(({h}) * ({h}) + {C2}) % {P}"
-    return h
+    return _frac_sqrt_sql(h)
+
+
+def with_mix(df, out: str, x, seed=0):
+    """``df`` plus column ``out`` = ``mix_col(x, seed)``."""
+    return df.withColumn(out, mix_col(x, seed))
 
 
 def uniform_col(x, seed=0) -> Column:
     """Pseudo-uniform double in [0, 1)."""
-    return mix_col(x, seed) / F.lit(float(P))
+    return mix_col(x, seed) / F.lit(float(RANGE))
 
 
 def uniform_sql(x: str, seed: str | int = 0) -> str:
-    return f"(({mix_sql(x, seed)}) / {float(P)!r})"
+    return f"(({mix_sql(x, seed)}) / {float(RANGE)!r})"

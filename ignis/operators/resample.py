@@ -15,20 +15,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ignis.functions.hashing import P as HASH_RANGE
-from ignis.functions.hashing import mix_col
+from ignis.functions.hashing import RANGE as HASH_RANGE
+from ignis.functions.hashing import mix_col, with_mix
 from ignis.operators.metrics import metrics_from_counts, ranking_metrics
 from ignis.operators.prefix import prefix_sums, rank_rows
 
-HASH_BUCKETS = 4096
+def n_buckets_for(group_size: int, rows_per_bucket: int = 64) -> int:
+    """Power-of-two bucket count so a bucket holds ~``rows_per_bucket`` rows."""
+    b = 16
+    while b < 1 << 20 and group_size / b > rows_per_bucket:
+        b <<= 1
+    return b
 
 
-def _bucket(h) -> F.Column:
-    return (h * F.lit(HASH_BUCKETS) / F.lit(HASH_RANGE)).cast("long")
+def _bucket(h, n_buckets: int) -> F.Column:
+    return F.floor(h * F.lit(n_buckets) / F.lit(HASH_RANGE)).cast("long")
 
 
 def flag_smallest(df: DataFrame, group_cols: Sequence[str], h_col: str, id_col: str, k_col: str,
-                  out: str = "selected") -> DataFrame:
+                  out: str = "selected", n_buckets: int = 4096) -> DataFrame:
     """Flag, per group, the ``k_col`` rows with the smallest (hash, id).
 
     The hash is uniform on [0, P): a per-group histogram over HASH_BUCKETS
@@ -36,19 +41,21 @@ def flag_smallest(df: DataFrame, group_cols: Sequence[str], h_col: str, id_col:
     that one bucket are ranked exactly.  ``k_col`` must be constant per group.
     """
     g = list(group_cols)
-    d = df.withColumn("__b", _bucket(F.col(h_col)))
+    d = df.withColumn("__b", _bucket(F.col(h_col), n_buckets))
     hist = d.groupBy(*g, "__b").agg(F.count(F.lit(1)).alias("__c"), F.first(k_col).alias("__k"))
     w = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("__cum", F.sum("__c").over(w))
     edge = (hist.where((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__c") < F.col("__k")))
                 .select(*g, F.col("__b").alias("__edge"), (F.col("__k") - (F.col("__cum") - F.col("__c"))).alias("__need")))
-    d = d.join(edge, g, "left")
+    # ``edge`` has one row per group; callers pass few groups (classes), so the
+    # broadcast is bounded by the group count they already know
+    d = d.join(F.broadcast(edge), g, "left")
     in_edge = F.col("__b") == F.col("__edge")
     wr = Window.partitionBy(*g, "__b").orderBy(F.col(h_col), F.col(id_col))
     edge_rows = (d.where(in_edge).withColumn("__r", F.row_number().over(wr))
                   .withColumn(out, F.col("__r") <= F.col("__need")).drop("__r"))
     rest = d.where(~in_edge | F.col("__edge").isNull())
-    rest = rest.withColumn(out, F.coalesce(F.col("__b") < F.col("__edge"), F.col("__k") > 0))
+    rest = rest.withColumn(out, F.coalesce(F.col("__b") < F.col("__edge"), F.col(k_col) > 0))
     edge_rows, rest = (x.drop("__b", "__edge", "__need") for x in (edge_rows, rest))
     return rest.unionByName(edge_rows)
 
@@ -73,22 +80,23 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", te
     chosen by the smallest seeded hash per class.  ``exact=False``: a hash
     threshold per row, no shuffle at all, shares are approximate.
     """
-    h = mix_col(id_col, seed)
     if not exact:
-        return df.withColumn("split", F.when(h < F.lit(int(test_frac * HASH_RANGE)), "test").otherwise("train"))
+        d = with_mix(df, "__h", id_col, seed)
+        return d.withColumn("split", F.when(F.col("__h") < F.lit(int(test_frac * HASH_RANGE)), "test")
+                            .otherwise("train")).drop("__h")
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
     take = _allocate(counts, int(math.ceil(test_frac * n))) if n else {}
     kmap = F.create_map(*[x for c, t in take.items() for x in (F.lit(c), F.lit(t))]) if take else None
-    d = df.withColumn("__h", h).withColumn("__kt", kmap[F.col(label)] if kmap is not None else F.lit(0))
-    f = flag_smallest(d, [label], "__h", id_col, "__kt", out="__test")
+    d = with_mix(df, "__h", id_col, seed).withColumn("__kt", kmap[F.col(label)] if kmap is not None else F.lit(0))
+    f = flag_smallest(d, [label], "__h", id_col, "__kt", out="__test", n_buckets=n_buckets_for(max(counts.values(), default=0)))
     return f.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__h", "__kt", "__test")
 
 
 def stratified_folds(df: DataFrame, label: str = "label", id_col: str = "id", k: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold`` in 0..k-1: rows ranked by seeded hash within their class
     and dealt round-robin, so every fold has the same class mix (+-1 row)."""
-    d = df.withColumn("__h", mix_col(id_col, seed))
+    d = with_mix(df, "__h", id_col, seed)
     r = rank_rows(d, "__h", [label], tiebreak=[id_col], out="__rank")
     return r.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__h", "__rank")
 
@@ -96,7 +104,7 @@ def stratified_folds(df: DataFrame, label: str = "label", id_col: str = "id", k:
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Simple random sample of ``n`` rows without replacement (deterministic):
     the rows with the smallest seeded hash, via a top-k (TakeOrderedAndProject)."""
-    return df.withColumn("__h", mix_col(id_col, seed)).orderBy("__h", id_col).limit(n).drop("__h")
+    return with_mix(df, "__h", id_col, seed).orderBy("__h", id_col).limit(n).drop("__h")
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -119,6 +127,16 @@ def replicate_seed(rep: F.Column, seed: int) -> F.Column:
     return rep + F.lit(seed * 100003)
 
 
+def spread_for_expansion(df: DataFrame, key: str) -> DataFrame:
+    """Before a replicate x row expansion, make sure the input is split over at
+    least the cluster's default parallelism (hash of ``key``, deterministic):
+    only the N input rows are shuffled, never the N x replicates rows."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, key)
+    return df
+
+
 def bootstrap_ci(df: DataFrame, label: str = "label", score: str = "score", pred: str = "pred", id_col: str = "id",
                  n_boot: int = 1000, seed: int = 42, probs: tuple[float, float] = (0.025, 0.975),
                  checkpoint: bool = True) -> DataFrame:
@@ -129,11 +147,15 @@ def bootstrap_ci(df: DataFrame, label: str = "label", score: str = "score", pred
     with a single class are skipped.  Output: metric, mean, ci_low, ci_high, n_reps.
     """
     rep = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
-    x = df.select(id_col, label, score, pred).withColumn("rep", rep)
-    u = mix_col(id_col, replicate_seed(F.col("rep"), seed)) / F.lit(float(HASH_RANGE))
-    x = x.withColumn("w", poisson_weight(u)).where(F.col("w") > 0)
-    agg = x.groupBy("rep", F.col(score).cast("double").alias("score"), label, pred) \
-           .agg(F.sum("w").cast("double").alias("w"))
+    x = spread_for_expansion(df.select(id_col, label, score, pred), id_col).withColumn("rep", rep)
+    x = with_mix(x, "__h", id_col, replicate_seed(F.col("rep"), seed))
+    x = x.withColumn("__u", F.col("__h") / F.lit(float(HASH_RANGE)))
+    x = x.withColumn("w", poisson_weight(F.col("__u")))
+    # Zero-weight rows are dropped after the (partial) aggregate: a filter on
+    # the weight itself would be pushed below the projections and re-inline
+    # the hash into every inverse-CDF comparison.
+    agg = (x.groupBy("rep", F.col(score).cast("double").alias("score"), label, pred)
+            .agg(F.sum("w").cast("double").alias("w")).where(F.col("w") > 0))
     if checkpoint:
         agg = agg.checkpoint(eager=True)
     y, p, w = F.col(label), F.col(pred), F.col("w")
@@ -177,11 +199,26 @@ def permutation_test(df: DataFrame, label: str = "label", score: str = "score",
     denom = float(n_pos * n_neg) if n_pos and n_neg else float("nan")
     base = n_pos * (n_pos + 1) / 2.0
     observed = (float(tot["rs"] or 0.0) - base) / denom
-    x = r.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    x = x.withColumn("__h", mix_col(id_col, replicate_seed(F.col("perm"), seed + 7))).withColumn("__k", F.lit(n_pos))
-    flagged = flag_smallest(x, ["perm"], "__h", id_col, "__k", out="__pos")
-    perm = flagged.groupBy("perm").agg(F.sum(F.when(F.col("__pos"), F.col("avg_rank")).otherwise(0.0)).alias("__rs"))
-    perm = perm.select(((F.col("__rs") - F.lit(base)) / F.lit(denom)).alias("auc"))
+    x = spread_for_expansion(r, id_col).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    x = with_mix(x, "__h", id_col, replicate_seed(F.col("perm"), seed + 7))
+    nb = n_buckets_for(n)
+    x = x.withColumn("__b", _bucket(F.col("__h"), nb))
+    # pass 1: per (perm, bucket) counts and rank sums; locate the bucket holding
+    # the n_pos-th smallest hash of each permutation
+    hist = x.groupBy("perm", "__b").agg(F.count(F.lit(1)).alias("__c"), F.sum("avg_rank").alias("__s"))
+    w = Window.partitionBy("perm").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("__cc", F.sum("__c").over(w)).withColumn("__cs", F.sum("__s").over(w))
+    edge = (hist.where((F.col("__cc") >= n_pos) & (F.col("__cc") - F.col("__c") < n_pos))
+                .select("perm", F.col("__b").alias("__edge"), (F.lit(n_pos) - (F.col("__cc") - F.col("__c"))).alias("__need"),
+                        (F.col("__cs") - F.col("__s")).alias("__below")))
+    # pass 2: exact ranking only inside each permutation's boundary bucket
+    # one row per permutation: the broadcast is bounded by n_perm
+    inner = x.join(F.broadcast(edge), "perm").where(F.col("__b") == F.col("__edge"))
+    wr = Window.partitionBy("perm").orderBy("__h", id_col)
+    inner = inner.withColumn("__r", F.row_number().over(wr))
+    part = inner.groupBy("perm").agg(F.first("__below").alias("__below"),
+                                     F.sum(F.when(F.col("__r") <= F.col("__need"), F.col("avg_rank")).otherwise(0.0)).alias("__in"))
+    perm = part.select(((F.col("__below") + F.col("__in") - F.lit(base)) / F.lit(denom)).alias("auc"))
     obs = F.lit(observed)
     return perm.agg(obs.alias("observed_auc"), F.avg("auc").alias("perm_mean"), F.stddev_pop("auc").alias("perm_std"),
                     F.avg(F.when(F.col("auc") >= obs, 1.0).otherwise(0.0)).alias("p_value"),

@@ -10,7 +10,7 @@ what makes it an independent check of the Spark plans.
 from __future__ import annotations
 
 from ignis.functions.geo import haversine_sql
-from ignis.functions.hashing import P as HASH_P
+from ignis.functions.hashing import RANGE as HASH_P
 from ignis.functions.hashing import mix_sql
 from ignis.operators.metrics import CALIBRATION_EDGES
 from ignis.operators.resample import POISSON1_CDF
