@@ -11,13 +11,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ignis.functions.dates import day_of_week, day_of_year, weekend_flag
 from ignis.operators import clean as C
 from ignis.operators import metrics as M
+from ignis.operators import ml as ML
 from ignis.operators import profiles as PR
 from ignis.operators import resample as RS
 from ignis.operators import stats as ST
@@ -384,6 +385,106 @@ def q_bootstrap_ci(spark, sf):
     return finish(RS.bootstrap_ci(V.scored(spark, sf), n_boot=1000, seed=SEED))
 
 
+# ---------------------------------------------------------------- models (rows-only checks)
+SIZE_FEATURES = ["month", "year", "agency_code", "cause_code"]
+
+
+def _older_split(spark, sf):
+    d = RS.stratified_split(V.older_model_rows(spark, sf), seed=SEED).persist()
+    return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+
+
+def _model_row(name, scored_test, n_train):
+    ev = ML.evaluate(scored_test)
+    return ev.select(F.lit(name).alias("model"), "accuracy", "roc_auc", "average_precision", "f1",
+                     F.lit(int(n_train)).alias("n_train"), (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_test"))
+
+
+def q_train_lr(spark, sf):
+    tr, te = _older_split(spark, sf)
+    tr, te = ML.standardize(tr, [te], V.OLDER_FEATURES)
+    n = tr.count()
+    model = ML.logistic_regression(n).fit(ML.assemble(tr, V.OLDER_FEATURES))
+    return finish(_model_row("logistic_regression", ML.score(model, ML.assemble(te, V.OLDER_FEATURES)), n))
+
+
+def q_train_rf(spark, sf):
+    tr, te = _older_split(spark, sf)
+    model = ML.random_forest(100, seed=SEED).fit(ML.assemble(tr, V.OLDER_FEATURES))
+    return finish(_model_row("random_forest", ML.score(model, ML.assemble(te, V.OLDER_FEATURES)), tr.count()))
+
+
+def q_best_model(spark, sf):
+    """LR (standardized), RF (100 trees) and GBT (100 trees, library defaults)
+    on the same split; best by ROC-AUC."""
+    tr, te = _older_split(spark, sf)
+    n = tr.count()
+    trs, tes = ML.standardize(tr, [te], V.OLDER_FEATURES)
+    f = V.OLDER_FEATURES
+    lr = ML.logistic_regression(n).fit(ML.assemble(trs, f))
+    rf = ML.random_forest(100, seed=SEED).fit(ML.assemble(tr, f))
+    gb = ML.gradient_boosting(max_iter=100, seed=SEED).fit(ML.assemble(tr, f))
+    rows = [_model_row("logistic_regression", ML.score(lr, ML.assemble(tes, f)), n),
+            _model_row("random_forest", ML.score(rf, ML.assemble(te, f)), n),
+            _model_row("gradient_boosting", ML.score(gb, ML.assemble(te, f)), n)]
+    allm = rows[0].unionByName(rows[1]).unionByName(rows[2]).checkpoint(eager=True)
+    w = Window.orderBy(F.col("roc_auc").desc(), F.col("model"))
+    return finish(allm.withColumn("is_best", F.row_number().over(w) == 1))
+
+
+def _main_fit(spark, sf):
+    d = RS.stratified_split(V.main_model_rows(spark, sf), seed=SEED).persist()
+    tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    return ML.fit_main_gbt(tr, V.FEATURE_COLS, seed=SEED), tr, te
+
+
+def q_train_gbt(spark, sf):
+    model, tr, te = _main_fit(spark, sf)
+    ev = ML.evaluate(ML.score(model, ML.assemble(te, V.FEATURE_COLS)))
+    return finish(ev.withColumn("n_trees", F.lit(int(model.getNumTrees))))
+
+
+def q_rf_size_regression(spark, sf):
+    d = V.size_model_rows(spark, sf)
+    d = RS.stratified_split(d.withColumn("__one", F.lit(0)), label="__one", seed=SEED).drop("__one")
+    tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    model = ML.regression_forest(100, seed=SEED).fit(ML.assemble(tr, SIZE_FEATURES))
+    pred = model.transform(ML.assemble(te, SIZE_FEATURES)).select(F.col("label").alias("y"), F.col("prediction").alias("yhat"))
+    return finish(M.regression_metrics(pred))
+
+
+def q_cross_validate(spark, sf):
+    d = ML.with_validation_slice(V.main_model_rows(spark, sf))
+    cv = ML.cross_validate(d, V.FEATURE_COLS, lambda: ML.main_gbt(weight=None, seed=SEED), k=5, seed=SEED,
+                           extra_cols=["is_validation"])
+    return finish(cv)
+
+
+def q_feature_importance(spark, sf):
+    model, _, _ = _main_fit(spark, sf)
+    return finish(ML.importance_table(spark, V.FEATURE_COLS, model.featureImportances.toArray(), V.FEATURE_LABELS))
+
+
+def q_grouped_importance(spark, sf):
+    model, _, _ = _main_fit(spark, sf)
+    imp = ML.importance_table(spark, V.FEATURE_COLS, model.featureImportances.toArray())
+    return finish(ML.grouped_importance(imp, V.FEATURE_GROUPS))
+
+
+def q_partial_dependence(spark, sf):
+    model, tr, _ = _main_fit(spark, sf)
+    sample = RS.sample_n(tr, 10000, seed=SEED).checkpoint(eager=True)
+    return finish(ML.partial_dependence(model, sample, V.FEATURE_COLS, V.PDP_FEATURES, resolution=50))
+
+
+def q_sampled_shapley(spark, sf):
+    model, tr, te = _main_fit(spark, sf)
+    explain = RS.sample_n(te, 5000, seed=SEED)
+    background = RS.sample_n(tr, 100, seed=SEED + 1)
+    shap = ML.sampled_shapley(model, explain, background, V.FEATURE_COLS, n_samples=10, seed=SEED)
+    return finish(ML.shap_summary(shap))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

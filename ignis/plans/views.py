@@ -71,3 +71,59 @@ def model_dataset(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFr
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.scored(spark, sf_dir)
+
+# Display names of the model features.
+FEATURE_LABELS = {
+    "doy_sin": "Day of Year (sin)", "doy_cos": "Day of Year (cos)", "doy": "Day of Year",
+    "month": "Month", "year": "Year", "is_weekend": "Weekend",
+    "province_code": "Province", "latitude": "Latitude", "longitude": "Longitude",
+    "log_size": "Fire Size (log ha)", "temp_max": "Max Temp (°C)",
+    "temp_min": "Min Temp (°C)", "temp_mean": "Mean Temp (°C)",
+    "precip": "Precipitation (mm)", "rain": "Rainfall (mm)",
+    "snow_ground": "Snow on Ground (cm)", "wind_gust": "Wind Gust (km/h)",
+    "diurnal_range": "Diurnal Temp Range (°C)",
+    "temp_mean_7d": "7-day Mean Temp", "temp_max_7d": "7-day Max Temp",
+    "precip_total_7d": "7-day Precip Total", "rain_total_7d": "7-day Rain Total",
+    "dry_days_7d": "7-day Dry Days", "temp_range_7d": "7-day Temp Range",
+    "temp_mean_30d": "30-day Mean Temp", "temp_max_30d": "30-day Max Temp",
+    "precip_total_30d": "30-day Precip Total", "rain_total_30d": "30-day Rain Total",
+    "dry_days_30d": "30-day Dry Days", "temp_range_30d": "30-day Temp Range",
+    "temp_anomaly": "Temp Anomaly (°C)", "fire_weather_index": "Fire Weather Index",
+    "station_dist": "Station Distance (km)",
+}
+
+# Features of the earlier model comparison (no weather).
+OLDER_FEATURES = ["month", "doy", "doy_sin", "doy_cos", "region_code", "log_size", "year"]
+# Partial-dependence features.
+PDP_FEATURES = ["doy_sin", "latitude", "longitude", "month"]
+
+
+def older_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known-cause incidents with the earlier pipeline's features (missing
+    agency encoded as 'Unknown', size falling back to the computed size)."""
+    d = C.cause_filtered(fx.incidents(spark, sf_dir))
+    d = C.temporal_features(d, "older")
+    d = C.label_encode(d, "agency", "region_code", fill="Unknown")
+    d = C.size_features(d)
+    d = d.select(F.col("inc_id").alias("id"), F.col("target").alias("label"),
+                 F.col("mo").cast("double").alias("month"), F.col("doy").cast("double").alias("doy"),
+                 "doy_sin", "doy_cos", F.col("region_code").cast("double").alias("region_code"),
+                 F.col("log_size_fallback").alias("log_size"), F.col("yr").cast("double").alias("year"))
+    return d.na.drop()
+
+
+def main_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model_dataset with id/label names for the estimators."""
+    return model_dataset(spark, sf_dir).withColumnRenamed("inc_id", "id").withColumnRenamed("target", "label")
+
+
+def size_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size regression rows: positive sizes, month/year/agency/cause codes -> log1p(size)."""
+    d = C.size_features(fx.incidents(spark, sf_dir)).where(F.col("fire_size") > 0)
+    d = C.label_encode(d, "agency", "agency_code", fill="Unknown")
+    d = C.label_encode(d, "cause", "cause_code", fill="U")
+    d = d.select(F.col("inc_id").alias("id"), F.col("log_size_fallback").alias("label"),
+                 F.col("mo").cast("double").alias("month"), F.col("yr").cast("double").alias("year"),
+                 F.col("agency_code").cast("double").alias("agency_code"),
+                 F.col("cause_code").cast("double").alias("cause_code"))
+    return d.na.drop()
