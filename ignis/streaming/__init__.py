@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analysed pipeline has no streaming sources, watermarks, event-time windows
+or state; its 7/30-day windows are batch trailing windows and are implemented
+in ``ignis.operators.climate``.  No streaming operator is built.
+"""
