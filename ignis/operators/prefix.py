@@ -95,7 +95,7 @@ def rank_rows(df: DataFrame, order_col: str, group_cols: Sequence[str] = (), tie
 
 
 def dense_rank_values(dictionary: DataFrame, col: str, out: str, n_values: int | None = None,
-                      single_window_limit: int = 1_000_000) -> DataFrame:
+                      single_window_limit: int = 100_000) -> DataFrame:
     """0-based dense rank of the distinct values in ``dictionary`` (one row per value)."""
     if n_values is not None and n_values <= single_window_limit:
         # A bounded dictionary: one small window is cheaper than two levels.

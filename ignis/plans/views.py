@@ -40,21 +40,23 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.clean_incidents(fx.incidents(spark, sf_dir))
 
 
-def with_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_site(clean(spark, sf_dir), fx.sites(spark, sf_dir))
+def with_nearest(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    return nearest_site(base if base is not None else clean(spark, sf_dir), fx.sites(spark, sf_dir))
 
 
-def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Incidents + nearest site + day-of and 7/30-day weather (the cached joined table)."""
-    inc = C.fire_date(with_nearest(spark, sf_dir))
+    inc = C.fire_date(with_nearest(spark, sf_dir, base))
     return attach_weather(inc, fx.daily_obs(spark, sf_dir), site_col="nearest_site", date_col="fire_date")
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joined table + temporal, geographic, size and derived climate features."""
-    j = C.climate_derived(joined(spark, sf_dir))
+    """Joined table + temporal, geographic, size and derived climate features.
+    The province dictionary only depends on the clean incidents, so it is
+    built (and its size checked) before the expensive joins."""
+    base = C.label_encode(clean(spark, sf_dir), "agency", "province_code")
+    j = C.climate_derived(joined(spark, sf_dir, base))
     j = C.temporal_features(j, "main")
-    j = C.label_encode(j, "agency", "province_code")
     j = C.size_features(j)
     return j.withColumn("latitude", F.col("lat")).withColumn("longitude", F.col("lon"))
 
