@@ -59,7 +59,8 @@ def q_incident_scan(spark, sf):
 
 
 def q_table_preview(spark, sf):
-    return finish(fx.incidents(spark, sf).orderBy("inc_id").limit(10))
+    _, head = FS.preview(fx.incidents(spark, sf), 10, ["inc_id"])
+    return finish(head)
 
 
 def q_obs_union_by_name(spark, sf):

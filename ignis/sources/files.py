@@ -30,14 +30,16 @@ def file_headers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
 
 
 def read_csv_union(spark: SparkSession, path: str, encoding: str = "UTF-8", rename=snake,
-                   lineage: bool = True, keep_corrupt: bool = False) -> DataFrame:
+                   lineage: bool = True, keep_corrupt: bool = False, skip_unreadable: bool = True) -> DataFrame:
     """Scan every CSV under ``path`` and union them **by column name**.
 
     Files are grouped by header line; each group is read with its own header
     (all columns as strings, no inference), columns are renamed with
     ``rename`` and the groups are combined with
     ``unionByName(allowMissingColumns=True)``.  ``source_file`` carries the
-    file name.  Only the distinct headers and the file list -- which Spark's
+    file name.  ``skip_unreadable`` skips files that cannot be read at all
+    (``ignoreCorruptFiles``); ``keep_corrupt`` keeps malformed lines in
+    ``_corrupt_record`` so ``rejects`` can count them per file.  Only the distinct headers and the file list -- which Spark's
     file index holds on the driver anyway -- are brought to the driver.
     """
     heads = file_headers(spark, path, encoding)
@@ -51,7 +53,8 @@ def read_csv_union(spark: SparkSession, path: str, encoding: str = "UTF-8", rena
         if keep_corrupt:
             fields.append(T.StructField("_corrupt_record", T.StringType()))
         reader = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-                  .option("enforceSchema", True).schema(T.StructType(fields)))
+                  .option("enforceSchema", True).option("ignoreCorruptFiles", skip_unreadable)
+                  .schema(T.StructType(fields)))
         df = reader.csv(sorted(files))
         cols = [F.col(f"`{n}`").alias(rename(n)) for n in names]
         if keep_corrupt:
@@ -86,6 +89,15 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType, fmt: str
         return spark.createDataFrame([], schema)
 
 
+def preview(df: DataFrame, n: int = 10, order_by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Spreadsheet-style preview: (shape, head).  ``shape`` is one row
+    (n_rows, n_cols); ``head`` the first ``n`` rows in ``order_by`` order (a
+    top-k, not a sort of the whole table)."""
+    shape = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))
+    head = (df.orderBy(*order_by) if order_by else df).limit(n)
+    return shape, head
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with a header line and no index column."""
     df.write.mode(mode).option("header", True).csv(path)
