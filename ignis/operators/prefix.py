@@ -130,6 +130,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     start = F.col("__cum__c") - F.col("__c")
     hit_lo = (start <= F.col("__lo")) & (F.col("__lo") < F.col("__cum__c"))
     hit_hi = (start <= F.col("__hi")) & (F.col("__hi") < F.col("__cum__c"))
+    # Without groups the join key is a constant: the target table then has one
+    # row per probability, so it is broadcast explicitly (never a one-task
+    # hash partition).  With groups it has (#groups x #probs) rows and AQE
+    # decides from its measured size.
+    if not group_cols:
+        targets = F.broadcast(targets)
     picked = cum.join(targets, gkey).where(hit_lo | hit_hi)
     v = F.col(value_col).cast("double")
     res = (picked.groupBy(*gkey, "p")

@@ -107,3 +107,23 @@ def test_day_of_takes_first_duplicate(spark):
     probes = spark.createDataFrame([(1, d0)], "site_id long, fire_date date")
     r = weather_features(probes, obs).first()
     assert r.temp_max is None and r.precip == 1.0
+
+
+def test_standardize_landed_strings(spark):
+    from ignis.operators.clean import clean_incidents, standardize_incidents
+    raw = spark.createDataFrame(
+        [("1", "2001", "7.0", "1", "N", "BC", "50.5", "-120", "nan", "3"),
+         ("2", "abc", "5", "2", "H", None, "49", "-121", "-4", "1"),
+         ("3", "1999", "13", "2", "H-PB", "AB", "", "-121", "12", "1"),
+         ("4", "1999", "6", "2", "U", "AB", "48", "-121", "12", "1")],
+        "FIRE_ID string, YEAR string, MONTH string, DAY string, CAUSE string, SRC_AGENCY string, "
+        "LATITUDE string, LONGITUDE string, SIZE_HA string, CALC_HA string")
+    s = standardize_incidents(raw)
+    assert set(s.columns) == {"inc_id", "yr", "mo", "dy", "cause", "agency", "lat", "lon", "size_ha", "calc_ha"}
+    rows = {r.inc_id: r for r in s.collect()}
+    assert rows[1].mo == 7 and rows[1].size_ha is None          # 'nan' -> NULL, '7.0' -> 7
+    assert rows[2].yr is None and rows[3].lat is None           # unparsable -> NULL
+    c = {r.inc_id: r.target for r in clean_incidents(s).collect()}
+    assert c == {1: 0}                                           # bad year, month 13, missing lat, cause U dropped
+    partial = standardize_incidents(raw.drop("CALC_HA"))
+    assert "calc_ha" not in partial.columns
