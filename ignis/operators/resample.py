@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ignis.functions.hashing import RANGE as HASH_RANGE
-from ignis.functions.hashing import mix_col, with_mix
+from ignis.functions.hashing import with_mix
 from ignis.operators.metrics import metrics_from_counts, ranking_metrics
 from ignis.operators.prefix import prefix_sums, rank_rows
 
@@ -201,7 +201,9 @@ def permutation_test(df: DataFrame, label: str = "label", score: str = "score",
     observed = (float(tot["rs"] or 0.0) - base) / denom
     x = spread_for_expansion(r, id_col).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     x = with_mix(x, "__h", id_col, replicate_seed(F.col("perm"), seed + 7))
-    nb = n_buckets_for(n)
+    # ~1k rows per bucket: the histogram stays at n_perm x (n / 1024) groups and
+    # the exactly ranked boundary bucket at ~1k rows per permutation
+    nb = n_buckets_for(n, rows_per_bucket=1024)
     x = x.withColumn("__b", _bucket(F.col("__h"), nb))
     # pass 1: per (perm, bucket) counts and rank sums; locate the bucket holding
     # the n_pos-th smallest hash of each permutation

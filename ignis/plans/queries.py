@@ -391,7 +391,10 @@ SIZE_FEATURES = ["month", "year", "agency_code", "cause_code"]
 
 
 def _older_split(spark, sf):
-    d = RS.stratified_split(V.older_model_rows(spark, sf), seed=SEED).persist()
+    # the feature rows feed the split's class counts, its selection and the
+    # fits: materialize them once in the shared checkpoint folder
+    rows = V.older_model_rows(spark, sf).checkpoint(eager=True)
+    d = RS.stratified_split(rows, seed=SEED).persist()
     return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
 
 
@@ -434,7 +437,8 @@ def q_best_model(spark, sf):
 
 
 def _main_fit(spark, sf):
-    d = RS.stratified_split(V.main_model_rows(spark, sf), seed=SEED).persist()
+    rows = V.main_model_rows(spark, sf).checkpoint(eager=True)
+    d = RS.stratified_split(rows, seed=SEED).persist()
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     return ML.fit_main_gbt(tr, V.FEATURE_COLS, seed=SEED), tr, te
 
@@ -446,7 +450,7 @@ def q_train_gbt(spark, sf):
 
 
 def q_rf_size_regression(spark, sf):
-    d = V.size_model_rows(spark, sf)
+    d = V.size_model_rows(spark, sf).checkpoint(eager=True)
     d = RS.stratified_split(d.withColumn("__one", F.lit(0)), label="__one", seed=SEED).drop("__one")
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     model = ML.regression_forest(100, seed=SEED).fit(ML.assemble(tr, SIZE_FEATURES))
@@ -455,7 +459,7 @@ def q_rf_size_regression(spark, sf):
 
 
 def q_cross_validate(spark, sf):
-    d = ML.with_validation_slice(V.main_model_rows(spark, sf))
+    d = ML.with_validation_slice(V.main_model_rows(spark, sf).checkpoint(eager=True))
     cv = ML.cross_validate(d, V.FEATURE_COLS, lambda: ML.main_gbt(weight=None, seed=SEED), k=5, seed=SEED,
                            extra_cols=["is_validation"])
     return finish(cv)

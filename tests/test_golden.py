@@ -1,6 +1,5 @@
 """Published arithmetic and the literal golden vectors."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from ignis.functions.columns import clip_lower
