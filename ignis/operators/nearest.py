@@ -39,6 +39,28 @@ def _pick_start_level(sites: DataFrame, lat: str, lon: str, sites_per_cell: floa
     return max(0, min(k, 22)), n
 
 
+def _refine_for_density(sites: DataFrame, lat: str, lon: str, k0: int, max_per_cell: int = 64,
+                        extra_levels: int = 8) -> int:
+    """Finest useful start level: walk from ``k0`` to finer levels until no
+    cell holds more than ``max_per_cell`` sites (one aggregate over the sites,
+    exploded once per candidate level).  A dense cluster -- say a third of all
+    sites -- is then searched with small cells, so nearby points meet a few
+    candidates instead of the whole cluster; sparse points fall through to
+    coarser levels."""
+    levels = list(range(k0, min(k0 + extra_levels, 22) + 1))
+    lv = F.explode(F.array(*[F.lit(k) for k in levels])).alias("__k")
+    cs = F.lit(360.0) / F.pow(F.lit(2.0), F.col("__k"))
+    cells = (sites.select(lat, lon, lv)
+                  .groupBy("__k", F.floor((F.col(lat) + 90.0) / cs).alias("__ci"),
+                           F.floor((F.col(lon) + 180.0) / cs).alias("__cj"))
+                  .agg(F.count(F.lit(1)).alias("__n")))
+    worst = {r["__k"]: r["m"] for r in cells.groupBy("__k").agg(F.max("__n").alias("m")).collect()}
+    for k in levels:
+        if worst.get(k, 0) <= max_per_cell:
+            return k
+    return levels[-1]
+
+
 def _level_search(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     """One grid level for (plat, plon) points -> best candidate and resolution flag."""
     cs = 360.0 / (2 ** k)
@@ -96,6 +118,8 @@ def nearest_site(points: DataFrame, sites: DataFrame, lat: str = "lat", lon: str
     k0, n_sites = _pick_start_level(s, "__slat", "__slon")
     if start_level is not None:
         k0 = start_level
+    elif n_sites > 0:
+        k0 = _refine_for_density(s, "__slat", "__slon", k0)
     coords = (points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
                     .select(F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon"))
                     .distinct())

@@ -60,3 +60,25 @@ def test_hot_coordinate_nearest(spark):
     out = nearest_site(p, s)
     counts = {r.nearest_site: r["count"] for r in out.groupBy("nearest_site").count().collect()}
     assert counts[1] == 3000 + 0 and counts[2] == 100
+
+
+def test_dense_site_cluster_start_level(spark):
+    from ignis.operators.nearest import _pick_start_level, _refine_for_density
+    rnd = random.Random(8)
+    sites = [(i, f"S{i}", rnd.uniform(42, 60), rnd.uniform(-140, -55)) for i in range(600)]
+    sites += [(1000 + i, f"C{i}", 49.0 + rnd.uniform(0, 0.05), -123.0 + rnd.uniform(0, 0.05)) for i in range(300)]
+    s = spark.createDataFrame(sites, "__skey long, __sname string, __slat double, __slon double")
+    k0, _ = _pick_start_level(s, "__slat", "__slon")
+    k = _refine_for_density(s, "__slat", "__slon", k0)
+    assert k > k0
+    pts = spark.createDataFrame([(j, 49.0 + rnd.uniform(-1, 1), -123.0 + rnd.uniform(-1, 1)) for j in range(200)],
+                                "pid long, lat double, lon double")
+    site_df = s.toDF("site_id", "site_name", "site_lat", "site_lon")
+    got = {r.pid: r.nearest_site for r in nearest_site(pts, site_df).collect()}
+    import math
+    def hav(a, b, c, d):
+        p1, p2 = math.radians(a), math.radians(c)
+        x = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(x))
+    for r in pts.collect():
+        assert got[r.pid] == min((hav(r.lat, r.lon, a, b), n, k_) for k_, n, a, b in sites)[2]
