@@ -79,6 +79,9 @@ def describe_positive(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         stats = stats.withColumn("column_name", F.lit(c))
         med = med.withColumn("column_name", F.lit(c))
         parts.append(stats.join(med, "column_name").select("column_name", "n", "min", "max", "mean", "median", "std"))
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, n bigint, min double, max double, mean double, median double, std double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

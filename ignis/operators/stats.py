@@ -75,6 +75,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, group: str | None = None)
                                   F.count(F.lit(1)).alias("tot")).collect()
     parts = []
     for row in ranges:
+        if not row["tot"]:
+            continue
         mn, mx, tot = float(row["mn"]), float(row["mx"]), int(row["tot"])
         if mx == mn:
             mn, mx = mn - 0.5, mx + 0.5
@@ -87,6 +89,10 @@ def histogram(df: DataFrame, col: str, bins: int = 50, group: str | None = None)
                               (F.lit(mn) + (F.col("bin") - 1) * F.lit(width)).alias("lo"),
                               (F.lit(mn) + F.col("bin") * F.lit(width)).alias("hi"),
                               "n", (F.col("n") / F.lit(tot * width)).alias("density")))
+    if not parts:
+        schema = (f"{group} {d.schema[group].dataType.simpleString()}, " if group else "") + \
+            "bin int, lo double, hi double, n bigint, density double"
+        return df.sparkSession.createDataFrame([], schema)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -126,3 +126,13 @@ def test_standardize_landed_strings(spark):
     assert c == {1: 0}                                           # bad year, month 13, missing lat, cause U dropped
     partial = standardize_incidents(raw.drop("CALC_HA"))
     assert "calc_ha" not in partial.columns
+
+
+def test_empty_inputs(spark):
+    from ignis.operators.profiles import describe_positive
+    from ignis.operators.stats import histogram
+    e = spark.createDataFrame([], "v double, g int")
+    assert histogram(e, "v").count() == 0
+    assert histogram(e, "v", group="g").count() == 0
+    assert describe_positive(e, []).count() == 0
+    assert describe_positive(e, ["v"]).first().n == 0
