@@ -115,14 +115,14 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     Output: group columns, ``p``, ``q``.
     """
     group_cols = list(group_cols)
-    gkey = group_cols if group_cols else ["__g"]
-    base = df if group_cols else df.withColumn("__g", F.lit(0))
-    counts = (base.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col)))
-                  .groupBy(*gkey, value_col).agg(F.count(F.lit(1)).alias("__c")))
-    cum = prefix_sums(counts, value_col, ["__c"], gkey, n_blocks=n_blocks, prefix="__cum")
-    totals = counts.groupBy(*gkey).agg(F.sum("__c").alias("__n"))
+    valid = F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col))
+    if not group_cols:
+        return _exact_quantiles_global(df.where(valid), value_col, probs, n_blocks)
+    counts = df.where(valid).groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("__c"))
+    cum = prefix_sums(counts, value_col, ["__c"], group_cols, n_blocks=n_blocks, prefix="__cum")
+    totals = counts.groupBy(*group_cols).agg(F.sum("__c").alias("__n"))
     parr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (totals.select(*gkey, "__n", F.explode(parr).alias("p"))
+    targets = (totals.select(*group_cols, "__n", F.explode(parr).alias("p"))
                      .withColumn("__h", (F.col("__n") - 1) * F.col("p"))
                      .withColumn("__lo", F.floor("__h").cast("long"))
                      .withColumn("__hi", F.ceil("__h").cast("long"))
@@ -130,20 +130,44 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     start = F.col("__cum__c") - F.col("__c")
     hit_lo = (start <= F.col("__lo")) & (F.col("__lo") < F.col("__cum__c"))
     hit_hi = (start <= F.col("__hi")) & (F.col("__hi") < F.col("__cum__c"))
-    # Without groups the join key is a constant: the target table then has one
-    # row per probability, so it is broadcast explicitly (never a one-task
-    # hash partition).  With groups it has (#groups x #probs) rows and AQE
-    # decides from its measured size.
-    if not group_cols:
-        targets = F.broadcast(targets)
-    picked = cum.join(targets, gkey).where(hit_lo | hit_hi)
+    # equi-join on the group key; the target table has (#groups x #probs) rows
+    # and AQE broadcasts it when its measured size allows
+    picked = cum.join(targets, group_cols).where(hit_lo | hit_hi)
     v = F.col(value_col).cast("double")
-    res = (picked.groupBy(*gkey, "p")
+    res = (picked.groupBy(*group_cols, "p")
                  .agg(F.max(F.when(hit_lo, v)).alias("__vlo"), F.max(F.when(hit_hi, v)).alias("__vhi"),
                       F.first("__frac").alias("__frac")))
     q = F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo"))
-    res = res.select(*gkey, "p", F.when(F.col("__frac") == 0, F.col("__vlo")).otherwise(q).alias("q"))
-    return res.drop("__g") if not group_cols else res
+    return res.select(*group_cols, "p", F.when(F.col("__frac") == 0, F.col("__vlo")).otherwise(q).alias("q"))
+
+
+def _exact_quantiles_global(df: DataFrame, value_col: str, probs: Sequence[float], n_blocks: int) -> DataFrame:
+    """Ungrouped case: the row count (one number) is fetched, the needed ranks
+    are computed on the driver and selected with a literal filter -- no join."""
+    spark = df.sparkSession
+    counts = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("__c"))
+    n = counts.agg(F.sum("__c").alias("n")).first()["n"] or 0
+    if n == 0:
+        return spark.createDataFrame([(float(p), None) for p in probs], "p double, q double")
+    cum = prefix_sums(counts, value_col, ["__c"], n_blocks=n_blocks, prefix="__cum")
+    start = F.col("__cum__c") - F.col("__c")
+    plan = []
+    for p in probs:
+        h = (n - 1) * float(p)
+        lo, hi = int(h // 1), int(-(-h // 1))
+        plan.append((float(p), lo, hi, h - lo))
+    ranks = sorted({r for _, lo, hi, _ in plan for r in (lo, hi)})
+    covers = [(start <= F.lit(r)) & (F.lit(r) < F.col("__cum__c")) for r in ranks]
+    cond = covers[0]
+    for c in covers[1:]:
+        cond = cond | c
+    v = F.col(value_col).cast("double")
+    one = cum.where(cond).agg(*[F.max(F.when(c, v)).alias(f"r{r}") for r, c in zip(ranks, covers)])
+    rows = [F.struct(F.lit(p).alias("p"),
+                     (F.col(f"r{lo}") + F.lit(frac) * (F.col(f"r{hi}") - F.col(f"r{lo}")) if frac
+                      else F.col(f"r{lo}")).alias("q"))
+            for p, lo, hi, frac in plan]
+    return one.select(F.explode(F.array(*rows)).alias("__r")).select("__r.*")
 
 
 def quantiles_wide(df: DataFrame, value_col: str, probs: dict[str, float], group_cols: Sequence[str] = ()) -> DataFrame:
