@@ -22,6 +22,15 @@ from ignis.operators.prefix import prefix_sums
 CALIBRATION_EDGES = [k * 0.1 for k in range(1, 10)]
 
 
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Side-by-side combination of one-row results without a join: union by
+    name (missing columns NULL) and take each column's single non-NULL value."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in u.columns])
+
+
 def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred", weight: str | None = None,
                      group_cols: Sequence[str] = ()) -> DataFrame:
     w = F.col(weight).cast("double") if weight else F.lit(1)
@@ -177,9 +186,9 @@ def baseline_lift(df: DataFrame, label: str = "label", score: str = "score", pre
     """Majority-class accuracy, prevalence (random PR-AUC), 0.5 random ROC-AUC and
     the model's absolute / relative lift over each."""
     cm = metrics_from_counts(confusion_counts(df, label, pred)).select(
-        F.lit(1).alias("__k"), "accuracy", ((F.col("tp") + F.col("fn")) / (F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp"))).alias("prevalence"))
-    rk = ranking_metrics(score_counts(df, label, score)).select(F.lit(1).alias("__k"), "roc_auc", "average_precision")
-    j = cm.join(rk, "__k").drop("__k")
+        "accuracy", ((F.col("tp") + F.col("fn")) / (F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp"))).alias("prevalence"))
+    rk = ranking_metrics(score_counts(df, label, score)).select("roc_auc", "average_precision")
+    j = combine_rows(cm, rk)
     maj = F.greatest(F.col("prevalence"), 1 - F.col("prevalence"))
     return j.select(
         maj.alias("majority_accuracy"), "prevalence", "accuracy", "roc_auc", "average_precision",

@@ -98,10 +98,9 @@ def score(model: Model, df: DataFrame, id_col: str = "id") -> DataFrame:
 def evaluate(scored: DataFrame) -> DataFrame:
     """One row: counts, accuracy/precision/recall/F1/specificity/MCC, ROC-AUC,
     average precision, Brier score and log loss."""
-    cm = M.metrics_from_counts(M.confusion_counts(scored)).withColumn("__k", F.lit(1))
-    rk = M.ranking_metrics(M.score_counts(scored)).select(F.lit(1).alias("__k"), "roc_auc", "average_precision")
-    pl = M.prob_losses(scored).withColumn("__k", F.lit(1))
-    return cm.join(rk, "__k").join(pl, "__k").drop("__k")
+    cm = M.metrics_from_counts(M.confusion_counts(scored))
+    rk = M.ranking_metrics(M.score_counts(scored)).select("roc_auc", "average_precision")
+    return M.combine_rows(cm, rk, M.prob_losses(scored))
 
 
 def with_validation_slice(train: DataFrame, id_col: str = "id", frac: float = 0.1, seed: int = 7) -> DataFrame:

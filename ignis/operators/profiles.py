@@ -76,9 +76,9 @@ def describe_positive(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         stats = pos.agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
                         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
         med = quantiles_wide(pos, "v", {"median": 0.5})
-        stats = stats.withColumn("column_name", F.lit(c))
-        med = med.withColumn("column_name", F.lit(c))
-        parts.append(stats.join(med, "column_name").select("column_name", "n", "min", "max", "mean", "median", "std"))
+        from ignis.operators.metrics import combine_rows
+        one = combine_rows(stats, med).withColumn("column_name", F.lit(c))
+        parts.append(one.select("column_name", "n", "min", "max", "mean", "median", "std"))
     if not parts:
         return df.sparkSession.createDataFrame(
             [], "column_name string, n bigint, min double, max double, mean double, median double, std double")

@@ -41,3 +41,13 @@ def test_scan_pushdown_and_pruning(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderkey), LessThan(o_orderkey,100)" in plan or "LessThan(o_orderkey,100)" in plan
     assert "o_totalprice" not in plan.split("ReadSchema")[1].split("\n")[0] if "ReadSchema" in plan else True
+
+
+def test_no_nested_loop_join_in_one_row_combinations(spark):
+    from __spark_entry__ import queries
+    qs = queries()
+    for name in ("baseline_lift", "size_describe", "site_distance_quantiles", "class_distribution"):
+        df = qs[name](spark, SF001)
+        df.collect()
+        plan = _plan(df)
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
