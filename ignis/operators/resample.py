@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ignis.functions.hashing import RANGE as HASH_RANGE
 from ignis.functions.hashing import with_mix
-from ignis.operators.metrics import metrics_from_counts, ranking_metrics
+from ignis.operators.metrics import metrics_from_counts
 from ignis.operators.prefix import prefix_sums, rank_rows
 
 def n_buckets_for(group_size: int, rows_per_bucket: int = 64) -> int:
@@ -139,36 +139,76 @@ def spread_for_expansion(df: DataFrame, key: str) -> DataFrame:
 
 def bootstrap_ci(df: DataFrame, label: str = "label", score: str = "score", pred: str = "pred", id_col: str = "id",
                  n_boot: int = 1000, seed: int = 42, probs: tuple[float, float] = (0.025, 0.975),
-                 checkpoint: bool = True) -> DataFrame:
+                 n_blocks: int | None = None, max_offset_rows: int = 1_000_000) -> DataFrame:
     """Bootstrap mean and percentile interval of ROC-AUC, PR-AUC, F1 and accuracy.
 
     Each replicate re-weights every row by an independent Poisson(1) count (the
     usual distributed stand-in for drawing n rows with replacement); replicates
-    with a single class are skipped.  Output: metric, mean, ci_low, ci_high, n_reps.
+    with a single class are skipped.
+
+    Plan: rows get a descending score block (bounds from the quantile sketch)
+    and only the N input rows are hash-partitioned by block.  The replicate
+    expansion, the (block, replicate, score) aggregation and the in-block
+    running sums all stay inside those partitions (hash partitioning on the
+    block satisfies clustering on (block, replicate)), so the N x replicates
+    rows are never shuffled, even when every score is distinct.  Only the
+    (replicate x block) offset table crosses the network; its size is bounded
+    by ``max_offset_rows`` and it is broadcast.
+    Output: metric, mean, ci_low, ci_high, n_reps.
     """
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
-    x = spread_for_expansion(df.select(id_col, label, score, pred), id_col).withColumn("rep", rep)
+    from ignis.operators.prefix import _block_index, block_bounds
+    base = df.select(id_col, label, F.col(score).cast("double").alias("score"), pred).where(F.col("score").isNotNull())
+    n = base.count()
+    if n_blocks is None:
+        # enough blocks to spread the expansion evenly over the cores and keep a
+        # block x replicates slice near 2e7 rows, capped by the offset table size
+        par = base.sparkSession.sparkContext.defaultParallelism
+        want = max(8 * par, int(math.ceil(n * n_boot / 2e7)))
+        n_blocks = max(8, min(want, max_offset_rows // max(n_boot, 1)))
+    bounds = block_bounds(base, "score", n_blocks)
+    k = len(bounds)
+    parts = max(base.sparkSession.sparkContext.defaultParallelism, min(k + 1, 4096))
+    x = base.withColumn("__blk", (F.lit(k) - _block_index(F.col("score"), bounds)).cast("int"))
+    x = x.repartition(parts, "__blk")
+    x = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     x = with_mix(x, "__h", id_col, replicate_seed(F.col("rep"), seed))
     x = x.withColumn("__u", F.col("__h") / F.lit(float(HASH_RANGE)))
     x = x.withColumn("w", poisson_weight(F.col("__u")))
-    # Zero-weight rows are dropped after the (partial) aggregate: a filter on
-    # the weight itself would be pushed below the projections and re-inline
-    # the hash into every inverse-CDF comparison.
-    agg = (x.groupBy("rep", F.col(score).cast("double").alias("score"), label, pred)
-            .agg(F.sum("w").cast("double").alias("w")).where(F.col("w") > 0))
-    if checkpoint:
-        agg = agg.checkpoint(eager=True)
+    # zero-weight rows are dropped after the aggregate: a filter on the weight
+    # would be pushed below the projections and re-inline the hash
+    agg = (x.groupBy("__blk", "rep", "score", label, pred).agg(F.sum("w").cast("double").alias("w"))
+            .where(F.col("w") > 0))
     y, p, w = F.col(label), F.col(pred), F.col("w")
-    counts = agg.groupBy("rep", "score").agg(F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"),
-                                             F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg"))
-    rank = ranking_metrics(counts, ["rep"])
-    cm = agg.groupBy("rep").agg(*[F.sum(F.when(cond, w).otherwise(0.0)).alias(n) for n, cond in (
-        ("tn", (y == 0) & (p == 0)), ("fp", (y == 0) & (p == 1)), ("fn", (y == 1) & (p == 0)), ("tp", (y == 1) & (p == 1)))])
-    cm = metrics_from_counts(cm).select("rep", "f1", "accuracy")
+    # pass 1: per (replicate, block) totals, incl. the confusion counts -- a
+    # small table (n_boot x blocks rows), checkpointed to cut the lineage
+    cells = (("__tp", y == 1), ("__tn", y == 0), ("tn", (y == 0) & (p == 0)), ("fp", (y == 0) & (p == 1)),
+             ("fn", (y == 1) & (p == 0)), ("tp", (y == 1) & (p == 1)))
+    tot = (agg.groupBy("rep", "__blk").agg(*[F.sum(F.when(c, w).otherwise(0.0)).alias(nm) for nm, c in cells])
+              .checkpoint(eager=True))
+    before = Window.partitionBy("rep").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select("rep", "__blk", F.coalesce(F.sum("__tp").over(before), F.lit(0.0)).alias("__op"),
+                         F.coalesce(F.sum("__tn").over(before), F.lit(0.0)).alias("__on"))
+    cm = metrics_from_counts(tot.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")]))
+    cm = cm.select("rep", "f1", "accuracy")
+    # pass 2: in-block running sums in descending score order plus the offsets
+    sc = agg.groupBy("__blk", "rep", "score").agg(F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"),
+                                                  F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg"))
+    sc = sc.join(F.broadcast(offsets), ["rep", "__blk"])
+    wb = Window.partitionBy("__blk", "rep").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sc = sc.select("rep", "pos", "neg", (F.sum("pos").over(wb) + F.col("__op")).alias("cum_pos"),
+                   (F.sum("neg").over(wb) + F.col("__on")).alias("cum_neg"))
+    pos, neg, cpos, cneg = F.col("pos"), F.col("neg"), F.col("cum_pos"), F.col("cum_neg")
+    rank = sc.groupBy("rep").agg(
+        F.sum(pos).alias("n_pos"), F.sum(neg).alias("n_neg"),
+        F.sum(pos * cneg - 0.5 * pos * neg).alias("__disc"),
+        F.sum(F.when(cpos + cneg > 0, pos * cpos / (cpos + cneg)).otherwise(0.0)).alias("__ap"))
+    P, N = F.col("n_pos"), F.col("n_neg")
+    rank = rank.select("rep", "n_pos", "n_neg", (F.lit(1.0) - F.col("__disc") / (P * N)).alias("roc_auc"),
+                       (F.col("__ap") / P).alias("average_precision"))
     reps = rank.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).join(cm, "rep")
     names = {"roc_auc": "roc_auc", "pr_auc": "average_precision", "f1": "f1", "accuracy": "accuracy"}
-    long = reps.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).alias("value"))
-                                           for k, v in names.items()])).alias("__m")).select("__m.*")
+    long = reps.select(F.explode(F.array(*[F.struct(F.lit(k_).alias("metric"), F.col(v).alias("value"))
+                                           for k_, v in names.items()])).alias("__m")).select("__m.*")
     # group size is n_boot (a parameter), so the exact percentile buffer is bounded
     return long.groupBy("metric").agg(F.avg("value").alias("mean"),
                                       F.percentile("value", probs[0]).alias("ci_low"),
