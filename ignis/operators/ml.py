@@ -199,7 +199,7 @@ def sampled_shapley(model: Model, explain: DataFrame, background: DataFrame, fea
     """Sampled Shapley values (Strumbelj & Kononenko, 2014) for every row of
     ``explain``: for each sample a random feature order and a background row;
     phi_j = mean over samples of f(x with j and its predecessors) - f(same
-    without j).  Output per (id, feature): shap_value.  The background table is
+    without j).  Output per (id, feature): shapley_value.  The background table is
     broadcast; its size is fixed by the caller (a sample of n rows)."""
     p = len(feature_cols)
     bg = background.select(*feature_cols)
@@ -223,15 +223,15 @@ def sampled_shapley(model: Model, explain: DataFrame, background: DataFrame, fea
     prob = vector_to_array(F.col("probability"))[1]
     contrib = F.when(F.col("__with") == 1, prob).otherwise(-prob)
     names = F.array(*[F.lit(c) for c in feature_cols])
-    return (t.groupBy(id_col, "__j").agg((F.sum(contrib) / F.lit(n_samples)).alias("shap_value"))
-             .select(id_col, F.element_at(names, F.col("__j") + 1).alias("feature"), "shap_value"))
+    return (t.groupBy(id_col, "__j").agg((F.sum(contrib) / F.lit(n_samples)).alias("shapley_value"))
+             .select(id_col, F.element_at(names, F.col("__j") + 1).alias("feature"), "shapley_value"))
 
 
-def shap_summary(shap: DataFrame) -> DataFrame:
-    """Features ranked by mean |SHAP value| (the beeswarm's ordering)."""
-    s = shap.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"),
-                                    F.avg("shap_value").alias("mean_shap"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_abs_shap").desc(), F.col("feature"))))
+def shapley_summary(values: DataFrame) -> DataFrame:
+    """Features ranked by mean |Shapley value| (the ordering of an attribution summary plot)."""
+    s = values.groupBy("feature").agg(F.avg(F.abs("shapley_value")).alias("mean_abs_shapley"),
+                                    F.avg("shapley_value").alias("mean_shapley"))
+    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_abs_shapley").desc(), F.col("feature"))))
 
 
 def regression_forest(n_trees: int = 100, max_depth: int = 16, seed: int = 42) -> RandomForestRegressor:

@@ -486,8 +486,8 @@ def q_sampled_shapley(spark, sf):
     model, tr, te = _main_fit(spark, sf)
     explain = RS.sample_n(te, 5000, seed=SEED)
     background = RS.sample_n(tr, 100, seed=SEED + 1)
-    shap = ML.sampled_shapley(model, explain, background, V.FEATURE_COLS, n_samples=10, seed=SEED)
-    return finish(ML.shap_summary(shap))
+    values = ML.sampled_shapley(model, explain, background, V.FEATURE_COLS, n_samples=10, seed=SEED)
+    return finish(ML.shapley_summary(values))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

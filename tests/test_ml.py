@@ -47,8 +47,8 @@ def test_sampled_shapley_efficiency(spark, planted):
     model = ML.gradient_boosting(max_iter=5, depth=3, seed=1).fit(ML.assemble(tr, V.FEATURE_COLS))
     explain = RS.sample_n(te, 20)
     bg = RS.sample_n(tr, 1)          # one background row: sum of phi == f(x) - f(z) exactly
-    shap = ML.sampled_shapley(model, explain, bg, V.FEATURE_COLS, n_samples=3)
-    sums = {r.id: r.s for r in shap.groupBy("id").agg(F.sum("shap_value").alias("s")).collect()}
+    values = ML.sampled_shapley(model, explain, bg, V.FEATURE_COLS, n_samples=3)
+    sums = {r.id: r.s for r in values.groupBy("id").agg(F.sum("shapley_value").alias("s")).collect()}
     fx_ = {r.id: r.score for r in ML.score(model, ML.assemble(explain, V.FEATURE_COLS)).collect()}
     fz = ML.score(model, ML.assemble(bg, V.FEATURE_COLS)).first().score
     for i, s in sums.items():
