@@ -178,20 +178,18 @@ def _grid(sample: DataFrame, col: str, resolution: int, percentiles=(0.05, 0.95)
 def partial_dependence(model: Model, sample: DataFrame, feature_cols: Sequence[str], features: Sequence[str],
                        resolution: int = 50) -> DataFrame:
     """Average predicted probability when one feature is set to each grid value
-    for every sampled row (rows x grid expanded inside tasks, one transform)."""
-    parts = []
-    for f in features:
-        grid = _grid(sample, f, resolution)
-        x = sample.select(*feature_cols).withColumn("grid_value", F.explode(F.array(*[F.lit(v) for v in grid])))
-        x = x.withColumn(f, F.col("grid_value"))
-        t = model.transform(assemble(x, feature_cols))
-        p = vector_to_array(F.col("probability"))[1]
-        parts.append(t.groupBy("grid_value").agg(F.avg(p).alias("average_probability"))
-                     .select(F.lit(f).alias("feature"), "grid_value", "average_probability"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for every sampled row.  All (feature, grid value) pairs are expanded in one
+    pass inside the tasks, the chosen feature's column is overridden per pair,
+    and everything is scored with a single ``transform`` and one aggregate."""
+    pairs = [(f, float(v)) for f in features for v in _grid(sample, f, resolution)]
+    grid = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("grid_value")) for f, v in pairs])
+    x = sample.select(*feature_cols).withColumn("__g", F.explode(grid)).select("*", "__g.*").drop("__g")
+    x = x.select("feature", "grid_value",
+                 *[F.when(F.col("feature") == c, F.col("grid_value")).otherwise(F.col(c).cast("double")).alias(c)
+                   if c in features else F.col(c) for c in feature_cols])
+    t = model.transform(assemble(x, feature_cols))
+    p = vector_to_array(F.col("probability"))[1]
+    return t.groupBy("feature", "grid_value").agg(F.avg(p).alias("average_probability"))
 
 
 def sampled_shapley(model: Model, explain: DataFrame, background: DataFrame, feature_cols: Sequence[str],
