@@ -58,6 +58,21 @@ def q_incident_scan(spark, sf):
     return finish(fx.incidents(spark, sf))
 
 
+def q_incident_landed_scan(spark, sf):
+    """Incidents landed as text under their raw column names, scanned with a
+    declared all-string schema and coerced leniently (the raw-ingest path)."""
+    raw = fx.incidents(spark, sf).select(
+        F.col("inc_id").alias("FIRE_ID"), F.col("yr").alias("YEAR"), F.col("mo").alias("MONTH"),
+        F.col("dy").alias("DAY"), F.col("cause").alias("CAUSE"), F.col("agency").alias("SRC_AGENCY"),
+        F.col("lat").alias("LATITUDE"), F.col("lon").alias("LONGITUDE"), F.col("size_ha").alias("SIZE_HA"),
+        F.col("calc_ha").alias("CALC_HA"))
+    path = scratch_path(spark, f"incidents_csv_{uuid.uuid4().hex}")
+    FS.write_csv(raw, path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in raw.columns])
+    landed = FS.read_optional(spark, path, schema, fmt="csv", header="true")
+    return finish(C.standardize_incidents(landed))
+
+
 def q_table_preview(spark, sf):
     _, head = FS.preview(fx.incidents(spark, sf), 10, ["inc_id"])
     return finish(head)
