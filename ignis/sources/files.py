@@ -60,8 +60,17 @@ def read_csv_union(spark: SparkSession, path: str, encoding: str = "UTF-8", rena
         if keep_corrupt:
             cols.append(F.col("_corrupt_record"))
         if lineage:
+            # file name plus a position that increases with the line order of
+            # each file (splits of one file are read in offset order), so
+            # "first row in sorted file order" is (source_file, source_pos)
             cols.append(F.col("_metadata.file_name").alias("source_file"))
-        parts.append(df.select(*cols))
+            cols.append(F.col("_metadata.file_block_start").alias("__blk_start"))
+            cols.append(F.monotonically_increasing_id().alias("__mono"))
+        part = df.select(*cols)
+        if lineage:
+            part = (part.withColumn("source_pos", F.struct("__blk_start", "__mono"))
+                        .drop("__blk_start", "__mono"))
+        parts.append(part)
     if not parts:
         raise FileNotFoundError(path)
     out = parts[0]

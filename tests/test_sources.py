@@ -20,7 +20,11 @@ def test_csv_union_by_name_with_encodings(spark):
     _write(f"{d}/climate_daily_A_2000.csv", "Station Name,Year,Max Temp (°C)\nA,2000,12.5\nA,2000,\n", "utf-8-sig")
     _write(f"{d}/climate_daily_B_2000.csv", "Year,Station Name,Total Precip (mm),Max Temp (°C)\n2000,B,3.0,7\n", "utf-8")
     df = FS.read_csv_union(spark, f"{d}/*.csv")
-    assert set(df.columns) == {"station_name", "year", "max_temp_c", "total_precip_mm", "source_file"}
+    assert set(df.columns) == {"station_name", "year", "max_temp_c", "total_precip_mm", "source_file", "source_pos"}
+    from ignis.operators.tables import first_non_null
+    first = first_non_null(df, "station_name", ["max_temp_c"], ["source_file", "source_pos"]).collect()
+    assert {r.station_name: r.max_temp_c for r in first} == {"A": "12.5", "B": "7"}
+    df = df.drop("source_pos")
     rows = sorted(((r.station_name, r.max_temp_c, r.total_precip_mm, r.source_file) for r in df.collect()),
                   key=lambda t: tuple("" if v is None else v for v in t))
     assert rows == [("A", None, None, "climate_daily_A_2000.csv"), ("A", "12.5", None, "climate_daily_A_2000.csv"),
@@ -77,3 +81,13 @@ def test_station_filter_manifest_and_csv_sink(spark):
     assert got == [2001, 2002]
     FS.write_csv(sl, f"{d}/out")
     assert spark.read.option("header", True).csv(f"{d}/out").count() == 1
+
+
+def test_first_non_null_in_file_order(spark):
+    from ignis.operators.tables import first_non_null
+    d = tempfile.mkdtemp(prefix="ignis-csv-")
+    _write(f"{d}/a_1.csv", "Station Name,Max Temp (°C)\nA,\nA,9\nA,12.5\nB,4\n", "utf-8")
+    _write(f"{d}/a_2.csv", "Station Name,Max Temp (°C)\nA,1\nB,0\n", "utf-8")
+    df = FS.read_csv_union(spark, f"{d}/*.csv")
+    first = first_non_null(df, "station_name", ["max_temp_c"], ["source_file", "source_pos"]).collect()
+    assert {r.station_name: r.max_temp_c for r in first} == {"A": "9", "B": "4"}
