@@ -51,3 +51,28 @@ def test_no_nested_loop_join_in_one_row_combinations(spark):
         df.collect()
         plan = _plan(df)
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_weather_window_partitioned_by_site_and_block(spark):
+    from ignis.operators.climate import weather_features
+    from ignis.operators.clean import fire_date
+    from ignis.operators.nearest import nearest_site
+    inc = fire_date(nearest_site(V.clean(spark, SF001), fx.sites(spark, SF001)))
+    df = weather_features(inc, fx.daily_obs(spark, SF001), probe_site="nearest_site", probe_date="fire_date")
+    df.collect()
+    plan = _plan(df)
+    assert plan.count("Window [") == 1                     # day-of, 7-day and 30-day frames in one node
+    assert "hashpartitioning(__site" in plan and "__blk" in plan.split("hashpartitioning(__site")[1].split(")")[0]
+
+
+def test_bootstrap_expansion_is_not_shuffled(spark):
+    from ignis.operators.resample import bootstrap_ci
+    df = bootstrap_ci(fx.scored(spark, SF001), n_boot=20)
+    df.collect()
+    plan = _plan(df)
+    # the only exchange keyed by the score block is the repartition of the input rows
+    assert "REPARTITION_BY_NUM" in plan or "REPARTITION_BY_COL" in plan
+    for line in plan.split("\n"):
+        if "Exchange hashpartitioning(" in line and "ENSURE_REQUIREMENTS" in line:
+            keys = line.split("Exchange hashpartitioning(")[1]
+            assert not keys.startswith("__blk"), line    # no re-shuffle of expanded rows by block
