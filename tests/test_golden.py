@@ -136,3 +136,11 @@ def test_empty_inputs(spark):
     assert histogram(e, "v", group="g").count() == 0
     assert describe_positive(e, []).count() == 0
     assert describe_positive(e, ["v"]).first().n == 0
+
+
+def test_sentinel_and_column_guard(spark):
+    from ignis.functions.columns import null_if_sentinel
+    from ignis.operators.clean import has_columns
+    df = spark.createDataFrame([(-999.0,), (3.0,), (None,)], "v double")
+    assert [r.v for r in df.select(null_if_sentinel("v").alias("v")).collect()] == [None, 3.0, None]
+    assert has_columns(df, ["v"]) and not has_columns(df, ["v", "w"])
