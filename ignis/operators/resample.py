@@ -231,7 +231,8 @@ def permutation_test(df: DataFrame, label: str = "label", score: str = "score",
     rank sum of the (fixed) average score ranks.  p = mean(perm >= observed),
     without +1 correction.  Output: observed_auc, perm_mean, perm_std, p_value,
     p_value_corrected, n_perm."""
-    r = average_ranks(df.select(id_col, label, score), score).select(id_col, label, "avg_rank")
+    # N rows, read by the totals and by both expansion passes: materialize once
+    r = average_ranks(df.select(id_col, label, score), score).select(id_col, label, "avg_rank").checkpoint(eager=True)
     tot = r.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("np"), F.count(F.lit(1)).alias("n"),
                 F.sum(F.when(F.col(label) == 1, F.col("avg_rank")).otherwise(0.0)).alias("rs")).first()
     n_pos, n = int(tot["np"] or 0), int(tot["n"] or 0)
