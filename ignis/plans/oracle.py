@@ -436,6 +436,7 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["incident_scan"] = with_("incidents") + f"SELECT {_INC_COLS} FROM incidents"
     q["incident_landed_scan"] = q["incident_scan"]
+    q["table_shape"] = with_("incidents") + "SELECT count(*) AS n_rows, 10 AS n_cols FROM incidents"
     q["table_preview"] = with_("incidents") + f"SELECT {_INC_COLS} FROM incidents ORDER BY inc_id LIMIT 10"
     q["clean_incidents"] = with_("clean") + f"SELECT {_INC_COLS}, target FROM clean"
     q["size_features"] = with_("sized") + _sel(["fire_size", "log_size", "log_size_fallback", "log10_size"],

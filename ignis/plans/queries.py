@@ -73,6 +73,11 @@ def q_incident_landed_scan(spark, sf):
     return finish(C.standardize_incidents(landed))
 
 
+def q_table_shape(spark, sf):
+    shape, _ = FS.preview(fx.incidents(spark, sf))
+    return shape
+
+
 def q_table_preview(spark, sf):
     _, head = FS.preview(fx.incidents(spark, sf), 10, ["inc_id"])
     return finish(head)
