@@ -14,8 +14,8 @@ leaves.  Similarity is matched k-mers over all k-mers of both.
 No bucket is expanded into all its pairs.  Copies are collapsed first; in each
 bucket every text is verified against one centre, the member that meets most
 others; components follow, and only buckets that still hold several components
-are looked at again: all pairs across components there are verified, so no link
-between two texts of a bucket is lost.
+are looked at again, tile by tile: all pairs across components there are
+verified, so no link between two texts of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ K, THRESHOLD = 5, 0.8
 MINIMA, SKETCHES, BANDS = 2, 3, 20
 #: K-mers that one verifying group should hold, and that one copy of a centre should serve.
 GROUP_KMERS, CENTRE_KMERS = 1_000_000, 250_000
+#: Texts and k-mers of a tile, where a cluster of unlinked candidates is compared tile by tile.
+TILE_TEXTS, TILE_KMERS = 256, 500_000
 SLICE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -246,8 +248,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     kmers_of = cut(_texts_kmers(source, known.join(buckets.select("node").distinct(), "node")))
     edges = cut(_verify(star, kmers_of, threshold))
     labels = components(edges)
-    rest = _across(buckets, labels, star, threshold)
-    more = cut(_verify(rest, kmers_of, threshold))
+    more = cut(_across(buckets, labels, known, kmers_of, threshold))
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
     of_text = reps.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("class"))
@@ -260,18 +261,65 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         "doc_id", "text_hash", "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
-def _across(buckets: DataFrame, labels: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, centre, n) that share a bucket, lie in different components, and
-    were not verified yet."""
+def _across(buckets: DataFrame, labels: DataFrame, keys_of: DataFrame, kmers_of: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts that share a bucket and still lie in different
+    components.
+
+    Buckets with several components are joined to clusters, a cluster's texts
+    are dealt into tiles, and every pair of tiles is one piece of work: its task
+    compares band keys, and aligns the pairs that share one, differ in
+    component and fit in size.  Pairs never become rows, and no task holds more
+    than a few tiles."""
     now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    now = cut(now.join(mixed, "key").select("key", "node", "n", "label"))
-    other = now.select("key", F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("label").alias("other"))
-    fits = F.least("n", "centre_n") >= F.lit(threshold) * F.greatest("n", "centre_n")
-    pairs = now.join(other, "key").where((F.col("node") < F.col("centre")) & (F.col("label") != F.col("other")) & fits).select(
-        F.col("node").alias("a"), "centre", "n").distinct()
-    tried = done.select("a", "centre").unionByName(done.select(F.col("centre").alias("a"), F.col("a").alias("centre")))
-    return cut(pairs.join(tried, ["a", "centre"], "left_anti"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("anchor")).where("lo < hi")
+    now = cut(now.join(mixed.select("key", "anchor"), "key").select("node", "n", "label", "anchor"))
+    cluster = components(now.where("node != anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).distinct())
+    members = now.select("node", "n", "label").distinct().join(
+        cluster.select("node", F.col("label").alias("cluster")), "node")
+    size = members.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count("*") / F.lit(TILE_TEXTS)), F.ceil(F.sum("n") / F.lit(TILE_KMERS))).cast("int").alias("tiles"))
+    work = members.join(size, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    work = cut(work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "cluster", "node", "n", "label", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")))
+    load = work.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    part = F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(int(load) // TILE_KMERS + 1)).cast("int")
+    work = (work.withColumn("part", part).join(keys_of.select("node", "keys"), "node")
+            .join(kmers_of.select(F.col("node").alias("text"), "kmers"), F.col("node") == F.col("text")).drop("text"))
+    def links(rows):
+        out = []
+        for _, own in rows.groupby(["cluster", "lo", "hi"], sort=False):
+            out += _tile_links(own["node"].to_numpy(), own["n"].to_numpy(), own["label"].to_numpy(), own["tile"].to_numpy(),
+                               np.stack(own["keys"].to_list()), own["kmers"].to_list(), threshold)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return work.groupBy("part").applyInPandas(links, "a long, b long")
+
+
+def _tile_links(node, n, label, tile, keys, kmers_of, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different components; pairs whose components a
+    link found here has joined already are passed over."""
+    shared = np.zeros((len(node), len(node)), dtype=np.int16)
+    for band in range(keys.shape[1]):
+        shared += keys[:, band][:, None] == keys[:, band][None, :]
+    fits = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+    across = tile[:, None] != tile[None, :] if tile.min() != tile.max() else np.ones_like(fits)
+    i, j = np.nonzero(np.triu((shared > 0) & fits & across & (label[:, None] != label[None, :]), 1))
+    parent = {v: v for v in label.tolist()}
+    def root(v):
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+    order = [None] * len(node)
+    found = []
+    for x, y in zip(*(v[np.argsort(-shared[i, j], kind="stable")].tolist() for v in (i, j))):
+        a, b = root(label[x]), root(label[y])
+        if a == b:
+            continue
+        if order[y] is None:
+            order[y] = np.argsort(kmers_of[y])
+        if similarity(kmers_of[x], kmers_of[y], threshold, order[y]) >= threshold:
+            parent[a] = b
+            found.append((int(node[x]), int(node[y])))
+    return found
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
