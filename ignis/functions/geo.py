@@ -17,10 +17,4 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     dlat = p2 - p1
     dlon = F.radians(_c(lon2)) - F.radians(_c(lon1))
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dlon / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(a))
-
-
-def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    """The same formula as SQL text (DuckDB/Spark SQL)."""
-    return (f"2*{EARTH_RADIUS_KM}e0*asin(sqrt(pow(sin((radians({lat2})-radians({lat1}))/2),2)"
-            f"+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2)))")
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))  # rounding can pass 1 at antipodes

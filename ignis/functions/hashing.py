@@ -1,12 +1,17 @@
 """A seeded integer hash that any SQL engine can replay bit for bit.
 
 ``xxhash64`` cannot be replayed outside Spark, so sampling, splits and
-resampling use this small mixer: a linear step modulo the Mersenne prime
-2**31 - 1, then the fractional part of a square root (IEEE ``sqrt`` is
-correctly rounded, so every engine gets the same bits), twice.  Each stage
-reads the previous one exactly once, so the expression stays small wherever
-the optimizer inlines it, and every product stays below 2**62 (no overflow
-under ANSI mode, whatever the size of the ids).  Output range: [0, 2**31).
+resampling use this small mixer.  A lane is a linear step modulo a prime, then
+the fractional part of a square root (IEEE ``sqrt`` is correctly rounded, so
+every engine gets the same bits), twice: 31 bits.  A hash joins two lanes with
+different primes and constants to 62 bits, so ids that agree modulo one prime
+still differ.  Each stage reads the previous one exactly once, so the expression
+stays small wherever the optimizer inlines it, and every product stays below
+2**62 (no overflow under ANSI mode, whatever the size of the ids).
+
+Replicates (permutations, bootstrap draws) hash the row once and mix the
+replicate number into both lanes; two rows share a draw with a chance of 2**-31,
+in each replicate anew.
 """
 
 from __future__ import annotations
@@ -15,39 +20,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the mixer.
-P = 2147483647          # modulus of the linear steps (2**31 - 1)
-RANGE = 2147483648      # output range (2**31)
-A1, B1, S1 = 1103515245, 12345, 40503
-A3, B3 = 48271, 2654435
+LANES = (
+    (2147483647, 1103515245, 12345, 40503, 48271, 2654435),     # modulus, then the constants of the two steps
+    (2147483629, 1140671485, 12820163, 69069, 69621, 1013904),
+)
+LANE = 2147483648       # output range of a lane (2**31)
+RANGE = LANE * LANE     # output range of a hash (2**62)
+REP_A, REP_B, REP_C = 1597334677, 1099087573, 747796405
 
 
 def _frac_sqrt(h: Column) -> Column:
     s = F.sqrt(h.cast("double") + F.lit(0.5))
-    return F.floor((s - F.floor(s)) * F.lit(float(RANGE))).cast("long")
+    return F.floor((s - F.floor(s)) * F.lit(float(LANE))).cast("long")
+
+
+def _lane(xc: Column, sc: Column, lane: tuple) -> Column:
+    p, a1, b1, s1, a3, b3 = lane
+    h = F.pmod(F.pmod(xc.cast("long"), F.lit(p)) * F.lit(a1)
+               + F.pmod(sc.cast("long"), F.lit(p)) * F.lit(s1) + F.lit(b1), F.lit(p))
+    return _frac_sqrt(F.pmod(_frac_sqrt(h) * F.lit(a3) + F.lit(b3), F.lit(p)))
 
 
 def mix_col(x, seed=0) -> Column:
-    """Pseudo-random integer in [0, 2**31) from an integer column and a seed (int or Column)."""
+    """Pseudo-random integer in [0, 2**62) from an integer column and a seed (int or Column)."""
     xc = F.col(x) if isinstance(x, str) else x
     sc = F.lit(int(seed)) if isinstance(seed, int) else seed
-    h = F.pmod(F.pmod(xc.cast("long"), F.lit(P)) * F.lit(A1)
-               + F.pmod(sc.cast("long"), F.lit(P)) * F.lit(S1) + F.lit(B1), F.lit(P))
-    h = _frac_sqrt(h)
-    h = F.pmod(h * F.lit(A3) + F.lit(B3), F.lit(P))
-    return _frac_sqrt(h)
-
-
-def _frac_sqrt_sql(h: str) -> str:
-    return (f"cast(floor((sqrt(cast({h} AS double) + 0.5e0) - floor(sqrt(cast({h} AS double) + 0.5e0)))"
-            f" * {float(RANGE)!r}) AS bigint)")
-
-
-def mix_sql(x: str, seed: str | int = 0) -> str:
-    h = (f"(((cast({x} AS bigint) % {P} + {P}) % {P}) * {A1} "
-         f"+ ((cast({seed} AS bigint) % {P} + {P}) % {P}) * {S1} + {B1}) % {P}")
-    h = _frac_sqrt_sql(h)
-    h = f"(({h}) * {A3} + {B3}) % {P}"
-    return _frac_sqrt_sql(h)
+    hi, lo = (_lane(xc, sc, lane) for lane in LANES)
+    return hi * F.lit(LANE) + lo
 
 
 def with_mix(df, out: str, x, seed=0):
@@ -55,10 +54,17 @@ def with_mix(df, out: str, x, seed=0):
     return df.withColumn(out, mix_col(x, seed))
 
 
-def uniform_col(x, seed=0) -> Column:
-    """Pseudo-uniform double in [0, 1)."""
-    return mix_col(x, seed) / F.lit(float(RANGE))
+def with_replicate_mix(df, out: str, h: str, rep: str):
+    """``df`` plus column ``out`` in [0, 2**31): the draw of replicate ``rep``
+    from a row's hash ``h``."""
+    p = F.lit(LANES[0][0])
+    hi, lo = F.shiftright(h, 31), F.col(h).bitwiseAND(F.lit(LANE - 1))
+    rep_mix = F.pmod(F.col(rep).cast("long") * F.lit(REP_A) + F.lit(REP_B), p)
+    mixed = F.pmod(F.pmod(hi, p) * rep_mix + F.pmod(lo, p) * F.lit(REP_C) + F.lit(LANES[0][2]), p)
+    return df.withColumn(out, _frac_sqrt(F.pmod(_frac_sqrt(mixed) * F.lit(LANES[0][4]) + F.lit(LANES[0][5]), p)))
 
 
-def uniform_sql(x: str, seed: str | int = 0) -> str:
-    return f"(({mix_sql(x, seed)}) / {float(RANGE)!r})"
+def bucket_col(h, n_buckets: int, bits: int = 62) -> Column:
+    """floor(h * n_buckets / 2**bits) of a hash (62 bits) or a draw (31)."""
+    top = F.shiftright(h, 31) if bits == 62 else h
+    return F.floor(top * F.lit(n_buckets) / F.lit(float(LANE))).cast("long")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ignis.functions.columns import clip_lower, lenient_double, lenient_int
 from ignis.functions.dates import day_of_week, day_of_year, doy_cos, doy_sin, safe_date, weekend_flag
@@ -119,23 +118,19 @@ def fire_date(df: DataFrame) -> DataFrame:
     return df.withColumn("fire_date", safe_date("yr", "mo", "dy"))
 
 
-def label_encode(df: DataFrame, col: str, out: str, fill: str | None = None,
-                 broadcast_limit: int = 200_000) -> DataFrame:
+def label_encode(df: DataFrame, col: str, out: str, fill: str | None = None) -> DataFrame:
     """Dense alphabetical index of ``col`` (0-based) joined back by value.
 
     ``fill=None`` keeps a missing value missing; otherwise missing values are
-    first replaced by ``fill`` and encoded like any other value.  The
-    dictionary is built from the distinct values; it is broadcast only after
-    its size has been checked, otherwise a shuffle join is used.
+    first replaced by ``fill`` and encoded like any other value.  The dictionary
+    of distinct values is stored and ranked once; whether it is broadcast or
+    shuffled is decided by its measured size at run time.
     """
     src = F.coalesce(F.col(col), F.lit(fill)) if fill is not None else F.col(col)
     keyed = df.withColumn("__enc_key", src)
     dictionary = keyed.select("__enc_key").where(F.col("__enc_key").isNotNull()).distinct()
-    n_values = dictionary.count()
     from ignis.operators.prefix import dense_rank_values
-    codes = dense_rank_values(dictionary, "__enc_key", out, n_values=n_values)
-    if n_values <= broadcast_limit:
-        codes = F.broadcast(codes)
+    codes = dense_rank_values(dictionary, "__enc_key", out).checkpoint(eager=True)
     return keyed.join(codes, "__enc_key", "left").drop("__enc_key")
 
 
@@ -156,6 +151,3 @@ def climate_derived(df: DataFrame) -> DataFrame:
 def has_columns(df: DataFrame, cols: Sequence[str]) -> bool:
     return all(c in df.columns for c in cols)
 
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

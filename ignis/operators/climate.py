@@ -53,7 +53,9 @@ def weather_features(probes: DataFrame, obs: DataFrame, site_col: str = "site_id
                    F.array(blk_of, blk_of + 1)).otherwise(F.array(blk_of))))
           .withColumn("__is_obs", F.lit(1)))
     keys = (probes.select(F.col(probe_site).alias("__site"), day_number(probe_date).alias("__dn"))
-                  .where(F.col("__site").isNotNull() & F.col("__dn").isNotNull()).distinct())
+                  .where(F.col("__site").isNotNull() & F.col("__dn").isNotNull()).distinct().checkpoint(eager=True))
+    # only the (site, block) pairs that some probe asks for are shuffled and sorted
+    o = o.join(keys.select("__site", blk_of.alias("__blk")).distinct(), ["__site", "__blk"], "left_semi").select(*o.columns)
     p = keys.select("__site", "__dn", F.lit(None).cast("double").alias("__ord"),
                     *[F.lit(None).cast("double").alias(m) for m in measures],
                     blk_of.alias("__blk"), F.lit(0).alias("__is_obs"))

@@ -100,21 +100,24 @@ def prob_losses(df: DataFrame, label: str = "label", score: str = "score", eps:
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score", weight: str | None = None,
                  group_cols: Sequence[str] = ()) -> DataFrame:
-    """(group, score) -> pos, neg  (weighted if ``weight``); partial aggregate."""
+    """(group, score) -> pos, neg  (weighted if ``weight``): a partial aggregate,
+    checkpointed, so that curves and totals read the distinct scores and the
+    input is scanned once."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col(label)
     return (df.where(F.col(score).isNotNull())
               .groupBy(*group_cols, F.col(score).cast("double").alias("score"))
               .agg(F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"),
-                   F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg")))
+                   F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg"))
+              .checkpoint(eager=True))
 
 
-def ranking_sums(counts: DataFrame, group_cols: Sequence[str] = (), n_blocks: int = 200) -> DataFrame:
+def ranking_sums(counts: DataFrame, group_cols: Sequence[str] = (), n_blocks: int | None = None) -> DataFrame:
     """Descending running totals tp (cum_pos) and fp (cum_neg) per distinct score."""
-    return prefix_sums(counts, "score", ["pos", "neg"], group_cols, descending=True, n_blocks=n_blocks)
+    return prefix_sums(counts, "score", ["pos", "neg"], group_cols, descending=True, n_blocks=n_blocks, stored=True)
 
 
-def ranking_metrics(counts: DataFrame, group_cols: Sequence[str] = (), n_blocks: int = 200) -> DataFrame:
+def ranking_metrics(counts: DataFrame, group_cols: Sequence[str] = (), n_blocks: int | None = None) -> DataFrame:
     """ROC-AUC (ties = 1/2) and average precision per group, one pass over the
     distinct scores."""
     r = ranking_sums(counts, group_cols, n_blocks)
@@ -185,6 +188,7 @@ def calibration(df: DataFrame, label: str = "label", score: str = "score") -> Da
 def baseline_lift(df: DataFrame, label: str = "label", score: str = "score", pred: str = "pred") -> DataFrame:
     """Majority-class accuracy, prevalence (random PR-AUC), 0.5 random ROC-AUC and
     the model's absolute / relative lift over each."""
+    df = df.select(label, score, pred).checkpoint(eager=True)  # read by the counts and by the ranking
     cm = metrics_from_counts(confusion_counts(df, label, pred)).select(
         "accuracy", ((F.col("tp") + F.col("fn")) / (F.col("tp") + F.col("fn") + F.col("tn") + F.col("fp"))).alias("prevalence"))
     rk = ranking_metrics(score_counts(df, label, score)).select("roc_auc", "average_precision")

@@ -18,8 +18,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ignis.functions.hashing import with_mix, with_replicate_mix
 from ignis.operators import metrics as M
-from ignis.operators.prefix import quantiles_wide
+from ignis.operators.prefix import plotting_quantiles
 from ignis.operators.resample import class_weights, sample_n, stratified_folds
 
 FEATURES = "features"
@@ -54,36 +55,64 @@ def logistic_regression(n_train: int, max_iter: int = 1000, c: float = 1.0, weig
     return lr
 
 
-def random_forest(n_trees: int = 100, max_depth: int = 16, seed: int = 42) -> RandomForestClassifier:
-    """Fully grown trees (no depth limit) are not available in MLlib (30 is its
-    maximum).  Each tree level is one distributed pass, so the default depth is
-    bounded at 16; pass ``max_depth=30`` for the closest match."""
+#: Deepest trees that MLlib grows; the closest to trees without a limit.
+MAX_DEPTH = 30
+MAX_BINS = 256
+
+
+def random_forest(n_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 42) -> RandomForestClassifier:
+    """A forest of trees grown as deep as MLlib allows."""
     return RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, seed=seed, featuresCol=FEATURES,
-                                  labelCol="label", maxBins=64, maxMemoryInMB=2048, cacheNodeIds=True,
+                                  labelCol="label", maxBins=MAX_BINS, maxMemoryInMB=2048, cacheNodeIds=True,
                                   checkpointInterval=10)
 
 
 def gradient_boosting(max_iter: int = 100, step: float = 0.1, depth: int = 3, min_leaf: int = 1,
                       subsample: float = 1.0, feature_subset: str = "all", seed: int = 42,
-                      weight: str | None = None, validation_col: str | None = None,
-                      tol: float = 1e-4) -> GBTClassifier:
+                      weight: str | None = None) -> GBTClassifier:
     g = GBTClassifier(maxIter=max_iter, stepSize=step, maxDepth=depth, minInstancesPerNode=min_leaf,
                       subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed,
                       featuresCol=FEATURES, labelCol="label", maxBins=64, cacheNodeIds=True, checkpointInterval=10)
     if weight:
         g.setWeightCol(weight)
-    if validation_col:
-        g.setParams(validationIndicatorCol=validation_col, validationTol=tol)
     return g
 
 
-def main_gbt(weight: str | None = "weight", validation_col: str | None = "is_validation", seed: int = 42) -> GBTClassifier:
-    """The main configuration: 500 trees, rate 0.05, depth 5, leaf >= 20, 80%
-    row subsampling, sqrt(p) features per split, class weights, early stopping
-    on a 10% validation slice (MLlib stops at the first non-improving round;
-    there is no patience parameter)."""
-    return gradient_boosting(max_iter=500, step=0.05, depth=5, min_leaf=20, subsample=0.8, feature_subset="sqrt",
-                             seed=seed, weight=weight, validation_col=validation_col, tol=1e-4)
+#: The main model stops once PATIENCE rounds on end have not improved the validation loss by TOLERANCE.
+MAIN_ROUNDS, PATIENCE, TOLERANCE = 500, 20, 1e-4
+
+
+def main_gbt(weight: str | None = "weight", seed: int = 42, rounds: int = MAIN_ROUNDS) -> GBTClassifier:
+    """The main configuration: 500 trees at most, rate 0.05, depth 5, leaf >= 20,
+    80% row subsampling, sqrt(p) features per split, class weights."""
+    return gradient_boosting(max_iter=rounds, step=0.05, depth=5, min_leaf=20, subsample=0.8, feature_subset="sqrt",
+                             seed=seed, weight=weight)
+
+
+def stopping_round(losses: Sequence[float], patience: int = PATIENCE, tol: float = TOLERANCE) -> int | None:
+    """Rounds to keep: the first whose loss is within ``tol`` of, or above, the
+    loss of each of the ``patience`` rounds before it; None if there is none yet."""
+    for i in range(patience, len(losses)):
+        if all(losses[i] + tol >= earlier for earlier in losses[i - patience:i]):
+            return i + 1
+    return None
+
+
+def boost_until_stopped(train: DataFrame, validation: DataFrame, make: Callable[[int], GBTClassifier],
+                        max_rounds: int = MAIN_ROUNDS, patience: int = PATIENCE, tol: float = TOLERANCE) -> Model:
+    """Boosting with early stopping by patience.  Rounds don't depend on how many
+    follow (the seed of a tree is the seed plus its round), so the fit is done
+    with 64, 128 ... rounds until the validation losses show the stop, and then
+    once more with just the rounds to keep."""
+    rounds = min(64, max_rounds)
+    while True:
+        model = make(rounds).fit(train)
+        stop = stopping_round(model.evaluateEachIteration(validation), patience, tol)
+        if stop is not None:
+            return model if stop == rounds else make(stop).fit(train)
+        if rounds == max_rounds:
+            return model
+        rounds = min(2 * rounds, max_rounds)
 
 
 def score(model: Model, df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -108,42 +137,75 @@ def with_validation_slice(train: DataFrame, id_col: str = "id", frac: float = 0.
     return train.withColumn("is_validation", mix_col(id_col, seed) < F.lit(int(frac * RANGE)))
 
 
+#: Rows that a partition of training rows should hold at least: boosting runs several jobs a tree.
+ROWS_PER_FIT_PARTITION = 50_000
+
+
+def _fit_rows(df: DataFrame) -> DataFrame:
+    """Training rows in no more partitions than their number is worth."""
+    n = df.count()
+    return df.coalesce(max(1, -(-n // ROWS_PER_FIT_PARTITION)))
+
+
 def fit_main_gbt(train: DataFrame, feature_cols: Sequence[str], id_col: str = "id", seed: int = 42,
-                 gbt: GBTClassifier | None = None) -> Model:
-    """Class-weighted GBT with early stopping (the main model)."""
-    t = class_weights(train, "label")
+                 make: Callable[[int], GBTClassifier] | None = None, weighted: bool = True,
+                 max_rounds: int = MAIN_ROUNDS) -> Model:
+    """GBT with early stopping on a 10% validation slice (the main model)."""
+    t = class_weights(train, "label") if weighted else train.withColumn("weight", F.lit(1.0))
     t = with_validation_slice(t, id_col)
     t = assemble(t, feature_cols).select(id_col, "label", "weight", "is_validation", FEATURES).persist()
     try:
-        return (gbt or main_gbt(seed=seed)).fit(t)
+        fit, held = (_fit_rows(t.where(F.col("is_validation") == v)).persist() for v in (False, True))
+        try:
+            return boost_until_stopped(fit, held, make or (lambda rounds: main_gbt(seed=seed, rounds=rounds)), max_rounds)
+        finally:
+            fit.unpersist()
+            held.unpersist()
     finally:
         t.unpersist()
 
 
-def cross_validate(df: DataFrame, feature_cols: Sequence[str], make: Callable[[], object], k: int = 5,
-                   id_col: str = "id", seed: int = 42, extra_cols: Sequence[str] = ()) -> DataFrame:
-    """Stratified k-fold CV over all rows (no sample weights): ROC-AUC, average
-    precision, F1, accuracy per fold, then mean, population std, min, max."""
-    folds = stratified_folds(df, "label", id_col, k, seed)
-    data = assemble(folds, feature_cols).select(id_col, "label", "fold", *extra_cols, FEATURES).persist()
-    per_fold = []
-    try:
-        for f in range(k):
-            model = make().fit(data.where(F.col("fold") != f))
-            ev = evaluate(score(model, data.where(F.col("fold") == f), id_col))
-            per_fold.append(ev.select(F.lit(f).alias("fold"), "roc_auc", "average_precision", "f1", "accuracy"))
-        allf = per_fold[0]
-        for p in per_fold[1:]:
-            allf = allf.unionByName(p)
-        allf = allf.checkpoint(eager=True)
-    finally:
-        data.unpersist()
-    long = allf.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-                                          for m in ("roc_auc", "average_precision", "f1", "accuracy")])).alias("m")).select("m.*")
+FOLD_METRICS = ("roc_auc", "average_precision", "f1", "accuracy")
+
+
+def fold_metrics(scored: DataFrame, fold: str = "fold") -> DataFrame:
+    """ROC-AUC, average precision, F1 and accuracy of each fold's scored rows, all
+    folds in one pass."""
+    scored = scored.select(fold, "label", "score", "pred").checkpoint(eager=True)
+    rank = M.ranking_metrics(M.score_counts(scored, group_cols=[fold]), [fold]).select(fold, "roc_auc", "average_precision")
+    y, p = F.col("label"), F.col("pred")
+    cells = {"tn": (y == 0) & (p == 0), "fp": (y == 0) & (p == 1), "fn": (y == 1) & (p == 0), "tp": (y == 1) & (p == 1)}
+    cm = M.metrics_from_counts(scored.groupBy(fold).agg(*[F.count_if(c).alias(n) for n, c in cells.items()]))
+    return rank.join(cm.select(fold, "f1", "accuracy"), fold)
+
+
+def fold_summary(per_fold: DataFrame) -> DataFrame:
+    """Mean, population std, min and max of each metric over the folds."""
+    long = per_fold.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                                               for m in FOLD_METRICS])).alias("m")).select("m.*")
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
                                       F.min("value").alias("min"), F.max("value").alias("max"))
 
 
+def cross_validate(df: DataFrame, feature_cols: Sequence[str], fit: Callable[[DataFrame], Model], k: int = 5,
+                   id_col: str = "id", seed: int = 42) -> DataFrame:
+    """Stratified k-fold CV over all rows: ``fit`` is given each fold's training
+    rows; the metrics of the folds are summarised.  The k fits run one after
+    another, each on the whole cluster."""
+    data = stratified_folds(df, "label", id_col, k, seed).checkpoint(eager=True)
+    allf = None
+    for f in range(k):
+        model = fit(data.where(F.col("fold") != f))
+        part = score(model, assemble(data.where(F.col("fold") == f), feature_cols), id_col).withColumn("fold", F.lit(f))
+        allf = part if allf is None else allf.unionByName(part)
+    return fold_summary(fold_metrics(allf))
+
+
+def standardized_table(train: DataFrame, cols: Sequence[str], id_col: str = "id") -> DataFrame:
+    """The training rows scaled by their own mean and population std."""
+    return standardize(train, [], cols)[0].select(id_col, *cols)
+
+
 def importance_table(spark, feature_cols: Sequence[str], importances, labels: dict[str, str] | None = None) -> DataFrame:
     """Impurity importances, most important first, with running total and rank."""
     rows = [(i, c, float(importances[i]), (labels or {}).get(c, c)) for i, c in enumerate(feature_cols)]
@@ -164,41 +226,64 @@ def grouped_importance(importance: DataFrame, groups: dict[str, Sequence[str]])
               .withColumn("share_pct", F.col("importance") * 100.0))
 
 
+#: Scores a frame with a feature array ``__v``: adds ``__p``, the probability of class 1.
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def model_scorer(model: Model) -> Scorer:
+    def run(df: DataFrame) -> DataFrame:
+        t = model.transform(df.withColumn(FEATURES, array_to_vector("__v")))
+        return t.withColumn("__p", vector_to_array(F.col("probability"))[1]).select(*df.columns, "__p")
+    return run
+
+
+def logistic_scorer(weights: Sequence[float], bias: float) -> Scorer:
+    """A fixed logistic score, for a function whose explanations are known."""
+    def run(df: DataFrame) -> DataFrame:
+        z = F.lit(float(bias))
+        for i, w in enumerate(weights):
+            z = z + F.lit(float(w)) * F.get("__v", F.lit(i))
+        return df.withColumn("__p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    return run
+
+
 def _grid(sample: DataFrame, col: str, resolution: int, percentiles=(0.05, 0.95)) -> list[float]:
     """Grid values of one feature: its distinct values when there are fewer
-    than ``resolution``, else ``resolution`` points between two percentiles."""
+    than ``resolution``, else ``resolution`` points between two quantiles (at
+    plotting positions)."""
     distinct = sample.select(col).distinct().limit(resolution).collect()
     if len(distinct) < resolution:
         return sorted(float(r[0]) for r in distinct)
-    q = quantiles_wide(sample, col, {"lo": percentiles[0], "hi": percentiles[1]}).first()
-    lo, hi = float(q["lo"]), float(q["hi"])
+    q = {r["p"]: r["q"] for r in plotting_quantiles(sample, col, percentiles).collect()}
+    lo, hi = (float(q[p]) for p in percentiles)
     return [lo + (hi - lo) * i / (resolution - 1) for i in range(resolution)]
 
 
-def partial_dependence(model: Model, sample: DataFrame, feature_cols: Sequence[str], features: Sequence[str],
+def partial_dependence(scorer: Scorer, sample: DataFrame, feature_cols: Sequence[str], features: Sequence[str],
                        resolution: int = 50) -> DataFrame:
-    """Average predicted probability when one feature is set to each grid value
-    for every sampled row.  All (feature, grid value) pairs are expanded in one
-    pass inside the tasks, the chosen feature's column is overridden per pair,
-    and everything is scored with a single ``transform`` and one aggregate."""
+    """Average predicted probability, and average log odds, when one feature is
+    set to each grid value for every sampled row.  All (feature, grid value)
+    pairs are expanded in one pass inside the tasks and scored at once."""
     pairs = [(f, float(v)) for f in features for v in _grid(sample, f, resolution)]
     grid = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("grid_value")) for f, v in pairs])
     x = sample.select(*feature_cols).withColumn("__g", F.explode(grid)).select("*", "__g.*").drop("__g")
-    x = x.select("feature", "grid_value",
-                 *[F.when(F.col("feature") == c, F.col("grid_value")).otherwise(F.col(c).cast("double")).alias(c)
-                   if c in features else F.col(c) for c in feature_cols])
-    t = model.transform(assemble(x, feature_cols))
-    p = vector_to_array(F.col("probability"))[1]
-    return t.groupBy("feature", "grid_value").agg(F.avg(p).alias("average_probability"))
+    v = F.array(*[F.when(F.col("feature") == c, F.col("grid_value")).otherwise(F.col(c).cast("double"))
+                  if c in features else F.col(c).cast("double") for c in feature_cols])
+    t = scorer(x.select("feature", "grid_value", v.alias("__v")))
+    p = F.least(F.greatest("__p", F.lit(1e-15)), F.lit(1 - 1e-15))
+    return t.groupBy("feature", "grid_value").agg(F.avg("__p").alias("average_probability"),
+                                                  F.avg(F.log(p / (F.lit(1.0) - p))).alias("average_log_odds"))
 
 
-def sampled_shapley(model: Model, explain: DataFrame, background: DataFrame, feature_cols: Sequence[str],
+def sampled_shapley(scorer: Scorer, explain: DataFrame, background: DataFrame, feature_cols: Sequence[str],
                     id_col: str = "id", n_samples: int = 10, seed: int = 42) -> DataFrame:
     """Sampled Shapley values (Strumbelj & Kononenko, 2014) for every row of
     ``explain``: for each sample a random feature order and a background row;
     phi_j = mean over samples of f(x with j and its predecessors) - f(same
-    without j).  Output per (id, feature): shapley_value.  The background table is
-    broadcast; its size is fixed by the caller (a sample of n rows)."""
+    without j).  Each order is scored once per prefix, and neighbouring
+    prefixes share a score.  Output per (id, feature): shapley_value.  The
+    background table is broadcast; its size is fixed by the caller (a sample of
+    n rows).  Orders and background rows come from the replayable hash."""
     p = len(feature_cols)
     bg = background.select(*feature_cols)
     bg = bg.withColumn("__bg", F.row_number().over(Window.orderBy(*feature_cols)) - 1)
@@ -206,23 +291,22 @@ def sampled_shapley(model: Model, explain: DataFrame, background: DataFrame, fea
     bg = F.broadcast(bg.select("__bg", F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("__z")))
     x = explain.select(id_col, F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("__x"))
     x = x.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    x = x.withColumn("__bg", F.pmod(F.xxhash64(F.col(id_col), F.col("__s"), F.lit(seed)), F.lit(n_bg)))
-    x = x.join(bg, "__bg")
-    ks = F.sequence(F.lit(0), F.lit(p - 1))
-    x = x.withColumn("__key", F.transform(ks, lambda k: F.xxhash64(F.col(id_col), F.col("__s"), k, F.lit(seed + 1))))
-    x = x.withColumn("__j", F.explode(ks)).withColumn("__with", F.explode(F.array(F.lit(0), F.lit(1))))
-    kj = F.element_at(F.col("__key"), F.col("__j") + 1)
-    vec = F.transform(ks, lambda k: F.when((F.element_at(F.col("__key"), k + 1) < kj)
-                                           | ((k == F.col("__j")) & (F.col("__with") == 1)),
-                                           F.element_at(F.col("__x"), k + 1))
-                                     .otherwise(F.element_at(F.col("__z"), k + 1)))
-    x = x.select(id_col, "__j", "__with", array_to_vector(vec).alias(FEATURES))
-    t = model.transform(x)
-    prob = vector_to_array(F.col("probability"))[1]
-    contrib = F.when(F.col("__with") == 1, prob).otherwise(-prob)
+    x = with_mix(x, "__h", id_col, F.col("__s") + F.lit(seed))
+    x = x.withColumn("__bg", F.pmod(F.col("__h"), F.lit(n_bg)).cast("int")).join(bg, "__bg")
+    for j in range(p):
+        x = with_replicate_mix(x.withColumn("__j", F.lit(j)), f"__o{j}", "__h", "__j")
+    order = F.array_sort(F.array(*[F.struct(F.col(f"__o{j}").alias("o"), F.lit(j).alias("j")) for j in range(p)]))
+    x = x.select(id_col, "__s", "__x", "__z", F.transform(order, lambda e: e["j"]).alias("__order"))
+    x = x.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(p))))  # how many features come from x
+    ks = F.array(*[F.lit(j) for j in range(p)])
+    v = F.transform(ks, lambda j: F.when(F.array_position("__order", j) <= F.col("__k"), F.get("__x", j)).otherwise(F.get("__z", j)))
+    t = scorer(x.select(id_col, "__k", "__order", v.alias("__v")))
+    ends = F.array(F.struct(F.get("__order", F.col("__k") - 1).alias("j"), F.col("__p").alias("v")),
+                   F.struct(F.get("__order", F.col("__k")).alias("j"), (-F.col("__p")).alias("v")))
     names = F.array(*[F.lit(c) for c in feature_cols])
-    return (t.groupBy(id_col, "__j").agg((F.sum(contrib) / F.lit(n_samples)).alias("shapley_value"))
-             .select(id_col, F.element_at(names, F.col("__j") + 1).alias("feature"), "shapley_value"))
+    return (t.select(id_col, F.explode(ends).alias("e")).where(F.col("e.j").isNotNull())
+             .groupBy(id_col, F.col("e.j").alias("__j")).agg((F.sum("e.v") / F.lit(n_samples)).alias("shapley_value"))
+             .select(id_col, F.get(names, F.col("__j")).alias("feature"), "shapley_value"))
 
 
 def shapley_summary(values: DataFrame) -> DataFrame:
@@ -232,11 +316,8 @@ def shapley_summary(values: DataFrame) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_abs_shapley").desc(), F.col("feature"))))
 
 
-def regression_forest(n_trees: int = 100, max_depth: int = 16, seed: int = 42) -> RandomForestRegressor:
+
+def regression_forest(n_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 42) -> RandomForestRegressor:
     return RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, seed=seed, featuresCol=FEATURES,
-                                 labelCol="label", maxBins=64, maxMemoryInMB=2048, cacheNodeIds=True,
+                                 labelCol="label", maxBins=MAX_BINS, maxMemoryInMB=2048, cacheNodeIds=True,
                                  checkpointInterval=10)
-
-
-def sample_rows(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    return sample_n(df, n, id_col, seed)

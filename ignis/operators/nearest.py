@@ -66,12 +66,11 @@ def _level_search(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     cs = 360.0 / (2 ** k)
     n_lon = 2 ** k
     n_lat = max(int(math.ceil(180.0 / cs)), 1)
-    s = sites.select(
-        "__skey", "__sname", "__slat", "__slon",
-        F.floor((F.col("__slat") + 90.0) / cs).cast("long").alias("__ci"),
-        F.pmod(F.floor((F.col("__slon") + 180.0) / cs).cast("long"), F.lit(n_lon)).alias("__cj"))
-    pi = F.floor((F.col("plat") + 90.0) / cs).cast("long")
-    pj = F.pmod(F.floor((F.col("plon") + 180.0) / cs).cast("long"), F.lit(n_lon))
+    # latitude 90 belongs to the last row of cells; longitudes are in [-180, 180)
+    row = lambda lat: F.least(F.floor((F.col(lat) + 90.0) / cs).cast("long"), F.lit(n_lat - 1))
+    column = lambda lon: F.pmod(F.floor((F.col(lon) + 180.0) / cs).cast("long"), F.lit(n_lon))
+    s = sites.select("__skey", "__sname", "__slat", "__slon", row("__slat").alias("__ci"), column("__slon").alias("__cj"))
+    pi, pj = row("plat"), column("plon")
     offs = F.array(F.lit(-1), F.lit(0), F.lit(1))
     nb_i = F.filter(F.transform(offs, lambda o: pi + o), lambda v: (v >= 0) & (v < n_lat))
     nb_j = F.array_distinct(F.transform(offs, lambda o: F.pmod(pj + o, F.lit(n_lon))))
@@ -105,24 +104,36 @@ def _level_search(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     return best.select("plat", "plon", "__best", resolved.alias("__resolved"))
 
 
+def wrap_longitude(lon) -> F.Column:
+    """The same meridian in [-180, 180)."""
+    return F.pmod(lon + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
+
+
 def nearest_site(points: DataFrame, sites: DataFrame, lat: str = "lat", lon: str = "lon",
                  site_key: str = "site_id", site_name: str = "site_name", site_lat: str = "site_lat",
                  site_lon: str = "site_lon", out_key: str = "nearest_site", out_name: str = "nearest_name",
                  out_km: str = "station_dist_km", start_level: int | None = None) -> DataFrame:
     """Add the nearest site (key, name) and its great-circle distance in km to
-    every row of ``points``; rows with missing coordinates get NULLs."""
+    every row of ``points``; rows with missing coordinates get NULLs.  Longitudes
+    may run over any range (-180..180, 0..360).  Sites at one coordinate are one
+    candidate, the one with the least (name, key); the site table is stored once,
+    since every level reads it."""
     s = (sites.where(F.col(site_lat).isNotNull() & F.col(site_lon).isNotNull()
                      & ~F.isnan(site_lat) & ~F.isnan(site_lon))
-              .select(F.col(site_key).alias("__skey"), F.col(site_name).alias("__sname"),
-                      F.col(site_lat).cast("double").alias("__slat"), F.col(site_lon).cast("double").alias("__slon")))
+              .groupBy(F.col(site_lat).cast("double").alias("__slat"),
+                       wrap_longitude(F.col(site_lon).cast("double")).alias("__slon"))
+              .agg(F.min(F.struct(F.col(site_name).alias("n"), F.col(site_key).alias("k"))).alias("__s"))
+              .select(F.col("__s.k").alias("__skey"), F.col("__s.n").alias("__sname"), "__slat", "__slon")
+              .checkpoint(eager=True))
     k0, n_sites = _pick_start_level(s, "__slat", "__slon")
     if start_level is not None:
         k0 = start_level
     elif n_sites > 0:
         k0 = _refine_for_density(s, "__slat", "__slon", k0)
-    coords = (points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-                    .select(F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon"))
-                    .distinct())
+    placed = (F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(F.col(lat).cast("double"))
+              & ~F.isnan(F.col(lon).cast("double")))
+    wrapped = wrap_longitude(F.col(lon).cast("double"))
+    coords = points.where(placed).select(F.col(lat).cast("double").alias("plat"), wrapped.alias("plon")).distinct()
     found = []
     pending = coords
     if n_sites > 0:
@@ -141,5 +152,9 @@ def nearest_site(points: DataFrame, sites: DataFrame, lat: str = "lat", lon: str
     best = best.select(F.col("plat").alias("__plat"), F.col("plon").alias("__plon"),
                        F.col("__best.key").alias(out_key), F.col("__best.name").alias(out_name),
                        F.col("__best.km").alias(out_km))
-    cond = (F.col(lat).cast("double") == F.col("__plat")) & (F.col(lon).cast("double") == F.col("__plon"))
-    return points.join(best, cond, "left").drop("__plat", "__plon")
+    # rows without coordinates take no part in the join, where they would all meet in one task
+    near = points.where(placed).join(best, (F.col(lat).cast("double") == F.col("__plat")) & (wrapped == F.col("__plon")), "left")
+    types = {f.name: f.dataType for f in best.schema.fields}
+    nowhere = points.where(~F.coalesce(placed, F.lit(False))).select(
+        "*", *[F.lit(None).cast(types[c]).alias(c) for c in (out_key, out_name, out_km)])
+    return near.drop("__plat", "__plon").unionByName(nowhere)

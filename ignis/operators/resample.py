@@ -15,33 +15,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ignis.functions.hashing import LANE, bucket_col, with_mix, with_replicate_mix
 from ignis.functions.hashing import RANGE as HASH_RANGE
-from ignis.functions.hashing import with_mix
 from ignis.operators.metrics import metrics_from_counts
-from ignis.operators.prefix import prefix_sums, rank_rows
+from ignis.operators.prefix import MAX_BLOCKS, _block_index, block_bounds, null_safe_join, prefix_sums, rank_rows
 
-def n_buckets_for(group_size: int, rows_per_bucket: int = 64) -> int:
-    """Power-of-two bucket count so a bucket holds ~``rows_per_bucket`` rows."""
+
+def n_buckets_for(group_size: int, rows_per_bucket: int = 64, most: int = 1 << 16) -> int:
+    """Power-of-two bucket count so a bucket holds ~``rows_per_bucket`` rows
+    (more, where that takes over ``most`` buckets)."""
     b = 16
-    while b < 1 << 20 and group_size / b > rows_per_bucket:
+    while b < most and group_size / b > rows_per_bucket:
         b <<= 1
     return b
 
 
-def _bucket(h, n_buckets: int) -> F.Column:
-    return F.floor(h * F.lit(n_buckets) / F.lit(HASH_RANGE)).cast("long")
-
-
 def flag_smallest(df: DataFrame, group_cols: Sequence[str], h_col: str, id_col: str, k_col: str,
                   out: str = "selected", n_buckets: int = 4096) -> DataFrame:
     """Flag, per group, the ``k_col`` rows with the smallest (hash, id).
 
-    The hash is uniform on [0, P): a per-group histogram over HASH_BUCKETS
-    buckets (a partial aggregate) locates the boundary bucket; only rows of
-    that one bucket are ranked exactly.  ``k_col`` must be constant per group.
+    The hash is uniform: a per-group histogram over ``n_buckets`` buckets (a
+    partial aggregate) locates the boundary bucket; only rows of that one bucket
+    are ranked exactly.  ``k_col`` must be constant per group; a NULL group is a
+    group.  ``df`` is read three times, so it should be stored.
     """
     g = list(group_cols)
-    d = df.withColumn("__b", _bucket(F.col(h_col), n_buckets))
+    d = df.withColumn("__b", bucket_col(F.col(h_col), n_buckets))
     hist = d.groupBy(*g, "__b").agg(F.count(F.lit(1)).alias("__c"), F.first(k_col).alias("__k"))
     w = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("__cum", F.sum("__c").over(w))
@@ -49,7 +48,7 @@ def flag_smallest(df: DataFrame, group_cols: Sequence[str], h_col: str, id_col:
                 .select(*g, F.col("__b").alias("__edge"), (F.col("__k") - (F.col("__cum") - F.col("__c"))).alias("__need")))
     # ``edge`` has one row per group; callers pass few groups (classes), so the
     # broadcast is bounded by the group count they already know
-    d = d.join(F.broadcast(edge), g, "left")
+    d = null_safe_join(d, F.broadcast(edge), g, "left")
     in_edge = F.col("__b") == F.col("__edge")
     wr = Window.partitionBy(*g, "__b").orderBy(F.col(h_col), F.col(id_col))
     edge_rows = (d.where(in_edge).withColumn("__r", F.row_number().over(wr))
@@ -60,35 +59,50 @@ def flag_smallest(df: DataFrame, group_cols: Sequence[str], h_col: str, id_col:
     return rest.unionByName(edge_rows)
 
 
+MAX_CLASSES = 10_000
+
+
 def _allocate(counts: dict, n_take: int) -> dict:
     """Largest-remainder allocation of ``n_take`` over classes by their share."""
     n = sum(counts.values())
     base = {c: (n_take * v) // n for c, v in counts.items()}
     left = n_take - sum(base.values())
-    order = sorted(counts, key=lambda c: (-((n_take * counts[c]) % n), c))
+    order = sorted(counts, key=lambda c: (-((n_take * counts[c]) % n), c is None, c if c is not None else 0))
     for c in order[:left]:
         base[c] += 1
     return base
 
 
+def _class_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class; more than MAX_CLASSES classes are an error (a label, not a key, is meant)."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
+    return {r[label]: r["n"] for r in rows}
+
+
 def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", test_frac: float = 0.2,
                      seed: int = 42, exact: bool = True) -> DataFrame:
     """Adds ``split`` in {'train','test'}.
 
     ``exact=True``: the test set has ceil(test_frac * n) rows shared over the
     classes by largest remainder (stratified shuffle split sizes); rows are
-    chosen by the smallest seeded hash per class.  ``exact=False``: a hash
-    threshold per row, no shuffle at all, shares are approximate.
+    chosen by the smallest seeded hash per class; rows without a label are a
+    class of their own.  The input is stored once and read from there.
+    ``exact=False``: a hash threshold per row, no shuffle at all, shares are
+    approximate.
     """
     if not exact:
         d = with_mix(df, "__h", id_col, seed)
         return d.withColumn("split", F.when(F.col("__h") < F.lit(int(test_frac * HASH_RANGE)), "test")
                             .otherwise("train")).drop("__h")
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = with_mix(df, "__h", id_col, seed).checkpoint(eager=True)
+    counts = _class_counts(df, label)
     n = sum(counts.values())
     take = _allocate(counts, int(math.ceil(test_frac * n))) if n else {}
-    kmap = F.create_map(*[x for c, t in take.items() for x in (F.lit(c), F.lit(t))]) if take else None
-    d = with_mix(df, "__h", id_col, seed).withColumn("__kt", kmap[F.col(label)] if kmap is not None else F.lit(0))
+    per_class = df.sparkSession.createDataFrame([(c, t) for c, t in take.items()],
+                                                f"`{label}` {df.schema[label].dataType.simpleString()}, __kt long")
+    d = null_safe_join(df, F.broadcast(per_class), [label], "left")  # one row a class
     f = flag_smallest(d, [label], "__h", id_col, "__kt", out="__test", n_buckets=n_buckets_for(max(counts.values(), default=0)))
     return f.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__h", "__kt", "__test")
 
@@ -103,14 +117,24 @@ def stratified_folds(df: DataFrame, label: str = "label", id_col: str = "id", k:
 
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Simple random sample of ``n`` rows without replacement (deterministic):
-    the rows with the smallest seeded hash, via a top-k (TakeOrderedAndProject)."""
-    return with_mix(df, "__h", id_col, seed).orderBy("__h", id_col).limit(n).drop("__h")
+    the rows with the smallest seeded hash.  Up to SAMPLE_TOP_K rows by a top-k;
+    more by a histogram of the hash and exact ranks in its boundary bucket, so
+    that the sample is never merged in one task."""
+    d = with_mix(df, "__h", id_col, seed)
+    if n <= SAMPLE_TOP_K:
+        return d.orderBy("__h", id_col).limit(n).drop("__h")
+    d = d.withColumn("__all", F.lit(0)).withColumn("__kt", F.lit(n).cast("long")).checkpoint(eager=True)
+    f = flag_smallest(d, ["__all"], "__h", id_col, "__kt", out="__in", n_buckets=n_buckets_for(d.count()))
+    return f.where("__in").select(*df.columns)
+
+
+SAMPLE_TOP_K = 100_000
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Per-row weight: positives get n_neg / n_pos, negatives 1.0."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    ratio = (counts.get(0, 0) / counts[1]) if counts.get(1) else 1.0
+    """Per-row weight: positives get n_neg / n_pos, all others 1.0."""
+    n = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
+    ratio = n["neg"] / n["pos"] if n["pos"] else 1.0
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
 
 
@@ -123,10 +147,6 @@ def poisson_weight(u) -> F.Column:
     return sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in POISSON1_CDF), F.lit(0))
 
 
-def replicate_seed(rep: F.Column, seed: int) -> F.Column:
-    return rep + F.lit(seed * 100003)
-
-
 def spread_for_expansion(df: DataFrame, key: str) -> DataFrame:
     """Before a replicate x row expansion, make sure the input is split over at
     least the cluster's default parallelism (hash of ``key``, deterministic):
@@ -137,9 +157,13 @@ def spread_for_expansion(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+#: Expanded rows (input rows x replicates) that a score block should stand for, and rows of an offset table that is broadcast.
+EXPANDED_PER_BLOCK, OFFSET_ROWS = 2e7, 1_000_000
+
+
 def bootstrap_ci(df: DataFrame, label: str = "label", score: str = "score", pred: str = "pred", id_col: str = "id",
                  n_boot: int = 1000, seed: int = 42, probs: tuple[float, float] = (0.025, 0.975),
-                 n_blocks: int | None = None, max_offset_rows: int = 1_000_000) -> DataFrame:
+                 n_blocks: int | None = None) -> DataFrame:
     """Bootstrap mean and percentile interval of ROC-AUC, PR-AUC, F1 and accuracy.
 
     Each replicate re-weights every row by an independent Poisson(1) count (the
@@ -151,88 +175,126 @@ def bootstrap_ci(df: DataFrame, label: str = "label", score: str = "score", pred
     expansion, the (block, replicate, score) aggregation and the in-block
     running sums all stay inside those partitions (hash partitioning on the
     block satisfies clustering on (block, replicate)), so the N x replicates
-    rows are never shuffled, even when every score is distinct.  Only the
-    (replicate x block) offset table crosses the network; its size is bounded
-    by ``max_offset_rows`` and it is broadcast.
+    rows are never shuffled, even when every score is distinct.  A block that is
+    overfull holds few scores that many rows share: such blocks are dealt by a
+    salt of the id instead, and what their tasks have summed per score meets in
+    a second aggregate.  The (replicate x block) offset table is broadcast; where
+    it would pass OFFSET_ROWS, replicates are done in several turns.
     Output: metric, mean, ci_low, ci_high, n_reps.
     """
-    from ignis.operators.prefix import _block_index, block_bounds
-    base = df.select(id_col, label, F.col(score).cast("double").alias("score"), pred).where(F.col("score").isNotNull())
+    base = with_mix(df.select(id_col, label, F.col(score).cast("double").alias("score"), pred)
+                    .where(F.col("score").isNotNull()), "__id", id_col, seed).checkpoint(eager=True)
     n = base.count()
+    par = base.sparkSession.sparkContext.defaultParallelism
     if n_blocks is None:
-        # enough blocks to spread the expansion evenly over the cores and keep a
-        # block x replicates slice near 2e7 rows, capped by the offset table size
-        par = base.sparkSession.sparkContext.defaultParallelism
-        want = max(8 * par, int(math.ceil(n * n_boot / 2e7)))
-        n_blocks = max(8, min(want, max_offset_rows // max(n_boot, 1)))
-    bounds = block_bounds(base, "score", n_blocks)
+        n_blocks = min(MAX_BLOCKS, max(8 * par, math.ceil(n * n_boot / EXPANDED_PER_BLOCK)))
+    bounds = block_bounds(base, "score", n_blocks, n_rows=n)
     k = len(bounds)
-    parts = max(base.sparkSession.sparkContext.defaultParallelism, min(k + 1, 4096))
-    x = base.withColumn("__blk", (F.lit(k) - _block_index(F.col("score"), bounds)).cast("int"))
-    x = x.repartition(parts, "__blk")
-    x = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    x = with_mix(x, "__h", id_col, replicate_seed(F.col("rep"), seed))
-    x = x.withColumn("__u", F.col("__h") / F.lit(float(HASH_RANGE)))
-    x = x.withColumn("w", poisson_weight(F.col("__u")))
+    base = base.withColumn("__blk", (F.lit(k) - _block_index(F.col("score"), bounds)).cast("int"))
+    sizes = {r["__blk"]: r["n"] for r in base.groupBy("__blk").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= MAX_BLOCKS rows
+    fair = max(1, n // max(len(sizes), 1))
+    hot = {b: -(-m // fair) for b, m in sizes.items() if m > 4 * fair}
+    turn = max(1, min(n_boot, OFFSET_ROWS // (k + 1)))
+    reps = None
+    for start in range(0, n_boot, turn):
+        part = _bootstrap_turn(base, hot, max(par, min(len(sizes), 4 * par)), label, pred, start, min(start + turn, n_boot))
+        reps = part if reps is None else reps.unionByName(part)
+    names = {"roc_auc": "roc_auc", "pr_auc": "average_precision", "f1": "f1", "accuracy": "accuracy"}
+    long = reps.select(F.explode(F.array(*[F.struct(F.lit(k_).alias("metric"), F.col(v).alias("value"))
+                                           for k_, v in names.items()])).alias("__m")).select("__m.*")
+    # group size is n_boot (a parameter), so the exact percentile buffer is bounded
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"),
+                                      F.percentile("value", probs[0]).alias("ci_low"),
+                                      F.percentile("value", probs[1]).alias("ci_high"),
+                                      F.count(F.lit(1)).alias("n_reps"))
+
+
+def _weighted(x: DataFrame, keys: Sequence[str], first: int, last: int) -> DataFrame:
+    """Summed Poisson weights per keys and replicate, positive ones."""
+    x = x.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+    x = with_replicate_mix(x, "__h", "__id", "rep")
+    x = x.withColumn("__u", F.col("__h") / F.lit(float(LANE))).withColumn("w", poisson_weight(F.col("__u")))
     # zero-weight rows are dropped after the aggregate: a filter on the weight
     # would be pushed below the projections and re-inline the hash
-    agg = (x.groupBy("__blk", "rep", "score", label, pred).agg(F.sum("w").cast("double").alias("w"))
-            .where(F.col("w") > 0))
+    return x.groupBy(*keys).agg(F.sum("w").cast("double").alias("w")).where(F.col("w") > 0)
+
+
+def _bootstrap_turn(base: DataFrame, hot: dict[int, int], parts: int, label: str, pred: str, first: int, last: int) -> DataFrame:
+    """Replicates first ... last - 1: rep and its four metrics."""
+    keys = ["__blk", "rep", "score", label, pred]
+    is_hot = F.col("__blk").isin(list(hot)) if hot else F.lit(False)
+    branches = [_weighted(base.where(~is_hot).repartition(parts, "__blk"), keys, first, last)]
+    if hot:
+        salts = F.create_map(*[F.lit(v) for kv in hot.items() for v in kv])
+        salted = base.where(is_hot).withColumn("__salt", F.pmod(F.col("__id"), F.get(F.array(salts[F.col("__blk")]), F.lit(0))))
+        salted = salted.repartition(max(parts, sum(hot.values())), "__blk", "__salt")
+        branches.append(_weighted(salted, [*keys, "__salt"], first, last).groupBy(*keys).agg(F.sum("w").alias("w")))
     y, p, w = F.col(label), F.col(pred), F.col("w")
     # pass 1: per (replicate, block) totals, incl. the confusion counts -- a
-    # small table (n_boot x blocks rows), checkpointed to cut the lineage
+    # small table (replicates x blocks rows), checkpointed to cut the lineage
     cells = (("__tp", y == 1), ("__tn", y == 0), ("tn", (y == 0) & (p == 0)), ("fp", (y == 0) & (p == 1)),
              ("fn", (y == 1) & (p == 0)), ("tp", (y == 1) & (p == 1)))
-    tot = (agg.groupBy("rep", "__blk").agg(*[F.sum(F.when(c, w).otherwise(0.0)).alias(nm) for nm, c in cells])
-              .checkpoint(eager=True))
+    tots = [a.groupBy("rep", "__blk").agg(*[F.sum(F.when(c, w).otherwise(0.0)).alias(nm) for nm, c in cells]) for a in branches]
+    tot = _union(tots).checkpoint(eager=True)
     before = Window.partitionBy("rep").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select("rep", "__blk", F.coalesce(F.sum("__tp").over(before), F.lit(0.0)).alias("__op"),
                          F.coalesce(F.sum("__tn").over(before), F.lit(0.0)).alias("__on"))
     cm = metrics_from_counts(tot.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")]))
-    cm = cm.select("rep", "f1", "accuracy")
     # pass 2: in-block running sums in descending score order plus the offsets
-    sc = agg.groupBy("__blk", "rep", "score").agg(F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"),
-                                                  F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg"))
-    sc = sc.join(F.broadcast(offsets), ["rep", "__blk"])
     wb = Window.partitionBy("__blk", "rep").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    sc = sc.select("rep", "pos", "neg", (F.sum("pos").over(wb) + F.col("__op")).alias("cum_pos"),
-                   (F.sum("neg").over(wb) + F.col("__on")).alias("cum_neg"))
-    pos, neg, cpos, cneg = F.col("pos"), F.col("neg"), F.col("cum_pos"), F.col("cum_neg")
-    rank = sc.groupBy("rep").agg(
-        F.sum(pos).alias("n_pos"), F.sum(neg).alias("n_neg"),
-        F.sum(pos * cneg - 0.5 * pos * neg).alias("__disc"),
-        F.sum(F.when(cpos + cneg > 0, pos * cpos / (cpos + cneg)).otherwise(0.0)).alias("__ap"))
+    sums = []
+    for a in branches:
+        sc = a.groupBy("__blk", "rep", "score").agg(F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"),
+                                                    F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg"))
+        sc = sc.join(F.broadcast(offsets), ["rep", "__blk"])  # at most OFFSET_ROWS rows
+        pos, neg = F.col("pos"), F.col("neg")
+        sc = sc.select("rep", "pos", "neg", (F.sum("pos").over(wb) + F.col("__op")).alias("cum_pos"),
+                       (F.sum("neg").over(wb) + F.col("__on")).alias("cum_neg"))
+        cpos, cneg = F.col("cum_pos"), F.col("cum_neg")
+        sums.append(sc.groupBy("rep").agg(
+            F.sum(pos).alias("n_pos"), F.sum(neg).alias("n_neg"), F.sum(pos * cneg - 0.5 * pos * neg).alias("__disc"),
+            F.sum(F.when(cpos + cneg > 0, pos * cpos / (cpos + cneg)).otherwise(0.0)).alias("__ap")))
+    rank = _union(sums).groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n_pos", "n_neg", "__disc", "__ap")])
     P, N = F.col("n_pos"), F.col("n_neg")
-    rank = rank.select("rep", "n_pos", "n_neg", (F.lit(1.0) - F.col("__disc") / (P * N)).alias("roc_auc"),
-                       (F.col("__ap") / P).alias("average_precision"))
-    reps = rank.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).join(cm, "rep")
-    names = {"roc_auc": "roc_auc", "pr_auc": "average_precision", "f1": "f1", "accuracy": "accuracy"}
-    long = reps.select(F.explode(F.array(*[F.struct(F.lit(k_).alias("metric"), F.col(v).alias("value"))
-                                           for k_, v in names.items()])).alias("__m")).select("__m.*")
-    # group size is n_boot (a parameter), so the exact percentile buffer is bounded
-    return long.groupBy("metric").agg(F.avg("value").alias("mean"),
-                                      F.percentile("value", probs[0]).alias("ci_low"),
-                                      F.percentile("value", probs[1]).alias("ci_high"),
-                                      F.count(F.lit(1)).alias("n_reps"))
+    rank = rank.where((P > 0) & (N > 0)).select("rep", (F.lit(1.0) - F.col("__disc") / (P * N)).alias("roc_auc"),
+                                                (F.col("__ap") / P).alias("average_precision"))
+    return rank.join(cm.select("rep", "f1", "accuracy"), "rep")
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def average_ranks(df: DataFrame, score: str = "score", out: str = "avg_rank") -> DataFrame:
     """Average (mid) rank of each row's score among all rows, ascending."""
-    counts = df.groupBy(F.col(score).cast("double").alias("__s")).agg(F.count(F.lit(1)).alias("__c"))
-    cum = prefix_sums(counts, "__s", ["__c"], prefix="__cum")
+    counts = df.groupBy(F.col(score).cast("double").alias("__s")).agg(F.count(F.lit(1)).alias("__c")).checkpoint(eager=True)
+    cum = prefix_sums(counts, "__s", ["__c"], prefix="__cum", stored=True)
     ranks = cum.select("__s", (F.col("__cum__c") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(out))
     return df.join(ranks, F.col(score).cast("double") == F.col("__s")).drop("__s")
 
 
+#: Buckets of the permutation histogram at each step; a boundary bucket is ranked exactly once it holds few enough rows.
+PERM_BUCKETS, PERM_RANKED = 1024, 4096
+
+
 def permutation_test(df: DataFrame, label: str = "label", score: str = "score", id_col: str = "id",
                      n_perm: int = 1000, seed: int = 42) -> DataFrame:
     """ROC-AUC under ``n_perm`` label permutations: each permutation gives the
-    positive label to exactly n_pos rows (smallest seeded hash), AUC from the
+    positive label to exactly n_pos rows (smallest seeded draw), AUC from the
     rank sum of the (fixed) average score ranks.  p = mean(perm >= observed),
     without +1 correction.  Output: observed_auc, perm_mean, perm_std, p_value,
-    p_value_corrected, n_perm."""
-    # N rows, read by the totals and by both expansion passes: materialize once
-    r = average_ranks(df.select(id_col, label, score), score).select(id_col, label, "avg_rank").checkpoint(eager=True)
+    p_value_corrected, n_perm.
+
+    Draws are made inside the tasks and reduced to a histogram of at most
+    PERM_BUCKETS buckets per permutation, whatever the number of rows; the
+    bucket that holds the n_pos-th draw is divided again in the same way until
+    it holds few rows, which are then ranked."""
+    # N rows, read by the totals and by the expansion passes: materialize once
+    r = average_ranks(df.select(id_col, label, score), score).select(id_col, label, "avg_rank")
+    r = with_mix(r, "__id", id_col, seed + 7).checkpoint(eager=True)
     tot = r.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("np"), F.count(F.lit(1)).alias("n"),
                 F.sum(F.when(F.col(label) == 1, F.col("avg_rank")).otherwise(0.0)).alias("rs")).first()
     n_pos, n = int(tot["np"] or 0), int(tot["n"] or 0)
@@ -241,24 +303,32 @@ def permutation_test(df: DataFrame, label: str = "label", score: str = "score",
     base = n_pos * (n_pos + 1) / 2.0
     observed = (float(tot["rs"] or 0.0) - base) / denom
     x = spread_for_expansion(r, id_col).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    x = with_mix(x, "__h", id_col, replicate_seed(F.col("perm"), seed + 7))
-    # ~1k rows per bucket: the histogram stays at n_perm x (n / 1024) groups and
-    # the exactly ranked boundary bucket at ~1k rows per permutation
-    nb = n_buckets_for(n, rows_per_bucket=1024)
-    x = x.withColumn("__b", _bucket(F.col("__h"), nb))
-    # pass 1: per (perm, bucket) counts and rank sums; locate the bucket holding
-    # the n_pos-th smallest hash of each permutation
-    hist = x.groupBy("perm", "__b").agg(F.count(F.lit(1)).alias("__c"), F.sum("avg_rank").alias("__s"))
-    w = Window.partitionBy("perm").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("__cc", F.sum("__c").over(w)).withColumn("__cs", F.sum("__s").over(w))
-    edge = (hist.where((F.col("__cc") >= n_pos) & (F.col("__cc") - F.col("__c") < n_pos))
-                .select("perm", F.col("__b").alias("__edge"), (F.lit(n_pos) - (F.col("__cc") - F.col("__c"))).alias("__need"),
-                        (F.col("__cs") - F.col("__s")).alias("__below")))
-    # pass 2: exact ranking only inside each permutation's boundary bucket
-    # one row per permutation: the broadcast is bounded by n_perm
-    inner = x.join(F.broadcast(edge), "perm").where(F.col("__b") == F.col("__edge"))
-    wr = Window.partitionBy("perm").orderBy("__h", id_col)
-    inner = inner.withColumn("__r", F.row_number().over(wr))
+    x = with_replicate_mix(x, "__h", "__id", "perm")
+    # per permutation: the interval of draws that is still open, how many of its rows are wanted, the rank sum below it
+    edge, held, span = None, n, LANE
+    while True:
+        step = min(PERM_BUCKETS, n_buckets_for(held, 1024), span)
+        span //= step
+        d = x if edge is None else x.join(F.broadcast(edge), "perm").where(
+            (F.col("__h") >= F.col("__lo")) & (F.col("__h") < F.col("__lo") + F.lit(span * step)))
+        start = F.floor(F.col("__h") / F.lit(span)) * F.lit(span)
+        carry = [] if edge is None else [F.first("__need").alias("__need"), F.first("__below").alias("__below")]
+        hist = d.groupBy("perm", start.cast("long").alias("__at")).agg(
+            F.count(F.lit(1)).alias("__c"), F.sum("avg_rank").alias("__s"), *carry)
+        if edge is None:
+            hist = hist.withColumn("__need", F.lit(n_pos).cast("long")).withColumn("__below", F.lit(0.0))
+        w = Window.partitionBy("perm").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("__cc", F.sum("__c").over(w)).withColumn("__cs", F.sum("__s").over(w))
+        open_ = (F.col("__cc") >= F.col("__need")) & (F.col("__cc") - F.col("__c") < F.col("__need"))
+        edge = hist.where(open_).select(
+            "perm", F.col("__at").alias("__lo"), (F.col("__need") - (F.col("__cc") - F.col("__c"))).alias("__need"),
+            (F.col("__below") + F.col("__cs") - F.col("__s")).alias("__below")).checkpoint(eager=True)
+        held = -(-held // step)
+        if held <= PERM_RANKED or span == 1:
+            break
+    # exact ranking only inside each permutation's open interval; one row per permutation is broadcast
+    inner = x.join(F.broadcast(edge), "perm").where((F.col("__h") >= F.col("__lo")) & (F.col("__h") < F.col("__lo") + F.lit(span)))
+    inner = inner.withColumn("__r", F.row_number().over(Window.partitionBy("perm").orderBy("__h", id_col)))
     part = inner.groupBy("perm").agg(F.first("__below").alias("__below"),
                                      F.sum(F.when(F.col("__r") <= F.col("__need"), F.col("avg_rank")).otherwise(0.0)).alias("__in"))
     perm = part.select(((F.col("__below") + F.col("__in") - F.lit(base)) / F.lit(denom)).alias("auc"))

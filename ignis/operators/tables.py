@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ignis.operators.prefix import quantiles_wide
+from ignis.operators.prefix import quantiles_wide_of_counts
 
 
 def value_counts(df: DataFrame, col: str, top: int | None = None, out: str = "n") -> DataFrame:
@@ -64,11 +64,14 @@ def yearly_stats(df: DataFrame, year: str = "yr", size: str = "fire_size",
                  year_range: tuple[int, int] = (1980, 2024), digits: int = 1) -> DataFrame:
     """Count, total, mean, exact median and max of the size per year, rounded
     half-to-even; the total over only-missing sizes is 0."""
-    base = df.where(F.col(year).isNotNull())
-    agg = base.groupBy(year).agg(F.count(size).alias("num_fires"),
-                                 F.coalesce(F.sum(size), F.lit(0.0)).alias("total_area"),
-                                 F.avg(size).alias("mean_size"), F.max(size).alias("max_size"))
-    med = quantiles_wide(base, size, {"median_size": 0.5}, [year])
+    # rows per (year, size): the one pass over the input; everything else reads it
+    counts = (df.where(F.col(year).isNotNull()).groupBy(year, F.col(size).alias("__size"))
+              .agg(F.count(F.lit(1)).alias("__c")).checkpoint(eager=True))
+    present = counts.where(F.col("__size").isNotNull() & ~F.isnan("__size"))
+    rows, total = F.sum(F.when(F.col("__size").isNotNull(), F.col("__c"))), F.sum(F.col("__size") * F.col("__c"))
+    agg = counts.groupBy(year).agg(F.coalesce(rows, F.lit(0)).alias("num_fires"), F.coalesce(total, F.lit(0.0)).alias("total_area"),
+                                   (total / rows).alias("mean_size"), F.max("__size").alias("max_size"))
+    med = quantiles_wide_of_counts(present, "__size", {"median_size": 0.5}, [year])
     r = agg.join(med, year, "left").where(F.col(year).between(*year_range))
     return r.select(year, "num_fires",
                     *[F.bround(F.col(c), digits).alias(c) for c in ("total_area", "mean_size", "median_size", "max_size")])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "ignis", cores: int | str = "*", shuffle_partitions: int | None = None,
-              driver_memory: str = "16g") -> SparkSession:
+              driver_memory: str = "10g") -> SparkSession:
     """Local session for tests/bench. On a cluster, build the session with the
     cluster's own master; ``ensure_checkpoint_dir`` then only fills gaps."""
     parts = shuffle_partitions or (8 if cores == "*" else max(int(cores), 1) * 2)
@@ -36,12 +38,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (HDFS/object-store) folder and is
-    used as is.  Only when it is unset (local tests) do we create one.
+    used as is.  Only when it is unset and the master is local do we create one,
+    removed when the process ends; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not current and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="ignis-ckpt-", dir=os.environ.get("IGNIS_SCRATCH", "/tmp"))
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
         try:
             spark.conf.set("spark.checkpoint.dir", current)
         except Exception:  # noqa: BLE001 - a core setting may be read-only at runtime

@@ -3,9 +3,14 @@ lineage column, rejected-row counts, write-if-absent caching, GeoJSON."""
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import io
 import re
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +23,28 @@ def snake(name: str) -> str:
     return s or "col"
 
 
-def file_headers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def unreadable_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(source_file, file_path, reason) of the files under ``path`` that can't be
+    decompressed or decoded to their end.  Each file is read by one task, in
+    pieces of a megabyte."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    data = io.BytesIO(raw.as_buffer())
+                    text = io.TextIOWrapper(gzip.GzipFile(fileobj=data) if name.endswith(".gz") else data, encoding=encoding)
+                    while text.read(1 << 20):
+                        pass
+                except (EOFError, OSError, UnicodeError, zlib.error) as e:
+                    bad.append((name.rsplit("/", 1)[-1], name, type(e).__name__))
+            yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in bad], pa.string()) for i in range(3)],
+                                             ["source_file", "file_path", "reason"])
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(check, "source_file string, file_path string, reason string")
+
+
+def file_headers(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """(file_path, header) for every file under ``path``: the first line of each
     file, found in one distributed scan (the first row of a file's first split)."""
     txt = (spark.read.option("encoding", encoding).text(path)
@@ -30,32 +56,41 @@ def file_headers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
 
 
 def read_csv_union(spark: SparkSession, path: str, encoding: str = "UTF-8", rename=snake,
-                   lineage: bool = True, keep_corrupt: bool = False, skip_unreadable: bool = True) -> DataFrame:
+                   lineage: bool = True, keep_corrupt: bool = False, skip_unreadable: bool = False) -> DataFrame:
     """Scan every CSV under ``path`` and union them **by column name**.
 
     Files are grouped by header line; each group is read with its own header
     (all columns as strings, no inference), columns are renamed with
     ``rename`` and the groups are combined with
     ``unionByName(allowMissingColumns=True)``.  ``source_file`` carries the
-    file name.  ``skip_unreadable`` skips files that cannot be read at all
-    (``ignoreCorruptFiles``); ``keep_corrupt`` keeps malformed lines in
-    ``_corrupt_record`` so ``rejects`` can count them per file.  Only the distinct headers and the file list -- which Spark's
-    file index holds on the driver anyway -- are brought to the driver.
+    file name.  A file that can't be read to its end is an error, or, with
+    ``skip_unreadable``, is left out whole (``unreadable_files`` names it);
+    ``keep_corrupt`` keeps malformed lines in ``_corrupt_record`` so
+    ``rejects`` can count them per file.  Only the distinct headers and the file
+    list -- which Spark's file index holds on the driver anyway -- are brought to
+    the driver.
     """
-    heads = file_headers(spark, path, encoding)
+    files: str | list[str] = path
+    if skip_unreadable:
+        bad = {r["file_path"] for r in unreadable_files(spark, path, encoding).collect()}
+        listed = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+        files = sorted(f for f in listed if f not in bad)
+        if not files:
+            raise FileNotFoundError(f"no readable file: {path}")
+    heads = file_headers(spark, files, encoding)
     groups: dict[str, list[str]] = {}
     for r in heads.collect():
         groups.setdefault(r["header"], []).append(r["file_path"])
     parts = []
-    for header, files in sorted(groups.items()):
+    for header, members in sorted(groups.items()):
         names = next(iter(_csv_rows([header])))
         fields = [T.StructField(n, T.StringType()) for n in names]
         if keep_corrupt:
             fields.append(T.StructField("_corrupt_record", T.StringType()))
         reader = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-                  .option("enforceSchema", True).option("ignoreCorruptFiles", skip_unreadable)
+                  .option("enforceSchema", True)
                   .schema(T.StructType(fields)))
-        df = reader.csv(sorted(files))
+        df = reader.csv(sorted(members))
         cols = [F.col(f"`{n}`").alias(rename(n)) for n in names]
         if keep_corrupt:
             cols.append(F.col("_corrupt_record"))
@@ -84,17 +119,30 @@ def _csv_rows(lines):
     return csv.reader(lines)
 
 
+def rejected_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(source_file, reason, rejected): files that were left out whole, and the
+    malformed lines of the others."""
+    whole = unreadable_files(spark, path, encoding).select("source_file", "reason", F.lit(None).cast("long").alias("rejected"))
+    lines = rejects(read_csv_union(spark, path, encoding, keep_corrupt=True, skip_unreadable=True))
+    return whole.unionByName(lines.select("source_file", F.lit("malformed lines").alias("reason"), "rejected"))
+
+
 def rejects(df: DataFrame) -> DataFrame:
-    """Rows the CSV parser could not read (PERMISSIVE mode), counted per file."""
-    return (df.where(F.col("_corrupt_record").isNotNull())
+    """Lines the CSV parser could not read (PERMISSIVE mode), counted per file."""
+    # the parser only judges lines whose fields are asked for: the hash asks for all and is always in its range
+    fields = F.hash(*[F.col(f"`{c}`") for c in df.columns if c not in ("_corrupt_record", "source_file", "source_pos")])
+    return (df.where(F.col("_corrupt_record").isNotNull() & (fields >= F.lit(-(2 ** 31))))
               .groupBy("source_file").agg(F.count(F.lit(1)).alias("rejected")))
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **opts) -> DataFrame:
-    """Scan ``path`` with a declared schema; an absent source gives an empty table."""
+    """Scan ``path`` with a declared schema; an absent source gives an empty
+    table, and any other failure is raised."""
     try:
         return spark.read.schema(schema).options(**opts).format(fmt).load(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -112,15 +160,33 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def materialize(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write-if-absent Parquet cache: compute ``df`` only when ``path`` does not
-    exist yet (``mode('ignore')``), then read the stored table back.  The
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is complete at ``path`` (its success marker is there)."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """Changes when a file at or directly under one of the paths does (name, length, time)."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        for status in path.getFileSystem(conf).listStatus(path):
+            found.append((str(status.getPath()), status.getLen(), status.getModificationTime()))
+    return hashlib.sha1(repr(sorted(found)).encode()).hexdigest()[:16]
+
+
+def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write-if-absent Parquet cache: read the table at ``path``; only where it
+    isn't complete, call ``build`` and write it first.  Operators may run jobs
+    while a frame is being built, so the frame itself is built only then.  The
     stored table also cuts the lineage of everything downstream."""
-    spark = df.sparkSession
-    w = df.write.mode("ignore")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    if not exists(spark, path):
+        w = build().write.mode("overwrite")  # leftovers of a job that died
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
     return spark.read.parquet(path)
 
 

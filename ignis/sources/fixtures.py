@@ -33,10 +33,12 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("o_orderkey")
-    cause = (F.when(F.col("o_orderpriority") == "1-URGENT", "H")
-             .when(F.col("o_orderpriority") == "2-HIGH", "H-PB")
-             .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "U")
-             .otherwise("N"))
+    # Natural causes: the warm half of the year in the western part, with one key in thirteen turned round, so that a
+    # model can learn the cause from the features.
+    warm_west = F.month("o_orderdate").between(5, 10) & ((F.col("o_custkey") * 91) % 8500 < 5500)
+    natural = (warm_west & (k % 13 != 0)) | (~warm_west & (k % 13 == 0))
+    cause = (F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "U").when(natural, "N")
+             .when(F.col("o_orderpriority") == "2-HIGH", "H-PB").otherwise("H"))
     return j.select(
         k.alias("inc_id"),
         F.year("o_orderdate").cast("int").alias("yr"),
@@ -85,8 +87,10 @@ def daily_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every kept row appears once; where (site_id + dn) % 97 = 0 a second copy
     # (copy_no 2, precipitation + 1) follows -- generated in the same pass.
     copies = F.when((sid + dn) % 97 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    base = (spine.where((sid * 7 + dn) % 40 < 22)
-            .join(day, ["site_id", "dn"], "left")
+    # A site-day is kept where the mask holds or lineitem has rows for it, so the
+    # gaps are days without data and every lineitem row counts.
+    base = (spine.join(day, ["site_id", "dn"], "left")
+            .where(((sid * 7 + dn) % 40 < 22) | F.col("temp_max").isNotNull())
             .withColumn("copy_no", F.explode(copies)))
     return base.select(
         sid, "site_name",
