@@ -9,16 +9,58 @@ what makes it an independent check of the Spark plans.
 
 from __future__ import annotations
 
-from ignis.functions.geo import haversine_sql
-from ignis.functions.hashing import RANGE as HASH_P
-from ignis.functions.hashing import mix_sql
-from ignis.operators.metrics import CALIBRATION_EDGES
-from ignis.operators.resample import POISSON1_CDF
-from ignis.plans.queries import CLIMATE_CORR_COLS, STATION_PERIOD, WINDOW_COLS
-from ignis.plans.views import CORE_FEATURES, FEATURE_COLS
+from ignis.plans.views import CORE_FEATURES, FEATURE_COLS, FEATURE_GROUPS, FEATURE_LABELS, PDP_FEATURES
 
 SEED = 42
 
+# Fixed values, written out here so that a slip in the library shows.
+STATION_PERIOD = (1996, 2000)
+WINDOW_COLS = {
+    7: ["temp_mean_7d", "temp_max_7d", "precip_total_7d", "rain_total_7d", "dry_days_7d", "temp_range_7d"],
+    30: ["temp_mean_30d", "temp_max_30d", "precip_total_30d", "rain_total_30d", "dry_days_30d", "temp_range_30d"],
+}
+CLIMATE_CORR_COLS = [
+    "temp_max", "temp_min", "temp_mean", "precip", "rain", "diurnal_range", "temp_mean_7d", "precip_total_7d",
+    "dry_days_7d", "temp_mean_30d", "precip_total_30d", "dry_days_30d", "temp_anomaly", "fire_weather_index",
+]
+CALIBRATION_EDGES = [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]
+POISSON1_CDF = [
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+    0.9994058151824183, 0.999916758850712, 0.9999897508033254, 0.9999988747974021, 0.9999998885745217,
+    0.9999999899522337, 0.9999999991683893,
+]
+
+
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return (f"2*6371e0*asin(sqrt(least(1e0, pow(sin((radians({lat2})-radians({lat1}))/2),2)"
+            f"+cos(radians({lat1}))*cos(radians({lat2}))*pow(sin((radians({lon2})-radians({lon1}))/2),2))))")
+
+
+def _frac_sqrt_sql(h: str) -> str:
+    return (f"cast(floor((sqrt(cast({h} AS double) + 0.5e0) - floor(sqrt(cast({h} AS double) + 0.5e0)))"
+            " * 2147483648e0) AS bigint)")
+
+
+def _lane_sql(x: str, seed: str | int, p: int, a1: int, b1: int, s1: int, a3: int, b3: int) -> str:
+    h = (f"(((cast({x} AS bigint) % {p} + {p}) % {p}) * {a1} "
+         f"+ ((cast({seed} AS bigint) % {p} + {p}) % {p}) * {s1} + {b1}) % {p}")
+    return _frac_sqrt_sql(f"(({_frac_sqrt_sql(h)}) * {a3} + {b3}) % {p}")
+
+
+def mix_sql(x: str, seed: str | int = 0) -> str:
+    """The 62-bit hash."""
+    hi = _lane_sql(x, seed, 2147483647, 1103515245, 12345, 40503, 48271, 2654435)
+    lo = _lane_sql(x, seed, 2147483629, 1140671485, 12820163, 69069, 69621, 1013904)
+    return f"({hi} * 2147483648 + {lo})"
+
+
+def replicate_sql(h: str, rep: str) -> str:
+    """The 31-bit draw of a replicate from a row's hash."""
+    p = 2147483647
+    rep_mix = f"((cast({rep} AS bigint) * 1597334677 + 1099087573) % {p})"
+    mixed = f"((({h} // 2147483648) % {p}) * {rep_mix} + (({h} % 2147483648) % {p}) * 747796405 + 12345) % {p}"
+    return _frac_sqrt_sql(f"(({_frac_sqrt_sql(mixed)}) * 48271 + 2654435) % {p}")
+
 
 def R(x: str, d: int = 6) -> str:
     return f"(round({x}, {d}) + 0e0)"
@@ -55,8 +97,9 @@ SELECT o.o_orderkey AS inc_id,
        cast(year(o.o_orderdate) AS int) AS yr,
        CASE WHEN o.o_orderkey % 101 = 0 THEN NULL ELSE cast(month(o.o_orderdate) AS int) END AS mo,
        CASE WHEN o.o_orderkey % 97 = 0 THEN 31 ELSE cast(day(o.o_orderdate) AS int) END AS dy,
-       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'H' WHEN '2-HIGH' THEN 'H-PB'
-            WHEN '4-NOT SPECIFIED' THEN 'U' ELSE 'N' END AS cause,
+       CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED' THEN 'U'
+            WHEN (month(o.o_orderdate) BETWEEN 5 AND 10 AND (o.o_custkey * 91) % 8500 < 5500) <> (o.o_orderkey % 13 = 0) THEN 'N'
+            WHEN o.o_orderpriority = '2-HIGH' THEN 'H-PB' ELSE 'H' END AS cause,
        CASE WHEN o.o_orderkey % 53 = 0 THEN NULL ELSE n.n_name END AS agency,
        CASE WHEN o.o_orderkey % 59 = 0 THEN NULL ELSE 42e0 + ((o.o_custkey * 37) % 1800) / 100e0 END AS lat,
        -140e0 + ((o.o_custkey * 91) % 8500) / 100e0 AS lon,
@@ -98,7 +141,7 @@ SELECT sp.site_id, sp.site_name, 'C' || cast(sp.site_id AS varchar) AS climate_i
 FROM (SELECT s.*, r.dn FROM sites s CROSS JOIN
         (SELECT range AS dn FROM range(0, datediff('day', DATE '1995-01-01', DATE '2001-12-31') + 1)) r) sp
 LEFT JOIN li_day l ON l.site_id = sp.site_id AND l.dn = sp.dn
-WHERE (sp.site_id * 7 + sp.dn) % 40 < 22""")
+WHERE (sp.site_id * 7 + sp.dn) % 40 < 22 OR l.site_id IS NOT NULL""")
 
 cte("daily_obs", ("obs_base",), """
 SELECT * FROM obs_base
@@ -260,6 +303,151 @@ def _trend() -> str:
     return with_("sized") + f", ys AS (SELECT * FROM ({_yearly()}) WHERE num_fires > 10)\n" + " UNION ALL ".join(parts)
 
 
+def _trend_p() -> str:
+    """The t test's p-value as a finite sum (whole degrees of freedom)."""
+    return f"""
+WITH RECURSIVE tr AS ({_trend_raw()}),
+a AS (SELECT *, n - 2 AS v, atan(abs(r_value) * sqrt((n - 2) / greatest((1e0 - r_value) * (1e0 + r_value), 1e-300)) / sqrt(cast(n - 2 AS double))) AS th FROM tr),
+terms(target, k, term) AS (
+  SELECT target, 0, 1e0 FROM a WHERE (v - v % 2) / 2 >= 1
+  UNION ALL
+  SELECT t.target, t.k + 1, t.term * pow(cos(a.th), 2) * (2 * (t.k + 1) - 1 + a.v % 2) / (2 * (t.k + 1) + a.v % 2)
+  FROM terms t JOIN a USING (target) WHERE t.k + 1 <= (a.v - a.v % 2) // 2 - 1),
+s AS (SELECT target, sum(term) AS total FROM terms GROUP BY target),
+p AS (SELECT a.*, CASE WHEN v >= 1 THEN greatest(0e0, 1e0 - CASE WHEN v % 2 = 1
+        THEN 2e0 / pi() * (th + sin(th) * cos(th) * coalesce(s.total, 0e0)) ELSE sin(th) * coalesce(s.total, 0e0) END) END AS p_value
+      FROM a LEFT JOIN s USING (target))
+SELECT target, n, {R('slope')} AS slope, {R('intercept')} AS intercept, {R('r_value')} AS r_value, {R('r2')} AS r2,
+       {R('stderr')} AS stderr, {R('p_value')} AS p_value, p_value < 0.05 AS significant FROM p"""
+
+
+def _trend_raw() -> str:
+    parts = []
+    for y in ("num_fires", "total_area"):
+        yy, xx = f"cast({y} AS double)", "cast(yr AS double)"
+        r = f"corr({xx}, {yy})"
+        parts.append(f"SELECT '{y}' AS target, count(*) AS n, regr_slope({yy}, {xx}) AS slope, regr_intercept({yy}, {xx}) AS intercept, "
+                     f"{r} AS r_value, {r} * {r} AS r2, CASE WHEN count(*) > 2 THEN sqrt((1e0 - {r} * {r}) * var_pop({yy}) / var_pop({xx}) / (count(*) - 2)) END AS stderr FROM ys")
+    return with_("sized") + f", ys AS (SELECT * FROM ({_yearly()}) WHERE num_fires > 10)\n" + " UNION ALL ".join(parts)
+
+
+def _older_rows() -> str:
+    doy = f"CASE WHEN yr IS NOT NULL AND mo BETWEEN 1 AND 12 AND dy BETWEEN 1 AND 31 THEN {_DOY2000} END"
+    return with_("sized") + f"""
+, o AS (SELECT *, coalesce(agency, 'Unknown') AS ag, {doy} AS doy FROM sized WHERE cause IN ('N', 'H', 'H-PB'))
+, d AS (SELECT ag, row_number() OVER (ORDER BY ag) - 1 AS region_code FROM (SELECT DISTINCT ag FROM o))
+, m AS (SELECT inc_id AS id, cast(mo AS double) AS month, cast(doy AS double) AS doy, sin(2 * pi() * doy / 365e0) AS doy_sin,
+               cos(2 * pi() * doy / 365e0) AS doy_cos, cast(region_code AS double) AS region_code, log_size_fallback AS log_size,
+               cast(yr AS double) AS year FROM o JOIN d USING (ag))
+, k AS (SELECT * FROM m WHERE month IS NOT NULL AND doy IS NOT NULL AND log_size IS NOT NULL AND year IS NOT NULL)
+"""
+
+
+_GROUP_METRICS = ("roc_auc", "average_precision", "f1", "accuracy")
+
+
+def _by_group(key: str, rows: str) -> str:
+    """CTEs ending in ``gm``: the four metrics of the scored rows per key."""
+    m = _metric_exprs()
+    return f"""
+, rows_ AS ({rows})
+, gs AS (SELECT {key}, score, sum(CASE WHEN label = 1 THEN 1e0 ELSE 0e0 END) AS pos, sum(CASE WHEN label = 0 THEN 1e0 ELSE 0e0 END) AS neg
+         FROM rows_ GROUP BY 1, 2)
+, gc AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg FROM gs
+         WINDOW w AS (PARTITION BY {key} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+, gr AS (SELECT {key}, {_AUC} AS roc_auc, {_AP} AS average_precision FROM gc GROUP BY 1)
+, gx AS (SELECT {key}, count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+                count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp FROM rows_ GROUP BY 1)
+, gm AS (SELECT gr.*, {m['f1']} AS f1, {m['accuracy']} AS accuracy FROM gr JOIN gx USING ({key}))
+"""
+
+
+def _fold_summary() -> str:
+    fold = f"cast((row_number() OVER (PARTITION BY label ORDER BY {mix_sql('id', SEED)}, id) - 1) % 5 AS int)"
+    long = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value FROM gm" for m in _GROUP_METRICS)
+    return (with_("scored") + _by_group("fold", f"SELECT label, score, pred, {fold} AS fold FROM scored")
+            + f"SELECT metric, {R('avg(value)')} AS mean, {R('stddev_pop(value)')} AS std, {R('min(value)')} AS min, {R('max(value)')} AS max "
+              f"FROM ({long}) GROUP BY metric")
+
+
+def _comparison() -> str:
+    other = "((id * 7561) % 1000) / 1e3"
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS model, label, s AS score, CASE WHEN s >= 0.5 THEN 1 ELSE 0 END AS pred FROM (SELECT label, {e} AS s FROM scored)"
+        for n, e in (("fixed", "score"), ("noise", other), ("mixed", f"(score + {other}) / 2")))
+    sel = ", ".join(f"{R(m)} AS {m}" for m in _GROUP_METRICS)
+    return with_("scored") + _by_group("model", rows) + f"SELECT model, {sel}, row_number() OVER (ORDER BY roc_auc DESC, model) = 1 AS is_best FROM gm"
+
+
+def _importance_ctes() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS feature, '{FEATURE_LABELS.get(c, c)}' AS display_name, "
+        f"CASE WHEN isnan(coalesce(corr({c}, cast(target AS double)), 0e0)) THEN 0e0 ELSE round(abs(coalesce(corr({c}, cast(target AS double)), 0e0)), 9) END AS v FROM model"
+        for i, c in enumerate(FEATURE_COLS))
+    return with_("model") + f", iv AS ({parts}), im AS (SELECT *, v / sum(v) OVER () AS importance FROM iv)\n"
+
+
+FIXED_WEIGHTS = {"doy": 0.004, "doy_sin": -0.8, "latitude": 0.03, "longitude": 0.02, "month": -0.05, "log_size": 0.3, "is_weekend": 0.25}
+FIXED_BIAS = 0.7
+_LOGIT = f"{FIXED_BIAS}e0" + "".join(f" + {w}e0 * {c}" for c, w in FIXED_WEIGHTS.items())
+
+
+def _sample(n: int, seed: int) -> str:
+    return f"SELECT * FROM model ORDER BY {mix_sql('inc_id', seed)}, inc_id LIMIT {n}"
+
+
+def _pdp_fixed() -> str:
+    grids = []
+    for f in PDP_FEATURES:
+        w = FIXED_WEIGHTS.get(f, 0.0)
+        q = lambda p: (f"(SELECT (1 - g) * any_value(lo) + g * any_value(hi) FROM (SELECT least(greatest(n * {p} + 0.4 + 0.2 * {p} - k, 0), 1) AS g, "
+                       f"list_extract(xs, cast(k AS bigint)) AS lo, list_extract(xs, cast(k AS bigint) + 1) AS hi FROM "
+                       f"(SELECT xs, n, floor(least(greatest(n * {p} + 0.4 + 0.2 * {p}, 1), n - 1)) AS k FROM "
+                       f"(SELECT list(cast({f} AS double) ORDER BY {f}) AS xs, count(*) AS n FROM sm))) GROUP BY g)")
+        grids.append(f"SELECT '{f}' AS feature, {w}e0 AS w, v AS grid_value FROM (SELECT DISTINCT cast({f} AS double) AS v FROM sm) "
+                     f"WHERE (SELECT count(DISTINCT {f}) FROM sm) < 50 UNION ALL "
+                     f"SELECT '{f}', {w}e0, lo + (hi - lo) * i / 49e0 FROM (SELECT {q('0.05e0')} AS lo, {q('0.95e0')} AS hi) "
+                     f"CROSS JOIN (SELECT range AS i FROM range(0, 50)) WHERE (SELECT count(DISTINCT {f}) FROM sm) >= 50")
+    own = "CASE feature " + " ".join(f"WHEN '{f}' THEN cast({f} AS double)" for f in PDP_FEATURES) + " END"
+    return with_("model") + f"""
+, sm AS ({_sample(10000, SEED)})
+, grid AS ({' UNION ALL '.join(grids)})
+, z AS (SELECT feature, grid_value, ({_LOGIT}) + w * (grid_value - {own}) AS z FROM sm CROSS JOIN grid)
+, p AS (SELECT feature, grid_value, 1 / (1 + exp(-z)) AS p, least(greatest(1 / (1 + exp(-z)), 1e-15), 1 - 1e-15) AS c FROM z)
+SELECT feature, {R('grid_value')} AS grid_value, {R('avg(p)')} AS average_probability, {R('avg(ln(c / (1 - c)))')} AS average_log_odds
+FROM p GROUP BY feature, p.grid_value"""
+
+
+def _shapley_fixed() -> str:
+    cols = ", ".join(f"cast({c} AS double)" for c in FEATURE_COLS)
+    weights = ", ".join(f"{FIXED_WEIGHTS.get(c, 0.0)}e0" for c in FEATURE_COLS)
+    names = ", ".join(f"'{c}'" for c in FEATURE_COLS)
+    order = ", ".join(FEATURE_COLS)
+    n = len(FEATURE_COLS)
+    return with_("model") + f"""
+, ex AS (SELECT inc_id AS id, [{cols}] AS xs, {_LOGIT} AS zx FROM ({_sample(5000, SEED)}))
+, bg AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS b, [{cols}] AS zs, {_LOGIT} AS zb FROM ({_sample(100, SEED + 1)}))
+, nb AS (SELECT count(*) AS n FROM bg)
+, d AS (SELECT e.id, s.range AS s, e.xs, {mix_sql('e.id', f's.range + {SEED}')} AS h FROM ex e CROSS JOIN range(0, 10) s)
+, j AS (SELECT d.id, d.s, d.h, d.xs, bg.zs, bg.zb FROM d CROSS JOIN nb JOIN bg ON bg.b = d.h % nb.n)
+, f AS (SELECT id, s, h, zb, r.range AS j, list_extract([{weights}], r.range + 1) * (list_extract(xs, r.range + 1) - list_extract(zs, r.range + 1)) AS dz
+        FROM j CROSS JOIN range(0, {n}) r)
+, o AS (SELECT id, s, j, zb, dz, {replicate_sql('h', 'j')} AS o FROM f)
+, c AS (SELECT *, zb + sum(dz) OVER (PARTITION BY id, s ORDER BY o, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS z1 FROM o)
+, phi AS (SELECT id, j, sum(1 / (1 + exp(-z1)) - 1 / (1 + exp(-(z1 - dz)))) / 10 AS v FROM c GROUP BY id, j)
+, su AS (SELECT list_extract([{names}], j + 1) AS feature, avg(abs(v)) AS a, avg(v) AS m FROM phi GROUP BY j)
+SELECT feature, {R('a')} AS mean_abs_shapley, {R('m')} AS mean_shapley, cast(row_number() OVER (ORDER BY round(a, 12) DESC, feature) AS int) AS rank FROM su"""
+
+
+def _poles() -> str:
+    return f"""
+WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 90e0 WHEN s_suppkey % 9 = 1 THEN -90e0
+                  ELSE (42e0 + ((s_suppkey * 53) % 1800) / 100e0 - 51e0) * 10e0 END AS la, ((s_suppkey * 577) % 3600) / 10e0 AS lo FROM supplier),
+c AS (SELECT c_custkey AS point_id, CASE WHEN c_custkey % 11 = 0 THEN 90e0 WHEN c_custkey % 11 = 1 THEN -90e0 WHEN c_custkey % 11 = 2 THEN 89.5e0
+             ELSE ((c_custkey * 37) % 1800) / 10e0 - 90e0 END AS lat, ((c_custkey * 91) % 3600) / 10e0 - 180e0 AS lon FROM customer)
+SELECT point_id, {R(f"min({haversine_sql('c.lat', 'c.lon', 's.la', 's.lo')})", 5)} AS station_dist_km FROM c CROSS JOIN s GROUP BY point_id"""
+
+
 def _corr() -> str:
     cols = CLIMATE_CORR_COLS
     drop = " AND ".join(f"{c} IS NOT NULL" for c in cols)
@@ -274,16 +462,20 @@ def _corr() -> str:
 
 
 def _hist(col: str, src: str, bins: int = 50, group: str | None = None) -> str:
-    g = f"{group}, " if group else ""
-    on = f"USING ({group})" if group else "ON TRUE"
-    return (f"SELECT {g}bin, {R('mn + (bin - 1) * width')} AS lo, {R('mn + bin * width')} AS hi, n, "
-            f"{R('n / (tot * width)')} AS density FROM ("
-            f"  SELECT {g}cast(least(floor(({col} - mn) / (mx - mn) * {bins}), {bins - 1}) AS int) + 1 AS bin, "
-            f"         any_value(mn) AS mn, any_value(tot) AS tot, any_value((mx - mn) / {bins}) AS width, count(*) AS n "
-            f"  FROM (SELECT * FROM {src} WHERE {col} IS NOT NULL AND NOT isnan({col})) d JOIN "
-            f"       (SELECT {g}min({col}) AS mn, max({col}) AS mx, count(*) AS tot FROM {src} "
-            f"        WHERE {col} IS NOT NULL AND NOT isnan({col}) {'GROUP BY ' + group if group else ''}) r {on} "
-            f"  GROUP BY ALL)")
+    """Every bin of every group is listed first; a bin's rows are counted by its bounds' index."""
+    g, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
+    same = f"c.{group} IS NOT DISTINCT FROM r.{group} AND " if group else ""
+    ok = f"{col} IS NOT NULL AND NOT isnan({col})"
+    rng = (f"SELECT {g}CASE WHEN min({col}) = max({col}) THEN min({col}) - 0.5e0 ELSE min({col}) END AS mn, "
+           f"CASE WHEN min({col}) = max({col}) THEN max({col}) + 0.5e0 ELSE max({col}) END AS mx, count(*) AS tot "
+           f"FROM {src} WHERE {ok} {by} HAVING count(*) > 0")
+    on = f"d.{group} IS NOT DISTINCT FROM r.{group}" if group else "TRUE"
+    cnt = (f"SELECT {'r.' + g if group else ''}cast(least(floor((d.{col} - mn) / (mx - mn) * {bins}), {bins - 1}) AS int) + 1 AS bin, count(*) AS n "
+           f"FROM (SELECT * FROM {src} WHERE {ok}) d JOIN ({rng}) r ON {on} GROUP BY ALL")
+    return (f"SELECT {'r.' + g if group else ''}cast(s.b AS int) AS bin, {R(f'mn + (s.b - 1) * ((mx - mn) / {bins})')} AS lo, "
+            f"{R(f'mn + s.b * ((mx - mn) / {bins})')} AS hi, coalesce(c.n, 0) AS n, "
+            f"{R(f'coalesce(c.n, 0) / (tot * ((mx - mn) / {bins}))')} AS density "
+            f"FROM ({rng}) r CROSS JOIN (SELECT range AS b FROM range(1, {bins + 1})) s LEFT JOIN ({cnt}) c ON {same}c.bin = s.b")
 
 
 def _calibration_bin() -> str:
@@ -305,12 +497,12 @@ def _split_sql() -> str:
 
 
 def _perm_sql(n_perm: int = 1000) -> str:
-    h = mix_sql("r.id", f"p.perm + {(SEED + 7) * 100003}")
+    h = replicate_sql("r.hid", "p.perm")
     return with_("scored") + f"""
 , sc AS (SELECT score, count(*) AS cnt FROM scored GROUP BY score)
 , rk AS (SELECT score, (sum(cnt) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cnt)
                         + (cnt + 1) / 2e0 AS ar FROM sc)
-, r AS (SELECT s.id, s.label, rk.ar FROM scored s JOIN rk ON s.score = rk.score)
+, r AS (SELECT s.id, s.label, rk.ar, {mix_sql("s.id", SEED + 7)} AS hid FROM scored s JOIN rk ON s.score = rk.score)
 , tot AS (SELECT sum(label) AS np, count(*) - sum(label) AS nn,
                  sum(CASE WHEN label = 1 THEN ar ELSE 0e0 END) AS rs FROM r)
 , x AS (SELECT p.perm, r.id, r.ar, {h} AS h FROM r CROSS JOIN (SELECT range AS perm FROM range(0, {n_perm})) p)
@@ -327,11 +519,12 @@ FROM pa CROSS JOIN obs"""
 
 
 def _boot_sql(n_boot: int = 1000) -> str:
-    u = f"({mix_sql('s.id', f't.rep + {SEED * 100003}')}) / {dbl(HASH_P)}"
+    u = f"({replicate_sql('s.hid', 't.rep')}) / 2147483648e0"
     w = " + ".join(f"CASE WHEN u >= {dbl(c)} THEN 1 ELSE 0 END" for c in POISSON1_CDF)
     m = _metric_exprs()
     return with_("scored") + f"""
-, ex AS (SELECT t.rep, s.id, s.label, s.score, s.pred, {u} AS u FROM scored s
+, hs AS (SELECT *, {mix_sql("id", SEED)} AS hid FROM scored)
+, ex AS (SELECT t.rep, s.id, s.label, s.score, s.pred, {u} AS u FROM hs s
          CROSS JOIN (SELECT range AS rep FROM range(0, {n_boot})) t)
 , wx AS (SELECT rep, label, score, pred, ({w}) AS w FROM ex)
 , ag AS (SELECT rep, score, label, pred, cast(sum(w) AS double) AS w FROM wx WHERE w > 0 GROUP BY 1, 2, 3, 4)
@@ -560,6 +753,24 @@ FROM tr CROSS JOIN c"""
         f"SELECT id, label, cast((row_number() OVER (PARTITION BY label ORDER BY {mix_sql('id', SEED)}, id) - 1) % 5 AS int) "
         "AS fold FROM scored")
     q["sample_n"] = with_("scored") + f"SELECT id, label, {R('score')} AS score FROM scored ORDER BY {mix_sql('id', SEED)}, id LIMIT 5000"
+    q["histogram_sparse"] = with_("sized") + ", leap AS (SELECT * FROM sized WHERE mo = 2 AND dy = 29)\n" + _hist("fire_size", "leap", group="agency")
+    q["yearly_trend_pvalue"] = _trend_p()
+    q["nearest_poles"] = _poles()
+    q["csv_rejects"] = "SELECT 'malformed lines' AS reason, count(*) AS rejected FROM orders WHERE o_orderkey % 200 = 0"
+    older = ["month", "doy", "doy_sin", "doy_cos", "region_code", "log_size", "year"]
+    q["standardize"] = _older_rows() + "SELECT id, " + ", ".join(
+        R(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1e0 END") + f" AS {c}" for c in older) + " FROM k"
+    q["validation_slice"] = with_("scored") + f"SELECT id, {mix_sql('id', 7)} < {int(0.1 * 2 ** 62)} AS is_validation FROM scored"
+    q["cv_fold_summary"] = _fold_summary()
+    q["model_comparison"] = _comparison()
+    q["correlation_importance"] = _importance_ctes() + (
+        f"SELECT feature, display_name, {R('importance')} AS importance, {R('sum(importance) OVER (ORDER BY importance DESC, position)')} AS cumulative, "
+        "cast(row_number() OVER (ORDER BY importance DESC, position) AS int) AS rank FROM im")
+    groups = " ".join(f"WHEN feature IN ({', '.join(repr(f) for f in fs)}) THEN '{g}'" for g, fs in FEATURE_GROUPS.items())
+    q["correlation_importance_groups"] = _importance_ctes() + (
+        f"SELECT CASE {groups} END AS feature_group, {R('sum(importance)')} AS importance, {R('sum(importance) * 100e0')} AS share_pct FROM im GROUP BY 1")
+    q["partial_dependence_fixed"] = _pdp_fixed()
+    q["sampled_shapley_fixed"] = _shapley_fixed()
     q["permutation_test"] = _perm_sql()
     q["bootstrap_ci"] = _boot_sql()
     return q

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,7 @@ from ignis.operators import resample as RS
 from ignis.operators import stats as ST
 from ignis.operators import tables as TB
 from ignis.operators.climate import DAY_OF_MEASURES
+from ignis.operators.nearest import nearest_site
 from ignis.operators.prefix import quantiles_wide
 from ignis.plans import views as V
 from ignis.session import scratch_path
@@ -46,6 +48,7 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+# Column names of the derived tables.
 WINDOW_COLS = {w: [f"temp_mean_{w}d", f"temp_max_{w}d", f"precip_total_{w}d", f"rain_total_{w}d",
                    f"dry_days_{w}d", f"temp_range_{w}d"] for w in (7, 30)}
 CLIMATE_CORR_COLS = ["temp_max", "temp_min", "temp_mean", "precip", "rain", "diurnal_range", "temp_mean_7d",
@@ -105,6 +108,22 @@ def q_obs_union_by_name(spark, sf):
                              ("temp_max", "temp_min", "temp_mean", "precip", "rain", "snow_ground", "wind_gust")]))
 
 
+def q_csv_rejects(spark, sf):
+    """Orders written as CSV files with every 200th line cut short by an open
+    quote, then scanned; the malformed lines of each file are counted."""
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    bad = F.col("o_orderkey") % 200 == 0
+    line = F.when(bad, F.concat(F.col("o_orderkey").cast("string"), F.lit(',a,b,"c'))).otherwise(
+        F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_orderpriority")))
+    path = scratch_path(spark, f"orders_csv_{uuid.uuid4().hex}")
+    o.select(line.alias("line")).coalesce(1).write.option("header", False).text(f"{path}/body")
+    body = spark.read.text(f"{path}/body")
+    head = spark.createDataFrame([("o_orderkey,o_orderpriority",)], "line string")
+    head.unionByName(body.withColumnRenamed("value", "line")).coalesce(1).write.text(f"{path}/csv")
+    found = FS.rejected_files(spark, f"{path}/csv/*.txt")
+    return found.groupBy("reason").agg(F.sum("rejected").alias("rejected"))
+
+
 def _catalogue_csv(spark, sf):
     path = scratch_path(spark, f"catalogue_{uuid.uuid4().hex}")
     cat = STN.catalogue_fixture(spark, sf)
@@ -186,25 +205,39 @@ def q_nearest_site(spark, sf):
     return finish(V.with_nearest(spark, sf).select("inc_id", "nearest_site", "nearest_name", "station_dist_km"))
 
 
+def q_nearest_poles(spark, sf):
+    """Nearest site where sites and points lie at the poles and round the
+    antimeridian: latitudes stretched to -90 ... 90, longitudes to 0 ... 360."""
+    sites = fx.sites(spark, sf).select(
+        "site_id", "site_name", F.when(F.col("site_id") % 9 == 0, 90.0).when(F.col("site_id") % 9 == 1, -90.0)
+        .otherwise((F.col("site_lat") - 51.0) * 10.0).alias("site_lat"), ((F.col("site_id") * 577) % 3600 / 10.0).alias("site_lon"))
+    c = fx.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("point_id"), F.when(F.col("c_custkey") % 11 == 0, 90.0).when(F.col("c_custkey") % 11 == 1, -90.0)
+        .when(F.col("c_custkey") % 11 == 2, 89.5).otherwise((F.col("c_custkey") * 37) % 1800 / 10.0 - 90.0).alias("lat"),
+        ((F.col("c_custkey") * 91) % 3600 / 10.0 - 180.0).alias("lon"))
+    # where sites are equally near to the last bits, engines may differ in which comes first: the distance is what counts
+    return finish(nearest_site(c, sites).select("point_id", "station_dist_km"), 5)
+
+
 def q_site_distance_quantiles(spark, sf):
-    n = V.with_nearest(spark, sf)
+    n = V.joined_stored(spark, sf)
     return finish(quantiles_wide(n, "station_dist_km", {"p50_km": 0.5, "p90_km": 0.9}))
 
 
 def q_climate_day_of(spark, sf):
-    return finish(V.joined(spark, sf).select("inc_id", *DAY_OF_MEASURES))
+    return finish(V.joined_stored(spark, sf).select("inc_id", *DAY_OF_MEASURES))
 
 
 def q_climate_7d(spark, sf):
-    return finish(V.joined(spark, sf).select("inc_id", *WINDOW_COLS[7]))
+    return finish(V.joined_stored(spark, sf).select("inc_id", *WINDOW_COLS[7]))
 
 
 def q_climate_30d(spark, sf):
-    return finish(V.joined(spark, sf).select("inc_id", *WINDOW_COLS[30]))
+    return finish(V.joined_stored(spark, sf).select("inc_id", *WINDOW_COLS[30]))
 
 
 def q_climate_derived(spark, sf):
-    d = C.climate_derived(V.joined(spark, sf))
+    d = C.climate_derived(V.joined_stored(spark, sf))
     return finish(d.select("inc_id", "diurnal_range", "temp_anomaly", "fire_weather_index", "station_dist"))
 
 
@@ -325,6 +358,12 @@ def q_size_histogram(spark, sf):
     return finish(ST.histogram(_sized(spark, sf), "log10_size", bins=50))
 
 
+def q_histogram_sparse(spark, sf):
+    """A histogram most of whose bins are empty: sizes of the incidents of one
+    day of the year per agency (missing agencies are a group too)."""
+    return finish(ST.histogram(_sized(spark, sf).where((F.col("mo") == 2) & (F.col("dy") == 29)), "fire_size", bins=50, group="agency"))
+
+
 def q_score_histogram(spark, sf):
     return finish(ST.histogram(V.scored(spark, sf), "score", bins=50, group="label"))
 
@@ -406,15 +445,84 @@ def q_bootstrap_ci(spark, sf):
     return finish(RS.bootstrap_ci(V.scored(spark, sf), n_boot=1000, seed=SEED))
 
 
-# ---------------------------------------------------------------- models (rows-only checks)
+# ---------------------------------------------------------------- models: operators around a fit, with oracles
 SIZE_FEATURES = ["month", "year", "agency_code", "cause_code"]
 
 
+def q_standardize(spark, sf):
+    """Feature rows of the earlier pipeline scaled by mean and population std."""
+    return finish(ML.standardized_table(V.older_model_rows(spark, sf), V.OLDER_FEATURES))
+
+
+def q_validation_slice(spark, sf):
+    return ML.with_validation_slice(V.scored(spark, sf)).select("id", "is_validation")
+
+
+def q_cv_fold_summary(spark, sf):
+    """Fold metrics of a given score: the summary that cross-validation reports."""
+    folds = RS.stratified_folds(V.scored(spark, sf), seed=SEED)
+    return finish(ML.fold_summary(ML.fold_metrics(folds)))
+
+
+def _score_columns(spark, sf):
+    """Three scores of the same rows."""
+    s = V.scored(spark, sf).select("id", "label", "score")
+    other = ((F.col("id") * 7561) % 1000) / F.lit(1e3)
+    named = F.array(F.struct(F.lit("fixed").alias("model"), F.col("score").alias("s")), F.struct(F.lit("noise").alias("model"), other.alias("s")),
+                    F.struct(F.lit("mixed").alias("model"), ((F.col("score") + other) / 2).alias("s")))
+    return s.select("id", "label", F.explode(named).alias("m")).select("id", "label", "m.model", F.col("m.s").alias("score")).withColumn(
+        "pred", (F.col("score") >= 0.5).cast("int"))
+
+
+def q_model_comparison(spark, sf):
+    """Metrics of three scores side by side, the best by ROC-AUC marked."""
+    per = ML.fold_metrics(_score_columns(spark, sf), "model")
+    best = F.row_number().over(Window.orderBy(F.col("roc_auc").desc(), F.col("model"))) == 1  # one row a model
+    return finish(per.withColumn("is_best", best))
+
+
+def _correlation_importance(spark, sf):
+    """Importances with a closed form: each feature's share of |correlation with the target|."""
+    rows = V.model_dataset(spark, sf)
+    one = rows.agg(*[F.coalesce(F.abs(F.corr(c, F.col("target").cast("double"))), F.lit(0.0)).alias(c) for c in V.FEATURE_COLS]).first()
+    values = [0.0 if one[c] != one[c] else round(one[c], 9) for c in V.FEATURE_COLS]
+    total = sum(values)
+    return ML.importance_table(spark, V.FEATURE_COLS, [v / total for v in values], V.FEATURE_LABELS)
+
+
+def q_correlation_importance(spark, sf):
+    return finish(_correlation_importance(spark, sf))
+
+
+def q_correlation_importance_groups(spark, sf):
+    return finish(ML.grouped_importance(_correlation_importance(spark, sf), V.FEATURE_GROUPS))
+
+
+#: A fixed logistic score over the main features, so that explanations have a closed form.
+FIXED_WEIGHTS = {"doy": 0.004, "doy_sin": -0.8, "latitude": 0.03, "longitude": 0.02, "month": -0.05, "log_size": 0.3, "is_weekend": 0.25}
+FIXED_BIAS = 0.7
+
+
+def _fixed_scorer():
+    return ML.logistic_scorer([FIXED_WEIGHTS.get(c, 0.0) for c in V.FEATURE_COLS], FIXED_BIAS)
+
+
+def q_partial_dependence_fixed(spark, sf):
+    sample = RS.sample_n(V.main_model_rows(spark, sf), 10000, seed=SEED).checkpoint(eager=True)
+    return finish(ML.partial_dependence(_fixed_scorer(), sample, V.FEATURE_COLS, V.PDP_FEATURES, resolution=50))
+
+
+def q_sampled_shapley_fixed(spark, sf):
+    rows = V.main_model_rows(spark, sf).checkpoint(eager=True)
+    explain, background = RS.sample_n(rows, 5000, seed=SEED), RS.sample_n(rows, 100, seed=SEED + 1)
+    values = ML.sampled_shapley(_fixed_scorer(), explain, background, V.FEATURE_COLS, n_samples=10, seed=SEED)
+    return finish(ML.shapley_summary(values))
+
+
+# ---------------------------------------------------------------- fitted models (rows-only checks)
 def _older_split(spark, sf):
-    # the feature rows feed the split's class counts, its selection and the
-    # fits: materialize them once in the shared checkpoint folder
-    rows = V.older_model_rows(spark, sf).checkpoint(eager=True)
-    d = RS.stratified_split(rows, seed=SEED).persist()
+    rows = V.stored(spark, sf, "older_rows", lambda: V.older_model_rows(spark, sf))
+    d = RS.stratified_split(rows, seed=SEED).checkpoint(eager=True)
     return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
 
 
@@ -456,11 +564,19 @@ def q_best_model(spark, sf):
     return finish(allm.withColumn("is_best", F.row_number().over(w) == 1))
 
 
+def _main_rows(spark, sf):
+    """The main model's rows with their split, stored once."""
+    return V.stored(spark, sf, "main_rows", lambda: RS.stratified_split(V.main_model_rows(spark, sf), seed=SEED))
+
+
 def _main_fit(spark, sf):
-    rows = V.main_model_rows(spark, sf).checkpoint(eager=True)
-    d = RS.stratified_split(rows, seed=SEED).persist()
+    """The main model, fitted and saved once per state of the input, and its rows."""
+    d = _main_rows(spark, sf)
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    return ML.fit_main_gbt(tr, V.FEATURE_COLS, seed=SEED), tr, te
+    path = V.stored_path(spark, sf, "main_gbt")
+    if not FS.exists(spark, f"{path}/metadata"):
+        ML.fit_main_gbt(tr, V.FEATURE_COLS, seed=SEED).write().overwrite().save(path)
+    return GBTClassificationModel.load(path), tr, te
 
 
 def q_train_gbt(spark, sf):
@@ -470,8 +586,8 @@ def q_train_gbt(spark, sf):
 
 
 def q_rf_size_regression(spark, sf):
-    d = V.size_model_rows(spark, sf).checkpoint(eager=True)
-    d = RS.stratified_split(d.withColumn("__one", F.lit(0)), label="__one", seed=SEED).drop("__one")
+    d = V.size_model_rows(spark, sf)
+    d = RS.stratified_split(d.withColumn("__one", F.lit(0)), label="__one", seed=SEED).drop("__one").checkpoint(eager=True)
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     model = ML.regression_forest(100, seed=SEED).fit(ML.assemble(tr, SIZE_FEATURES))
     pred = model.transform(ML.assemble(te, SIZE_FEATURES)).select(F.col("label").alias("y"), F.col("prediction").alias("yhat"))
@@ -479,10 +595,9 @@ def q_rf_size_regression(spark, sf):
 
 
 def q_cross_validate(spark, sf):
-    d = ML.with_validation_slice(V.main_model_rows(spark, sf).checkpoint(eager=True))
-    cv = ML.cross_validate(d, V.FEATURE_COLS, lambda: ML.main_gbt(weight=None, seed=SEED), k=5, seed=SEED,
-                           extra_cols=["is_validation"])
-    return finish(cv)
+    d = _main_rows(spark, sf).drop("split")
+    return finish(ML.cross_validate(d, V.FEATURE_COLS, lambda tr: ML.fit_main_gbt(tr, V.FEATURE_COLS, seed=SEED, weighted=False),
+                                    k=5, seed=SEED))
 
 
 def q_feature_importance(spark, sf):
@@ -499,14 +614,14 @@ def q_grouped_importance(spark, sf):
 def q_partial_dependence(spark, sf):
     model, tr, _ = _main_fit(spark, sf)
     sample = RS.sample_n(tr, 10000, seed=SEED).checkpoint(eager=True)
-    return finish(ML.partial_dependence(model, sample, V.FEATURE_COLS, V.PDP_FEATURES, resolution=50))
+    return finish(ML.partial_dependence(ML.model_scorer(model), sample, V.FEATURE_COLS, V.PDP_FEATURES, resolution=50))
 
 
 def q_sampled_shapley(spark, sf):
     model, tr, te = _main_fit(spark, sf)
     explain = RS.sample_n(te, 5000, seed=SEED)
     background = RS.sample_n(tr, 100, seed=SEED + 1)
-    values = ML.sampled_shapley(model, explain, background, V.FEATURE_COLS, n_samples=10, seed=SEED)
+    values = ML.sampled_shapley(ML.model_scorer(model), explain, background, V.FEATURE_COLS, n_samples=10, seed=SEED)
     return finish(ML.shapley_summary(values))
 
 

@@ -3,12 +3,17 @@ clean incidents -> nearest site -> weather features -> model features."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ignis.operators import clean as C
 from ignis.operators.climate import attach_weather
 from ignis.operators.nearest import nearest_site
+from ignis.operators.tables import first_non_null
+from ignis.session import scratch_path
+from ignis.sources import files as FS
 from ignis.sources import fixtures as fx
 
 # The 33 model features, their groups, and the core features a
@@ -40,22 +45,50 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.clean_incidents(fx.incidents(spark, sf_dir))
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
+           partition_by: Sequence[str] = ()) -> DataFrame:
+    """A derived table, built and written once per state of its input files and
+    read by every later step."""
+    return FS.materialize(spark, build, stored_path(spark, sf_dir, name), partition_by)
+
+
+def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    base = sf_dir.rstrip("/")
+    key = FS.fingerprint(spark, [f"{base}/{t}.parquet" for t in ("orders", "customer", "nation", "supplier", "lineitem")])
+    return scratch_path(spark, f"{name}-{key}")
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station table from the observations: per station name the least id and the
+    first known coordinates, in file order."""
+    obs = fx.daily_obs(spark, sf_dir)
+    first = first_non_null(obs, "site_name", ["site_id", "site_lat", "site_lon"], ["dn", "copy_no"])
+    return first.select("site_id", "site_name", "site_lat", "site_lon")
+
+
 def with_nearest(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    return nearest_site(base if base is not None else clean(spark, sf_dir), fx.sites(spark, sf_dir))
+    sites = stored(spark, sf_dir, "stations", lambda: stations(spark, sf_dir))
+    return nearest_site(base if base is not None else clean(spark, sf_dir), sites)
 
 
 def joined(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    """Incidents + nearest site + day-of and 7/30-day weather (the cached joined table)."""
+    """Incidents + nearest site + day-of and 7/30-day weather, built anew."""
     inc = C.fire_date(with_nearest(spark, sf_dir, base))
     return attach_weather(inc, fx.daily_obs(spark, sf_dir), site_col="nearest_site", date_col="fire_date")
 
 
+def joined_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined table with the agency code, stored by year."""
+    def build():
+        # the dictionary only depends on the clean incidents, so it is built before the expensive joins
+        base = C.label_encode(clean(spark, sf_dir), "agency", "province_code")
+        return joined(spark, sf_dir, base).withColumn("by_year", F.col("yr"))
+    return stored(spark, sf_dir, "joined", build, ["by_year"]).drop("by_year")
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joined table + temporal, geographic, size and derived climate features.
-    The province dictionary only depends on the clean incidents, so it is
-    built (and its size checked) before the expensive joins."""
-    base = C.label_encode(clean(spark, sf_dir), "agency", "province_code")
-    j = C.climate_derived(joined(spark, sf_dir, base))
+    """Stored joined table + temporal, geographic, size and derived climate features."""
+    j = C.climate_derived(joined_stored(spark, sf_dir))
     j = C.temporal_features(j, "main")
     j = C.size_features(j)
     return j.withColumn("latitude", F.col("lat")).withColumn("longitude", F.col("lon"))

@@ -13,15 +13,15 @@ from ignis.plans import views as V
 @pytest.fixture(scope="module")
 def planted(spark):
     d = V.main_model_rows(spark, SF01)
-    # label depends on the features (the fixture cause does not)
+    # a label with a stronger tie to one feature than the fixture cause has
     d = d.withColumn("label", ((F.col("doy") + (F.col("id") * 31) % 200) > 260).cast("int"))
     return RS.stratified_split(d).persist()
 
 
 def test_gbt_learns_planted_signal(spark, planted):
     tr, te = planted.where("split = 'train'"), planted.where("split = 'test'")
-    g = ML.gradient_boosting(max_iter=15, depth=4, seed=1)
-    model = ML.fit_main_gbt(tr, V.FEATURE_COLS, gbt=g.setParams(weightCol="weight"))
+    model = ML.fit_main_gbt(tr, V.FEATURE_COLS, max_rounds=15,
+                            make=lambda rounds: ML.gradient_boosting(max_iter=rounds, depth=4, seed=1, weight="weight"))
     ev = ML.evaluate(ML.score(model, ML.assemble(te, V.FEATURE_COLS))).first()
     assert ev.roc_auc > 0.8
     imp = model.featureImportances.toArray()
@@ -47,7 +47,7 @@ def test_sampled_shapley_efficiency(spark, planted):
     model = ML.gradient_boosting(max_iter=5, depth=3, seed=1).fit(ML.assemble(tr, V.FEATURE_COLS))
     explain = RS.sample_n(te, 20)
     bg = RS.sample_n(tr, 1)          # one background row: sum of phi == f(x) - f(z) exactly
-    values = ML.sampled_shapley(model, explain, bg, V.FEATURE_COLS, n_samples=3)
+    values = ML.sampled_shapley(ML.model_scorer(model), explain, bg, V.FEATURE_COLS, n_samples=3)
     sums = {r.id: r.s for r in values.groupBy("id").agg(F.sum("shapley_value").alias("s")).collect()}
     fx_ = {r.id: r.score for r in ML.score(model, ML.assemble(explain, V.FEATURE_COLS)).collect()}
     fz = ML.score(model, ML.assemble(bg, V.FEATURE_COLS)).first().score
@@ -58,6 +58,31 @@ def test_sampled_shapley_efficiency(spark, planted):
 def test_partial_dependence_grid(spark, planted):
     tr = planted.where("split = 'train'")
     model = ML.gradient_boosting(max_iter=5, depth=3, seed=1).fit(ML.assemble(tr, V.FEATURE_COLS))
-    pd_ = ML.partial_dependence(model, RS.sample_n(tr, 500), V.FEATURE_COLS, ["doy", "month"], resolution=10)
+    pd_ = ML.partial_dependence(ML.model_scorer(model), RS.sample_n(tr, 500), V.FEATURE_COLS, ["doy", "month"], resolution=10)
     counts = {r.feature: r["count"] for r in pd_.groupBy("feature").count().collect()}
     assert counts["doy"] == 10 and counts["month"] == 10
+
+
+def test_stopping_round_has_patience():
+    falling = [1 / (i + 1) for i in range(200)]
+    stop = ML.stopping_round(falling, 20, 1e-4)
+    assert 20 < stop < 200  # improvements by less than the tolerance over 20 rounds don't count
+    assert ML.stopping_round([1.0, 0.5] + [0.6] * 10, 20, 1e-4) is None
+    flat = [1.0 - 0.1 * i for i in range(5)] + [0.9] * 30
+    assert ML.stopping_round(flat, 20, 1e-4) == 25
+    bump = [1.0, 0.9, 0.95, 0.95, 0.5, 0.4] + [0.4] * 25
+    assert ML.stopping_round(bump, 20, 1e-4) > 20
+
+
+def test_fewer_rounds_are_a_prefix(spark, planted):
+    x = ML.assemble(planted, V.FEATURE_COLS).withColumn("weight", F.lit(1.0)).persist()
+    long, short = (ML.main_gbt(rounds=r, seed=3).fit(x) for r in (6, 3))
+    assert [t.toDebugString.split("\n", 1)[1] for t in long.trees][:3] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
+    assert list(long.treeWeights)[:3] == list(short.treeWeights)
+
+
+def test_main_model_boosts(spark):
+    """The registered fit has many trees and learns the cause."""
+    from __spark_entry__ import queries
+    r = queries()["train_gbt"](spark, SF01).first()
+    assert r.n_trees > 20 and r.roc_auc > 0.8

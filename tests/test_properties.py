@@ -169,3 +169,112 @@ def test_permutation_and_bootstrap_shapes(spark):
     b = {r.metric: r for r in RS.bootstrap_ci(s, n_boot=40).collect()}
     assert set(b) == {"roc_auc", "pr_auc", "f1", "accuracy"}
     assert b["roc_auc"].ci_low <= b["roc_auc"].mean <= b["roc_auc"].ci_high
+
+
+def test_text_blocks_are_balanced(spark):
+    from ignis.operators.prefix import _block_index, block_bounds
+    df = spark.range(400_000).select(F.format_string("k%09d", F.col("id")).alias("k"))
+    bounds = block_bounds(df, "k", 40)
+    sizes = [r["count"] for r in df.groupBy(_block_index(F.col("k"), bounds).alias("b")).count().collect()]
+    assert len(sizes) >= 36 and max(sizes) <= 2 * 400_000 / 40
+
+
+def test_many_bounds_agree_with_few(spark):
+    from ignis.operators import prefix as P
+    df = spark.range(2000).select((F.col("id") * 7 % 1000).alias("x"))
+    bounds = list(range(1, 999, 3))
+    a = df.select("x", P._case_index(F.col("x"), bounds, 0, len(bounds)).alias("b"))
+    b = df.select("x", P._block_index(F.col("x"), bounds).alias("b"))
+    assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_null_groups_and_labels_are_kept(spark):
+    rows = [(i, None if i % 4 == 0 else i % 4 % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int")
+    from ignis.operators.resample import stratified_folds, stratified_split
+    folds = stratified_folds(df, k=5)
+    assert folds.count() == 40 and {r["fold"]: r["count"] for r in folds.where("label is null").groupBy("fold").count().collect()} == {
+        k: 2 for k in range(5)}
+    split = stratified_split(df, test_frac=0.2)
+    assert split.count() == 40 and split.where("label is null and split = 'test'").count() == 2
+    q = {r.label: r.q for r in exact_quantiles(df.withColumn("v", F.col("id").cast("double")), "v", [0.5], ["label"]).collect()}
+    assert set(q) == {None, 0, 1}
+
+
+def test_draws_of_ids_that_agree_modulo_a_prime_differ(spark):
+    from ignis.functions.hashing import LANES, mix_col, with_mix, with_replicate_mix
+    p = LANES[0][0]
+    ids = spark.createDataFrame([(5 + k * p,) for k in range(4)] + [(5 + k * LANES[1][0],) for k in range(1, 4)], "id long")
+    assert ids.select(mix_col("id", 1)).distinct().count() == 7
+    x = with_mix(ids, "h", "id", 3).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(50))))
+    per = with_replicate_mix(x, "d", "h", "rep").groupBy("rep").agg(F.countDistinct("d").alias("n")).collect()
+    assert all(r.n == 7 for r in per)
+
+
+def test_nearest_at_poles_and_antimeridian(spark):
+    import math
+    sites = [(i, f"S{i:02d}", la, lo) for i, (la, lo) in enumerate(
+        [(90.0, 0.0), (-90.0, 77.0), (0.0, 180.0), (0.0, -179.0), (89.0, 200.0), (10.0, 10.0), (10.0, 10.0), (45.0, 359.0), (-45.0, -90.0)])]
+    points = [(i, la, lo) for i, (la, lo) in enumerate(
+        [(89.5, 10.0), (90.0, 0.0), (90.0, 123.0), (-90.0, 5.0), (0.0, 179.5), (0.0, -180.0), (0.0, 200.0), (44.0, 0.0), (10.0, 370.0),
+         (-89.9, -179.9), (60.0, 180.0)])]
+    from ignis.operators.nearest import nearest_site
+    got = {r.pid: r for r in nearest_site(spark.createDataFrame(points, "pid int, lat double, lon double"),
+                                          spark.createDataFrame(sites, "site_id long, site_name string, site_lat double, site_lon double")).collect()}
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(h, 1.0)))
+    for pid, la, lo in points:
+        assert abs(got[pid].station_dist_km - min(km(la, lo, s[2], s[3]) for s in sites)) < 1e-6, (pid, la, lo)
+    assert got[1].nearest_name == got[2].nearest_name == "S00" and got[8].nearest_name == "S05"
+
+
+def test_histogram_lists_empty_bins(spark):
+    from ignis.operators.stats import histogram
+    df = spark.createDataFrame([("a", 0.0), ("a", 100.0), ("b", 5.0), (None, 1.0), (None, 2.0)], "g string, x double")
+    rows = histogram(df, "x", 50, "g").collect()
+    assert len(rows) == 150 and sum(r.n for r in rows) == 5
+    assert sum(r.n == 0 for r in rows if r.g == "a") == 48
+    assert len(histogram(df.where("x < 0"), "x", 50).collect()) == 0
+
+
+def test_bootstrap_with_a_hot_score(spark):
+    from ignis.operators.resample import bootstrap_ci
+    rows = [(i, i % 2, 0.5 if i % 3 == 0 else (i * 37 % 1000) / 1000.0, int(i % 5 == 0)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, label int, score double, pred int")
+    a = {r.metric: (r.mean, r.ci_low, r.ci_high) for r in bootstrap_ci(df, n_boot=30, n_blocks=16).collect()}
+    b = {r.metric: (r.mean, r.ci_low, r.ci_high) for r in bootstrap_ci(df, n_boot=30, n_blocks=1).collect()}
+    assert a.keys() == b.keys()
+    for m in a:
+        assert all(abs(x - y) < 1e-9 for x, y in zip(a[m], b[m]))
+
+
+def test_bootstrap_in_turns(spark, monkeypatch):
+    from ignis.operators import resample as RS
+    rows = [(i, i % 2, (i * 37 % 100) / 100.0, int(i % 5 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label int, score double, pred int")
+    whole = sorted(RS.bootstrap_ci(df, n_boot=20, n_blocks=4).collect())
+    monkeypatch.setattr(RS, "OFFSET_ROWS", 40)
+    turns = sorted(RS.bootstrap_ci(df, n_boot=20, n_blocks=4).collect())
+    assert [(r.metric, r.n_reps) for r in whole] == [(r.metric, r.n_reps) for r in turns]
+    assert all(abs(a.mean - b.mean) < 1e-9 for a, b in zip(whole, turns))
+
+
+def test_permutation_steps_agree(spark, monkeypatch):
+    from ignis.operators import resample as RS
+    rows = [(i, int(i % 3 == 0), (i * 37 % 500) / 500.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    one = RS.permutation_test(df, n_perm=20).first()
+    monkeypatch.setattr(RS, "PERM_BUCKETS", 16)
+    monkeypatch.setattr(RS, "PERM_RANKED", 10)
+    many = RS.permutation_test(df, n_perm=20).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(one, many))
+
+
+def test_large_sample_equals_top_k(spark, monkeypatch):
+    from ignis.operators import resample as RS
+    df = spark.range(5000)
+    a = sorted(r.id for r in RS.sample_n(df, 1000).collect())
+    monkeypatch.setattr(RS, "SAMPLE_TOP_K", 10)
+    assert sorted(r.id for r in RS.sample_n(df, 1000).collect()) == a

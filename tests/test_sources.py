@@ -1,9 +1,11 @@
 """File sources and sinks."""
 
+import gzip
 import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import types as T
 
 from ignis.sources import files as FS
@@ -40,21 +42,47 @@ def test_latin1_csv(spark):
 
 def test_rejects_are_counted(spark):
     d = tempfile.mkdtemp(prefix="ignis-csv-")
-    _write(f"{d}/bad.csv", 'a,b\n1,2\n"x\n', "utf-8")
+    _write(f"{d}/bad.csv", 'a,b\n1,2\n3,4,5\n6\n', "utf-8")
+    _write(f"{d}/good.csv", 'a,b\n1,2\n', "utf-8")
     df = FS.read_csv_union(spark, f"{d}/*.csv", keep_corrupt=True)
-    assert df.count() >= 1
+    assert {r.source_file: r.rejected for r in FS.rejects(df).collect()} == {"bad.csv": 2}
 
 
-def test_optional_source_absent_gives_empty(spark):
+def test_truncated_gzip_is_an_error_or_left_out_and_reported(spark):
+    d = tempfile.mkdtemp(prefix="ignis-csv-")
+    body = gzip.compress(("a,b\n" + "".join(f"{i},{i * i % 9973}\n" for i in range(20_000))).encode())
+    with open(f"{d}/cut.csv.gz", "wb") as f:
+        f.write(body[: len(body) // 2])
+    with open(f"{d}/whole.csv.gz", "wb") as f:
+        f.write(gzip.compress(b"a,b\n1,2\n3\n"))
+    with pytest.raises(Exception):
+        FS.read_csv_union(spark, f"{d}/*.csv.gz").count()
+    assert FS.read_csv_union(spark, f"{d}/*.csv.gz", skip_unreadable=True).count() == 2
+    got = {(r.source_file, r.reason, r.rejected) for r in FS.rejected_files(spark, f"{d}/*.csv.gz").collect()}
+    assert got == {("cut.csv.gz", "EOFError", None), ("whole.csv.gz", "malformed lines", 1)}
+
+
+def test_optional_source(spark):
     schema = T.StructType([T.StructField("YEAR", T.StringType())])
     assert FS.read_optional(spark, "/nonexistent/ignis/path", schema).count() == 0
+    d = tempfile.mkdtemp(prefix="ignis-opt-")
+    spark.range(5).write.parquet(f"{d}/t")
+    odd = T.StructType([T.StructField("id", T.CalendarIntervalType())])
+    with pytest.raises(Exception):  # there, but unreadable: not an empty table
+        FS.read_optional(spark, f"{d}/t", odd).count()
 
 
-def test_materialize_is_write_if_absent(spark):
+def test_materialize_builds_only_when_absent(spark):
     p = os.path.join(tempfile.mkdtemp(prefix="ignis-mat-"), "t")
-    a = FS.materialize(spark.range(5), p)
-    b = FS.materialize(spark.range(50), p)
-    assert a.count() == 5 and b.count() == 5
+    built = []
+    def build(n):
+        built.append(n)
+        return spark.range(n)
+    a = FS.materialize(spark, lambda: build(5), p)
+    b = FS.materialize(spark, lambda: build(50), p)
+    assert a.count() == 5 and b.count() == 5 and built == [5]
+    os.remove(f"{p}/_SUCCESS")  # a write that didn't end is done again
+    assert FS.materialize(spark, lambda: build(7), p).count() == 7
 
 
 def test_geojson_country_filter(spark):
