@@ -33,8 +33,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
 
 
 def plain(texts: pa.Array) -> pa.Array:
-    """Texts without nulls, offset 0, 64-bit offsets."""
-    return pc.fill_null(texts.cast(pa.large_string()), "")
+    """Texts without nulls, with 64-bit offsets, in buffers of their own: some
+    string kernels misread a slice."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    own = not len(texts) or np.frombuffer(texts.buffers()[1], dtype=np.int64, count=texts.offset + 1)[texts.offset] == 0
+    return texts if own and not texts.offset else texts.take(pa.array(np.arange(len(texts))))
 
 
 def sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
