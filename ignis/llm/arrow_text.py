@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
@@ -30,6 +30,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:]):
             yield batch.slice(start, end - start)
+        pa.default_memory_pool().release_unused()  # workers are kept between tasks
 
 
 def plain(texts: pa.Array) -> pa.Array:

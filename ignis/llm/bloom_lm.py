@@ -33,7 +33,7 @@ from ignis.llm.common import cut, in_fold
 #: Bits an entry (n-gram and level) and probes of it: about 2 % of absent entries seem present.
 BITS_PER_ENTRY, PROBES = 8, 4
 #: Text bytes a count bucket stands for, and n-grams a counting task holds before it hands them on.
-BUCKET_BYTES, HELD = 16 << 20, 4_000_000
+BUCKET_BYTES, HELD = 16 << 20, 2_000_000
 #: A broadcast's bound: filter bytes a pass; and words of the exact table that is broadcast (16 bytes each).
 SHARD_BYTES, FREQUENT = 128 << 20, 1_000_000
 #: Weight of the unigram estimate, in observations of the context.
