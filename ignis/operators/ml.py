@@ -80,6 +80,7 @@ def gradient_boosting(max_iter: int = 100, step: float = 0.1, depth: int = 3, mi
 
 #: The main model stops once PATIENCE rounds on end have not improved the validation loss by TOLERANCE.
 MAIN_ROUNDS, PATIENCE, TOLERANCE = 500, 20, 1e-4
+FIRST_ROUNDS = 125
 
 
 def main_gbt(weight: str | None = "weight", seed: int = 42, rounds: int = MAIN_ROUNDS) -> GBTClassifier:
@@ -102,9 +103,9 @@ def boost_until_stopped(train: DataFrame, validation: DataFrame, make: Callable[
                         max_rounds: int = MAIN_ROUNDS, patience: int = PATIENCE, tol: float = TOLERANCE) -> Model:
     """Boosting with early stopping by patience.  Rounds don't depend on how many
     follow (the seed of a tree is the seed plus its round), so the fit is done
-    with 64, 128 ... rounds until the validation losses show the stop, and then
-    once more with just the rounds to keep."""
-    rounds = min(64, max_rounds)
+    with FIRST_ROUNDS, twice that ... rounds until the validation losses show the
+    stop, and then once more with just the rounds to keep."""
+    rounds = min(FIRST_ROUNDS, max_rounds)
     while True:
         model = make(rounds).fit(train)
         stop = stopping_round(model.evaluateEachIteration(validation), patience, tol)
@@ -138,7 +139,7 @@ def with_validation_slice(train: DataFrame, id_col: str = "id", frac: float = 0.
 
 
 #: Rows that a partition of training rows should hold at least: boosting runs several jobs a tree.
-ROWS_PER_FIT_PARTITION = 50_000
+ROWS_PER_FIT_PARTITION = 20_000
 
 
 def _fit_rows(df: DataFrame) -> DataFrame:
