@@ -9,7 +9,8 @@ keys; texts that share a key are candidates, and a candidate is verified by a
 banded alignment of the two k-mer sequences: k-mers are distinct in a text, so
 the longest common subsequence inside the band is a longest increasing run of
 matched places, and the threshold itself gives a band that no accepted alignment
-leaves.  Similarity is matched k-mers over all k-mers of both.
+leaves.  Similarity is matched k-mers over all k-mers of both, where a text's
+repeats may count each or, if that links, once.
 
 No bucket is expanded into all its pairs.  Copies are collapsed first; in each
 bucket every text is verified against one centre, the member that meets most
@@ -41,7 +42,6 @@ MINIMA, SKETCHES, BANDS = 2, 3, 20
 GROUP_KMERS, CENTRE_KMERS = 1_000_000, 250_000
 #: Texts and k-mers of a tile, where a cluster of unlinked candidates is compared tile by tile.
 TILE_TEXTS, TILE_KMERS = 256, 500_000
-SLICE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,8 +54,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def kmers(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
     """Hashes of the occurrence-labelled k-mers of the lower-cased words of each
-    text, in order; how many each text has; a 128-bit fingerprint of its words
-    (None without words).  A text of fewer than k words is one k-mer of all."""
+    text, in order (odd for a k-mer's first occurrence, even for later ones); how
+    many each text has; a 128-bit fingerprint of its words (None without words).
+    A text of fewer than k words is one k-mer of all."""
     words = at.words_of(pc.utf8_lower(at.plain(texts)))
     n = words.n
     table = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), dtype=np.uint64, count=len(words.dictionary))
@@ -84,7 +85,11 @@ def kmers(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, list[byt
         at_ = np.arange(len(new))
         occurrence = np.empty(len(new), np.uint64)
         occurrence[order] = at_ - np.maximum.accumulate(np.where(new, at_, 0))
-        value = np.where(occurrence > 0, _mix(value + occurrence * _ODD), value)
+        again = occurrence > 0
+        value = np.where(again, _mix(value + occurrence * _ODD), value) | np.uint64(1)
+        value[again] ^= np.uint64(1)
+    else:
+        value |= np.uint64(1)
     return value, size.astype(np.int64), prints
 
 
@@ -118,14 +123,24 @@ def band_keys(value: np.ndarray, size: np.ndarray, minima: int = MINIMA, sketche
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float, b_order: np.ndarray | None = None) -> float:
-    """Aligned k-mers over all k-mers of both, by alignment inside the band that
-    the threshold gives; 0 where the threshold can't be met."""
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
+    """Aligned k-mers over all k-mers of both, every occurrence counted; where
+    that falls short and k-mers recur, each k-mer counted once.  0 where the
+    threshold can't be met."""
+    found = aligned(a, b, threshold)
+    if found:
+        return found
+    once_a, once_b = a[a & 1 == 1], b[b & 1 == 1]
+    return aligned(once_a, once_b, threshold) if len(once_a) < len(a) or len(once_b) < len(b) else 0.0
+
+
+def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
+    """Alignment inside the band that the threshold gives."""
     total = len(a) + len(b)
     need = int(np.ceil(threshold * total / (1 + threshold) - 1e-9))
     if min(len(a), len(b)) < need:
         return 0.0
-    order = np.argsort(b) if b_order is None else b_order
+    order = np.argsort(b)
     ranked = b[order]
     at_ = np.searchsorted(ranked, a)
     at_[at_ == len(b)] = 0
@@ -155,7 +170,7 @@ def sketches(source: DataFrame) -> DataFrame:
     """doc_id, text_hash, print, n (k-mers) and keys (band keys) of each row;
     print and keys are null for a text without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in at.text_slices(batches, max_bytes=SLICE):
+        for part in at.text_slices(batches):
             value, size, prints = kmers(part.column("text"))
             keys = band_keys(value, size).astype(np.int64)
             rows = iter(keys)
@@ -212,9 +227,9 @@ def _verify(pairs: DataFrame, kmers_of: DataFrame, threshold: float) -> DataFram
     right = (spread.select(group.alias("group"), F.col("centre").alias("hub")).distinct()
              .join(kmers_of.select(F.col("node").alias("hub"), F.col("kmers").alias("theirs")), "hub"))
     def check(members, hubs):
-        known = {c: (np.asarray(v), np.argsort(v)) for c, v in zip(hubs["hub"], hubs["theirs"])}
+        known = {c: np.asarray(v) for c, v in zip(hubs["hub"], hubs["theirs"])}
         good = [(a, c) for a, c, v in zip(members["member"], members["with"], members["mine"])
-                if c in known and similarity(np.asarray(v), known[c][0], threshold, known[c][1]) >= threshold]
+                if c in known and similarity(np.asarray(v), known[c], threshold) >= threshold]
         return pd.DataFrame(good, columns=["a", "b"]).astype("int64")
     return left.groupBy("part").cogroup(right.groupBy("group")).applyInPandas(check, "a long, b long")
 
@@ -308,15 +323,12 @@ def _tile_links(node, n, label, tile, keys, kmers_of, threshold: float) -> list[
         while parent[v] != v:
             parent[v] = v = parent[parent[v]]
         return v
-    order = [None] * len(node)
     found = []
     for x, y in zip(*(v[np.argsort(-shared[i, j], kind="stable")].tolist() for v in (i, j))):
         a, b = root(label[x]), root(label[y])
         if a == b:
             continue
-        if order[y] is None:
-            order[y] = np.argsort(kmers_of[y])
-        if similarity(kmers_of[x], kmers_of[y], threshold, order[y]) >= threshold:
+        if similarity(kmers_of[x], kmers_of[y], threshold) >= threshold:
             parent[a] = b
             found.append((int(node[x]), int(node[y])))
     return found
