@@ -118,10 +118,11 @@ def _encode_batches(column: str, ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
         for part in at.text_slices(batches, column):
-            ids = [enc.encode_ordinary(t or "") for t in part.column(column).to_pylist()]
+            ids = [enc.encode_to_numpy(t or "", disallowed_special=()) for t in part.column(column).to_pylist()]
             kept = [(part.column(c), c) for c in part.schema.names if c != column]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), pa.array(ids, pa.list_(pa.int32()))],
-                                             [*(n for _, n in kept), "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]), pa.int32()),
+                                             pa.array(np.concatenate(ids).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), lists], [*(n for _, n in kept), "ids"])
     return run
 
 
@@ -145,36 +146,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return short.unionByName(whole.select("doc_id", "ids"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def _joined(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The raw bytes of each row's ids, joined."""
+    length = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int64), pc.take(table, ids.flatten()))
+    return pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).cast(pa.binary())
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """The rows with ``bytes``, the raw bytes of their ids joined; ids that the
-    vocabulary lacks are an error."""
+    """The rows with ``bytes``, the raw bytes of their ids joined; an id past the
+    vocabulary is an error."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(id_bytes(ranks_path), pa.large_binary())
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = part.column("ids")
-                flat = pc.take(table, ids.flatten())
-                lists = pa.LargeListArray.from_arrays(
-                    np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]).astype(np.int64), flat)
-                joined = pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, joined], [*part.schema.names, "bytes"])
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, _joined(part.column("ids"), table)], [*part.schema.names, "bytes"])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields]
     return encoded.mapInArrow(run, ", ".join([*fields, "bytes binary"]))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded documents."""
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents,
+    decoded here, so that neither ids nor bytes travel once more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        table = pa.array(id_bytes(ranks_path), pa.large_binary())
+        for part in _slices(batches):
+            lists, raw = part.column("ids"), _joined(part.column("ids"), table)
             n, ids_sha, raw_sha = [], [], []
-            for ids, raw in zip(batch.column("ids"), batch.column("bytes")):
-                ids = ids.as_py()
+            for i in range(len(lists)):
+                ids = lists[i].values.to_numpy().tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                raw_sha.append(hashlib.sha256(raw.as_py()).hexdigest())
+                raw_sha.append(hashlib.sha256(raw[i].as_buffer()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return decoded.select("doc_id", "ids", "bytes").mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -92,7 +92,7 @@ def op8_overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
     ranks = public_tokenizers.path(RANKS)
     encoded = bpe_chunks.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe_chunks.digests(bpe_chunks.decode(encoded, ranks))
+    return bpe_chunks.digests(encoded, ranks)
 
 
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
