@@ -265,7 +265,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     labels = components(edges)
     more = cut(_across(buckets, labels, known, kmers_of, threshold))
     if more.limit(1).count():
-        labels = components(edges.unionByName(more))
+        labels = _merge(labels, more)
     of_text = reps.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("class"))
     rows = slim.select("doc_id", "text_hash", "print", "row").join(of_text, "print", "left").withColumn(
         "class", F.coalesce("class", F.col("row")))
@@ -276,6 +276,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         "doc_id", "text_hash", "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links: only the components that the links join
+    are looked at again."""
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    joined = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(
+        F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    roots = components(joined).select(F.col("node").alias("old"), F.col("label").alias("root"))
+    kept = labels.join(roots, F.col("label") == F.col("old"), "left").select("node", F.coalesce("root", "label").alias("label"))
+    fresh = roots.join(labels.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("root").alias("label"))
+    return cut(kept.unionByName(fresh))
+
+
 def _across(buckets: DataFrame, labels: DataFrame, keys_of: DataFrame, kmers_of: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between texts that share a bucket and still lie in different
     components.
