@@ -10,7 +10,9 @@ banded alignment of the two k-mer sequences: k-mers are distinct in a text, so
 the longest common subsequence inside the band is a longest increasing run of
 matched places, and the threshold itself gives a band that no accepted alignment
 leaves.  Similarity is matched k-mers over all k-mers of both, where a text's
-repeats may count each or, if that links, once.
+repeats may count each or, if that links, once; so a text with repeats has band
+keys of its first occurrences alone, too, and a pair is passed over for its sizes
+only if neither count fits.
 
 No bucket is expanded into all its pairs.  Copies are collapsed first; in each
 bucket every text is verified against one centre, the member that meets most
@@ -123,6 +125,19 @@ def band_keys(value: np.ndarray, size: np.ndarray, minima: int = MINIMA, sketche
     return out
 
 
+def all_keys(value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """How many first occurrences each text has, and its band keys: BANDS of all
+    its k-mers and, where k-mers recur, BANDS more of the first occurrences
+    alone.  None for a text without k-mers."""
+    owner = np.repeat(np.arange(len(size)), size)
+    first = value & np.uint64(1) == 1
+    once = np.bincount(owner[first], minlength=len(size)).astype(np.int64)
+    recur = once < size
+    every = iter(band_keys(value, size).astype(np.int64))
+    alone = iter(band_keys(value[first & recur[owner]], once[recur]).astype(np.int64))
+    return once, [(np.concatenate([next(every), next(alone)]) if again else next(every)) if s else None for s, again in zip(size, recur)]
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Aligned k-mers over all k-mers of both, every occurrence counted; where
     that falls short and k-mers recur, each k-mer counted once.  0 where the
@@ -167,18 +182,18 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(source: DataFrame) -> DataFrame:
-    """doc_id, text_hash, print, n (k-mers) and keys (band keys) of each row;
-    print and keys are null for a text without words."""
+    """doc_id, text_hash, print, n (k-mers), once (first occurrences among them)
+    and keys (band keys) of each row; print and keys are null for a text without
+    words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in at.text_slices(batches):
             value, size, prints = kmers(part.column("text"))
-            keys = band_keys(value, size).astype(np.int64)
-            rows = iter(keys)
+            once, keys = all_keys(value, size)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), pa.array(prints, pa.binary()), pa.array(size),
-                 pa.array([next(rows) if s else None for s in size], pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "print", "n", "keys"])
-    return source.mapInArrow(run, "doc_id bigint, text_hash bigint, print binary, n bigint, keys array<bigint>")
+                [part.column("doc_id"), part.column("text_hash"), pa.array(prints, pa.binary()), pa.array(size), pa.array(once),
+                 pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "print", "n", "once", "keys"])
+    return source.mapInArrow(run, "doc_id bigint, text_hash bigint, print binary, n bigint, once bigint, keys array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,15 +264,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     texts = slim.where(F.col("print").isNotNull())
     reps = cut(texts.groupBy("print").agg(F.min("row").alias("node")))
     known = slim.join(reps.select(F.col("node").alias("row")), "row").select(
-        F.col("row").alias("node"), "doc_id", "text_hash", "n", "keys")
-    buckets = known.select("node", "n", F.explode("keys").alias("key"))
+        F.col("row").alias("node"), "doc_id", "text_hash", "n", "once", "keys")
+    buckets = known.select("node", "n", "once", F.explode(F.array_distinct("keys")).alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = cut(buckets.join(shared, "key"))
     degree = buckets.groupBy("node").agg(F.sum("members").alias("degree"))
     ranked = buckets.join(degree, "node")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("m"), "n")).alias("c")).select(
-        "key", (-F.col("c.m")).alias("centre"), F.col("c.n").alias("centre_n"))
-    fits = F.least("n", "centre_n") >= F.lit(threshold) * F.greatest("n", "centre_n")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("m"), "n", "once")).alias("c")).select(
+        "key", (-F.col("c.m")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.once").alias("centre_once"))
+    near = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
+    fits = near("n", "centre_n") | near("once", "centre_once")
     star = cut(buckets.join(centre, "key").where((F.col("node") != F.col("centre")) & fits)
                .select(F.col("node").alias("a"), "centre", "n").distinct())
     kmers_of = cut(_texts_kmers(source, known.join(buckets.select("node").distinct(), "node")))
@@ -299,15 +315,15 @@ def _across(buckets: DataFrame, labels: DataFrame, keys_of: DataFrame, kmers_of:
     than a few tiles."""
     now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("anchor")).where("lo < hi")
-    now = cut(now.join(mixed.select("key", "anchor"), "key").select("node", "n", "label", "anchor"))
+    now = cut(now.join(mixed.select("key", "anchor"), "key").select("node", "n", "once", "label", "anchor"))
     cluster = components(now.where("node != anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).distinct())
-    members = now.select("node", "n", "label").distinct().join(
+    members = now.select("node", "n", "once", "label").distinct().join(
         cluster.select("node", F.col("label").alias("cluster")), "node")
     size = members.groupBy("cluster").agg(F.greatest(
         F.ceil(F.count("*") / F.lit(TILE_TEXTS)), F.ceil(F.sum("n") / F.lit(TILE_KMERS))).cast("int").alias("tiles"))
     work = members.join(size, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     work = cut(work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "cluster", "node", "n", "label", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")))
+        "cluster", "node", "n", "once", "label", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")))
     load = work.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     part = F.pmod(F.xxhash64("cluster", "lo", "hi"), F.lit(int(load) // TILE_KMERS + 1)).cast("int")
     work = (work.withColumn("part", part).join(keys_of.select("node", "keys"), "node")
@@ -315,19 +331,28 @@ def _across(buckets: DataFrame, labels: DataFrame, keys_of: DataFrame, kmers_of:
     def links(rows):
         out = []
         for _, own in rows.groupby(["cluster", "lo", "hi"], sort=False):
-            out += _tile_links(own["node"].to_numpy(), own["n"].to_numpy(), own["label"].to_numpy(), own["tile"].to_numpy(),
-                               np.stack(own["keys"].to_list()), own["kmers"].to_list(), threshold)
+            out += _tile_links(own["node"].to_numpy(), own["n"].to_numpy(), own["once"].to_numpy(), own["label"].to_numpy(),
+                               own["tile"].to_numpy(), own["keys"].to_list(), own["kmers"].to_list(), threshold)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
     return work.groupBy("part").applyInPandas(links, "a long, b long")
 
 
-def _tile_links(node, n, label, tile, keys, kmers_of, threshold: float) -> list[tuple[int, int]]:
+def _tile_links(node, n, once, label, tile, keys, kmers_of, threshold: float) -> list[tuple[int, int]]:
     """Links between texts of different components; pairs whose components a
     link found here has joined already are passed over."""
     shared = np.zeros((len(node), len(node)), dtype=np.int16)
-    for band in range(keys.shape[1]):
-        shared += keys[:, band][:, None] == keys[:, band][None, :]
-    fits = np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+    every, alone = (np.stack([k[part] for k in keys]) for part in (slice(BANDS), slice(-BANDS, None)))
+    recur = np.flatnonzero(once < n)
+    for band in range(BANDS):
+        e, o = every[:, band], alone[recur, band]
+        shared += e[:, None] == e[None, :]
+        if len(recur):
+            cross = o[:, None] == e[None, :]
+            shared[recur] += cross
+            shared[:, recur] += cross.T
+            shared[np.ix_(recur, recur)] += o[:, None] == o[None, :]
+    near = lambda v: np.minimum(v[:, None], v[None, :]) >= threshold * np.maximum(v[:, None], v[None, :])
+    fits = near(n) | near(once)
     across = tile[:, None] != tile[None, :] if tile.min() != tile.max() else np.ones_like(fits)
     i, j = np.nonzero(np.triu((shared > 0) & fits & across & (label[:, None] != label[None, :]), 1))
     parent = {v: v for v in label.tolist()}

@@ -166,3 +166,23 @@ def test_repeats_may_count_once():
     a, b = one("\n".join([line] * 9 + [" ".join(words(4, 400))])), one("\n".join([line] * 3 + [" ".join(words(4, 400))]))
     assert om.aligned(a, b, 0.8) == 0.0 and om.similarity(a, b, 0.8) == 1.0
     assert om.similarity(one(line), one(other), 0.5) < 0.8
+
+
+def test_texts_that_link_only_with_repeats_counted_once(spark):
+    line, rest, whole = (" ".join(words(seed, n)) for seed, n in ((3, 30), (4, 400), (8, 200)))
+    rows = [(1, "\n".join([line] * 9 + [rest])), (2, "\n".join([line] * 3 + [rest])),  # 666 and 486 k-mers
+            (3, whole), (4, f"{whole}\n{whole}"), (5, " ".join(words(9, 200)))]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA).repartition(3)
+    assert {r.doc_id: r.class_id for r in om.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert sorted(r.doc_id for r in om.keep_one(docs).collect()) == [1, 3, 5]
+
+
+def test_tiles_link_texts_with_repeats_counted_once():
+    line, rest = " ".join(words(3, 30)), " ".join(words(4, 400))
+    value, size, _ = om.kmers(pa.array(["\n".join([line] * n + [rest]) for n in (9, 3, 1)] + [" ".join(words(9, 100))]))
+    once, keys = om.all_keys(value, size)
+    lists = np.split(value.astype(np.int64), np.cumsum(size)[:-1])
+    row, tile = np.arange(4), np.zeros(4, np.int64)
+    assert [len(k) for k in keys] == [2 * om.BANDS, 2 * om.BANDS, om.BANDS, om.BANDS]
+    found = om._tile_links(row, size, once, row, tile, keys, lists, om.THRESHOLD)
+    assert len(found) == 2 and {v for link in found for v in link} == {0, 1, 2}
