@@ -9,6 +9,7 @@ import io
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,25 +24,81 @@ def snake(name: str) -> str:
     return s or "col"
 
 
+class _Pieces(io.RawIOBase):
+    """The bytes of an iterator of pieces, as a file."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.rest = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = memoryview(piece)
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _raw_pieces(rows: Iterator[tuple], size: int) -> Iterator[bytes]:
+    """A file's bytes from its rows, which were cut at each newline; whether it
+    ends with one is told by its size."""
+    done = 0
+    for i, (*_, value) in enumerate(rows):
+        piece = b"\n" + value if i else value
+        done += len(piece)
+        yield piece
+    if done < size:
+        yield b"\n"
+
+
 def unreadable_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(source_file, file_path, reason) of the files under ``path`` that can't be
-    decompressed or decoded to their end.  Each file is read by one task, in
-    pieces of a megabyte."""
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    decompressed or decoded to their end.
+
+    Spark's text reader gives the files' bytes, cut at newlines, from any store
+    and whatever the size: no file is ever held whole.  A .gz file comes as it
+    is stored (a codec that passes bytes through) and is streamed by one task;
+    other files are decoded split by split, as a newline is a byte of its own
+    in the encoding, or else (UTF-16, UTF-32) from splits put in order again."""
+    wide = len("\n".encode(encoding)) > 1
+    raw = (spark.read.option("lineSep", "\n").option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+           .option("io.compress.passthrough.extension", ".gz")
+           .option("org.apache.hadoop.shaded.io.compress.passthrough.extension", ".gz").text(path)  # its name in Spark's own Hadoop jar
+           .select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("start"),
+                   F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("pos"),
+                   F.col("value").cast("binary").alias("value")))
+    if wide:
+        raw = raw.repartition("uri").sortWithinPartitions("uri", "start", "pos")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            bad = []
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
-                try:
-                    data = io.BytesIO(raw.as_buffer())
-                    text = io.TextIOWrapper(gzip.GzipFile(fileobj=data) if name.endswith(".gz") else data, encoding=encoding)
-                    while text.read(1 << 20):
-                        pass
-                except (EOFError, OSError, UnicodeError, zlib.error) as e:
-                    bad.append((name.rsplit("/", 1)[-1], name, type(e).__name__))
-            yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in bad], pa.string()) for i in range(3)],
-                                             ["source_file", "file_path", "reason"])
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(check, "source_file string, file_path string, reason string")
+            yield from zip(*(c.to_pylist() for c in batch.columns[:3]), (v.as_py() for v in batch.column("value")))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = []
+        for (name, _), own in groupby(rows(batches), key=lambda r: (r[0], 0 if wide else r[1])):
+            try:
+                first = next(own)
+                data = io.BufferedReader(_Pieces(_raw_pieces(chain([first], own), first[2] if wide or name.endswith(".gz") else 0)))
+                text = io.TextIOWrapper(gzip.GzipFile(fileobj=data, mode="rb") if name.endswith(".gz") else data, encoding=encoding)
+                while text.read(1 << 20):
+                    pass
+            except (EOFError, OSError, UnicodeError, zlib.error) as e:
+                bad.append((name, type(e).__name__))
+        yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in bad], pa.string()) for i in range(2)], ["uri", "reason"])
+    found = raw.select("uri", "start", "size", "value").mapInArrow(check, "uri string, reason string")
+    return found.groupBy("uri").agg(F.min("reason").alias("reason")).join(_listed(spark, path), "uri").select(
+        F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("path").alias("file_path"), "reason")
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, uri) of the files under ``path``; their contents are not read."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("uri"))
 
 
 def file_headers(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -73,7 +130,7 @@ def read_csv_union(spark: SparkSession, path: str, encoding: str = "UTF-8", rena
     files: str | list[str] = path
     if skip_unreadable:
         bad = {r["file_path"] for r in unreadable_files(spark, path, encoding).collect()}
-        listed = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+        listed = [r["path"] for r in _listed(spark, path).collect()]
         files = sorted(f for f in listed if f not in bad)
         if not files:
             raise FileNotFoundError(f"no readable file: {path}")

@@ -62,6 +62,55 @@ def test_truncated_gzip_is_an_error_or_left_out_and_reported(spark):
     assert got == {("cut.csv.gz", "EOFError", None), ("whole.csv.gz", "malformed lines", 1)}
 
 
+def test_unreadable_files_are_streamed_in_pieces(spark):
+    d = tempfile.mkdtemp(prefix="ignis csv-")
+    lines = "a,b\n" + "".join(f"{i},é{i * i % 9973}\n" for i in range(20_000))
+    body = gzip.compress(lines.encode(), compresslevel=1)
+    odd = lines.encode()[:150_000] + b"\xff" + lines.encode()[150_000:]
+    for name, data in {"ok.csv": lines.encode(), "odd.csv": odd, "cut.csv": lines.encode() + "é".encode()[:1], "none.csv": b"",
+                       "ok.csv.gz": body, "two.csv.gz": body + body, "cut.csv.gz": body[:-1], "odd.csv.gz": gzip.compress(odd),
+                       "not.csv.gz": b"\n", "empty.csv.gz": b"", "line.csv.gz": gzip.compress(b"\n" * 10)}.items():
+        with open(f"{d}/{name}", "wb") as f:
+            f.write(data)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)  # several splits of a file
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1_000)  # no file may be held whole as one row
+        got = {r.source_file: (r.file_path, r.reason) for r in FS.unreadable_files(spark, d).collect()}
+        assert {k: v[1] for k, v in got.items()} == {
+            "odd.csv": "UnicodeDecodeError", "cut.csv": "UnicodeDecodeError", "cut.csv.gz": "EOFError",
+            "odd.csv.gz": "UnicodeDecodeError", "not.csv.gz": "BadGzipFile"}
+        assert all(path == f"file:{d}/{name}" for name, (path, _) in got.items())
+        e = tempfile.mkdtemp(prefix="ignis-csv-")
+        _write(f"{e}/ok.csv", lines + "ਊ\n", "utf-16")  # U+0A0A has newline bytes within
+        with open(f"{e}/odd.csv", "wb") as f:
+            f.write(lines.encode("utf-16") + b"\n")
+        assert [r.source_file for r in FS.unreadable_files(spark, e, "UTF-16").collect()] == ["odd.csv"]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_rejects_has_a_file_for_each_partition(spark):
+    from conftest import SF01
+
+    from ignis.plans import queries
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    d, wrote = tempfile.mkdtemp(prefix="ignis-orders-"), []
+    spark.read.parquet(f"{SF01}/orders.parquet").repartition(6).write.parquet(f"{d}/orders.parquet")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 30_000)
+        old = FS.rejected_files
+        FS.rejected_files = lambda s, path, *a: (wrote.append(path), old(s, path, *a))[1]
+        got = [tuple(r) for r in queries.q_csv_rejects(spark, d).collect()]
+    finally:
+        FS.rejected_files = old
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    want = spark.read.parquet(f"{SF01}/orders.parquet").where("o_orderkey % 200 = 0").count()
+    assert got == [("malformed lines", want)]
+    assert spark.read.format("binaryFile").load(wrote[0]).select("path").count() > 4
+
+
 def test_optional_source(spark):
     schema = T.StructType([T.StructField("YEAR", T.StringType())])
     assert FS.read_optional(spark, "/nonexistent/ignis/path", schema).count() == 0
