@@ -26,7 +26,7 @@ from ignis.llm.common import cut
 TREES, BITS = 48, 32
 BLOCK, QUERIES = 8_192, 8_192
 #: Chance, at most, that a vector as near as the k-th found is still unseen when the ascent stops.
-MISS = 0.08
+MISS = 0.04
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
