@@ -72,7 +72,7 @@ def gradient_boosting(max_iter: int = 100, step: float = 0.1, depth: int = 3, mi
                       weight: str | None = None) -> GBTClassifier:
     g = GBTClassifier(maxIter=max_iter, stepSize=step, maxDepth=depth, minInstancesPerNode=min_leaf,
                       subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed,
-                      featuresCol=FEATURES, labelCol="label", maxBins=64, cacheNodeIds=True, checkpointInterval=10)
+                      featuresCol=FEATURES, labelCol="label", maxBins=MAX_BINS, cacheNodeIds=True, checkpointInterval=10)
     if weight:
         g.setWeightCol(weight)
     return g

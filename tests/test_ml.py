@@ -87,3 +87,11 @@ def test_main_model_boosts(spark):
     from __spark_entry__ import queries
     r = queries()["train_gbt"](spark, SF01).first()
     assert r.n_trees > 20 and r.roc_auc > 0.8
+
+
+def test_boosted_trees_split_between_any_of_250_values(spark):
+    rows = spark.range(2000).selectExpr("id", "cast(id % 250 as double) AS x")
+    for least in (101, 102):  # among 64 quantiles one of the two falls within a bin
+        t = ML.assemble(rows.selectExpr("id", "x", f"cast(x >= {least} as int) AS label"), ["x"])
+        got = ML.gradient_boosting(max_iter=1, depth=1).fit(t).transform(t)
+        assert got.where("prediction != label").count() == 0
