@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ignis.llm import (bloom_lm, bpe_chunks, hash_forest, lang_id, order_minhash, packing, quality_qda, quality_rules,
+from ignis.llm import (bloom_lm, bpe_chunks, hash_forest, lang_id, merkle, order_minhash, packing, quality_qda, quality_rules,
                        sharding, token_rollups)
 from ignis.llm.common import cut, table
 from ignis.session import ensure_checkpoint_dir
@@ -105,6 +105,14 @@ def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_bitmap_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether its holder's
+    text still verifies: where 3 divides the id's CRC, A-Z were lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.audit(docs, tampered, merkle.lower_ascii(F.col("text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -113,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sampled_splitters, op2_rule_ledger, op3_token_rollup, op4_hash_forest, op5_order_minhash, op6_nnls_packing,
-    op7_quadratic_discriminant, op8_overlapping_chunks, op9_bloom_lm, op10_family_svm, pipeline)}
+    op7_quadratic_discriminant, op8_overlapping_chunks, op9_bloom_lm, op10_family_svm, op11_bitmap_merkle, pipeline)}
 
 _OP2 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -144,4 +152,53 @@ b AS (
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
-ORACLE: dict[str, str] = {"op2_rule_ledger": _OP2}
+_OP11 = """
+WITH RECURSIVE
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+             lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) AS crc
+  FROM documents, crc_table),
+leaf AS (
+  SELECT r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND crc % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS claimed
+  FROM doc),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM leaf),
+node AS (
+  SELECT 0 AS lvl, g, pos, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT lvl + 1, g, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY lvl, g, pos // 8, n),
+subroot AS (SELECT g, d, count(*) OVER () AS n FROM node WHERE n = 1),
+upper AS (
+  SELECT 0 AS lvl, g AS pos, n, d FROM subroot
+  UNION ALL
+  SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, pos // 8, n),
+every AS (SELECT lvl, g, pos, n, d, false AS up FROM node UNION ALL SELECT lvl, -1, pos, n, d, true FROM upper),
+side AS (
+  SELECT a.up, a.lvl, a.g, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM every a JOIN every b ON a.up = b.up AND a.lvl = b.lvl AND a.g = b.g AND a.pos // 8 = b.pos // 8
+  WHERE a.n > 1 GROUP BY a.up, a.lvl, a.g, a.pos),
+climb AS (
+  SELECT r, g, 0 AS lvl, pos, coalesce(claimed, leaf) AS d, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.r, c.g, c.lvl + 1, c.pos // 8, sha256(s.l || c.d || s.r), c.proof || s.l || s.r
+  FROM climb c JOIN side s ON NOT s.up AND s.lvl = c.lvl AND s.g = c.g AND s.pos = c.pos),
+crown AS (
+  SELECT r, 0 AS lvl, g AS pos, d, proof FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl DESC) AS k FROM climb) WHERE k = 1
+  UNION ALL
+  SELECT c.r, c.lvl + 1, c.pos // 8, sha256(s.l || c.d || s.r), c.proof || s.l || s.r
+  FROM crown c JOIN side s ON s.up AND s.lvl = c.lvl AND s.pos = c.pos),
+done AS (SELECT r, d, proof FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl DESC) AS k FROM crown) WHERE k = 1)
+SELECT p.doc_id, p.leaf, s.d AS subroot, u.d AS root, sha256(f.proof) AS proof_sha256, f.d AS folded_root, f.d = u.d AS verified
+FROM placed p JOIN done f USING (r) JOIN subroot s USING (g), (SELECT d FROM upper WHERE n = 1) u
+"""
+
+ORACLE: dict[str, str] = {"op2_rule_ledger": _OP2, "op11_bitmap_merkle": _OP11}
