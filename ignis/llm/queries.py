@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ignis.llm import (bloom_lm, bpe_chunks, hash_forest, lang_id, merkle, order_minhash, packing, quality_qda, quality_rules,
-                       sharding, token_rollups)
+                       sharding, token_rollups, whitening)
 from ignis.llm.common import cut, table
 from ignis.session import ensure_checkpoint_dir
 
@@ -113,6 +113,11 @@ def op11_bitmap_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(docs, tampered, merkle.lower_ascii(F.col("text")))
 
 
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings, whitened on the first four components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -121,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sampled_splitters, op2_rule_ledger, op3_token_rollup, op4_hash_forest, op5_order_minhash, op6_nnls_packing,
-    op7_quadratic_discriminant, op8_overlapping_chunks, op9_bloom_lm, op10_family_svm, op11_bitmap_merkle, pipeline)}
+    op7_quadratic_discriminant, op8_overlapping_chunks, op9_bloom_lm, op10_family_svm, op11_bitmap_merkle, op12_lanczos_whitening, pipeline)}
 
 _OP2 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
