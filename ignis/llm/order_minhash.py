@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ignis.llm import arrow_text as at
-from ignis.llm.common import cut
+from ignis.llm.common import cut, hot_join, spare
 
 K, THRESHOLD = 5, 0.8
 #: Minima of a sketch, sketches of a band key, band keys: a pair at the threshold is missed with a chance of 0.2 %.
@@ -45,6 +45,8 @@ GROUP_KMERS, CENTRE_KMERS = 1_000_000, 250_000
 #: Texts and k-mers of a tile, where a cluster of unlinked candidates is compared tile by tile.
 TILE_TEXTS, TILE_KMERS = 256, 500_000
 _PLACE = np.uint64((1 << 24) - 1)
+#: K-mers of the longest text whose places fit beside the ordering bits; longer texts are ordered without packing.
+_PACKED = int(_PLACE)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,31 +102,48 @@ def band_keys(value: np.ndarray, size: np.ndarray, minima: int = MINIMA, sketche
     """Band keys of every text with k-mers (size > 0), one row each."""
     size = size[size > 0]
     start = np.cumsum(size) - size
-    place = (np.arange(len(value)) - np.repeat(start, size)).astype(np.uint64)
-    place = np.minimum(place, _PLACE)
+    place = np.arange(len(value)) - np.repeat(start, size)
     rng = np.random.default_rng(seed)
     out = np.zeros((len(size), bands), np.uint64)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
     for band in range(bands):
         key = np.full(len(size), band + 1, np.uint64)
         for _ in range(sketches):
             flip, odd = (np.uint64(v) for v in rng.integers(0, 1 << 63, 2, dtype=np.uint64))
-            v = (value ^ flip) * (odd | np.uint64(1))
-            v &= ~_PLACE
-            v |= place
-            least = []
-            for m in range(minima):
-                low = np.minimum.reduceat(v, start) if len(v) else v
-                least.append(np.where(low == top, _PLACE, low & _PLACE))
-                if m + 1 < minima:
-                    v[start + np.minimum((low & _PLACE).astype(np.int64), size - 1)] = top
-            for spot in np.sort(np.stack(least), axis=0):  # text order
-                found = value[start + np.minimum(spot.astype(np.int64), size - 1)]
-                key = key * _ODD + np.where(spot == _PLACE, np.uint64(0), found)
+            v = ((value ^ flip) * (odd | np.uint64(1))) & ~_PLACE
+            for spot in np.sort(_least_places(v, place, start, size, minima), axis=0):  # text order
+                found = value[start + np.minimum(spot, size - 1)]
+                key = key * _ODD + np.where(spot >= size, np.uint64(0), found)
         out[:, band] = _mix(key)
     return out
 
 
+def _least_places(v: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, minima: int) -> np.ndarray:
+    """Places of the ``minima`` least values of each text, ties to the earlier
+    place; past its end where a text has fewer.  The low bits of v are free: a
+    place that fits is packed there."""
+    out = np.empty((minima, len(size)), np.int64)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    packed = v | np.minimum(place, int(_PLACE)).astype(np.uint64)
+    for m in range(minima):
+        low = np.minimum.reduceat(packed, start) if len(v) else packed
+        out[m] = np.where(low == top, size, (low & _PLACE).astype(np.int64))
+        packed[start + np.minimum(out[m], size - 1)] = top
+    for text in np.flatnonzero(size > _PACKED):
+        own = v[start[text]:start[text] + size[text]]
+        out[:, text] = _least_of(own, minima)
+    return out
+
+
+def _least_of(own: np.ndarray, minima: int) -> list[int]:
+    """The same for one text, without packing."""
+    own, found = own.copy(), []
+    for _ in range(minima):
+        at_ = int(np.argmin(own))
+        found.append(at_ if len(found) < len(own) else len(own))
+        own[at_] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return found
+
+
 def all_keys(value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None]]:
     """How many first occurrences each text has, and its band keys: BANDS of all
     its k-mers and, where k-mers recur, BANDS more of the first occurrences
@@ -213,6 +232,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def star_components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of the edges (a, b), where few nodes, the hubs,
+    stand as b: one node of each component is the label of all.
+
+    A node keeps its least hub only; its other hubs become links between hubs,
+    and the rounds of ``components`` run on those alone."""
+    hubs = edges.select(F.col("b").alias("a"), "b")
+    ends = cut(edges.select("a", "b").unionByName(hubs).distinct())
+    home = ends.groupBy("a").agg(F.min("b").alias("home"))
+    links = cut(ends.join(home, "a").where("b != home").select(F.col("home").alias("a"), "b").distinct())
+    far = components(links).select(F.col("node").alias("home"), "label")
+    return cut(home.join(far, "home", "left").select(F.col("a").alias("node"), F.coalesce("label", "home").alias("label")))
+
+
 def _texts_kmers(source: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, kmers) of the nodes (node, doc_id, text_hash), their texts read again."""
     wanted = nodes.select("node", F.coalesce("doc_id", F.lit(-(2 ** 63))).alias("id_"), "text_hash")
@@ -262,7 +295,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     slim = cut(sketches(source)).withColumn("row", F.monotonically_increasing_id())
     slim = cut(slim)
     texts = slim.where(F.col("print").isNotNull())
-    reps = cut(texts.groupBy("print").agg(F.min("row").alias("node")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    reps = cut(texts.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min(order).alias("first"),
+                                          F.count("*").alias("copies")))
     known = slim.join(reps.select(F.col("node").alias("row")), "row").select(
         F.col("row").alias("node"), "doc_id", "text_hash", "n", "once", "keys")
     buckets = known.select("node", "n", "once", F.explode(F.array_distinct("keys")).alias("key"))
@@ -278,18 +313,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
                .select(F.col("node").alias("a"), "centre", "n").distinct())
     kmers_of = cut(_texts_kmers(source, known.join(buckets.select("node").distinct(), "node")))
     edges = cut(_verify(star, kmers_of, threshold))
-    labels = components(edges)
+    labels = star_components(edges)
     more = cut(_across(buckets, labels, known, kmers_of, threshold))
     if more.limit(1).count():
         labels = _merge(labels, more)
-    of_text = reps.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("class"))
-    rows = slim.select("doc_id", "text_hash", "print", "row").join(of_text, "print", "left").withColumn(
-        "class", F.coalesce("class", F.col("row")))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    summary = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
-                                        F.min(order).alias("first"))
-    return rows.join(summary, "class").select(
-        "doc_id", "text_hash", "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    of_text = cut(reps.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")))
+    summary = cut(of_text.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"),
+                                               F.min("first")["row"].alias("kept_row"), F.count("*").alias("texts")))
+    # a class may hold much of the texts, and a text much of the rows
+    of_text = cut(hot_join(of_text.select("print", "class", "copies"), summary, ["class"], "texts", ["print"]))
+    rows = hot_join(texts.select("doc_id", "text_hash", "print", "row"), of_text.drop("class"), ["print"], "copies", ["row"])
+    alone = slim.where(F.col("print").isNull()).select(
+        "doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return rows.select("doc_id", "text_hash", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("kept")).unionByName(alone)
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -316,7 +352,7 @@ def _across(buckets: DataFrame, labels: DataFrame, keys_of: DataFrame, kmers_of:
     now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("anchor")).where("lo < hi")
     now = cut(now.join(mixed.select("key", "anchor"), "key").select("node", "n", "once", "label", "anchor"))
-    cluster = components(now.where("node != anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).distinct())
+    cluster = star_components(now.where("node != anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")))
     members = now.select("node", "n", "once", "label").distinct().join(
         cluster.select("node", F.col("label").alias("cluster")), "node")
     size = members.groupBy("cluster").agg(F.greatest(
@@ -372,21 +408,25 @@ def _tile_links(node, n, once, label, tile, keys, kmers_of, threshold: float) ->
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each class, all their columns.  Texts without
-    words all stay; of rows repeated with the same id and text one stays."""
+    """The documents with one of each class, all their columns, whatever their
+    names and types.  Texts without words all stay; of rows repeated with the same
+    id and text one stays: the one whose whole row comes first by hash."""
     found = classes(docs, threshold, id_col, text_col)
+    own_id, own_hash, rows, kept, at_, row = spare(docs, "id", "hash", "rows", "kept", "at", "row")
     low = F.lit(-(2 ** 63))
-    keys = lambda d, t: [F.coalesce(F.col(d).cast("long"), low).alias("id__"), t.alias("hash__")]
-    text = F.col(text_col)
-    gone = found.groupBy(*keys("doc_id", F.col("text_hash"))).agg(F.count("*").alias("rows__"), F.sum(F.col("kept").cast("int")).alias("kept__"))
-    gone = cut(gone.where("kept__ < rows__"))
-    marked = docs.select("*", *keys(id_col, F.xxhash64(text, F.octet_length(text))))
-    stay = marked.join(gone.select("id__", "hash__"), ["id__", "hash__"], "left_anti").select(*docs.columns)
-    # of repeated rows some stay and some go: the whole row, beside its id and text, decides which
-    part = gone.where("kept__ > 0").select("id__", "hash__", "kept__")
+    keys = lambda d, t: [F.coalesce(d.cast("long"), low).alias(own_id), t.alias(own_hash)]
+    gone = found.groupBy(*keys(F.col("doc_id"), F.col("text_hash"))).agg(
+        F.count("*").alias(rows), F.sum(F.col("kept").cast("int")).alias(kept))
+    gone = cut(gone.where(F.col(kept) < F.col(rows)))
+    text = docs[text_col]
+    marked = docs.select("*", *keys(docs[id_col], F.xxhash64(text, F.octet_length(text))))
+    stay = marked.join(gone.select(own_id, own_hash), [own_id, own_hash], "left_anti").drop(own_id, own_hash)
+    # of repeated rows one stays and the others go
+    part = gone.where(F.col(kept) > 0).select(own_id, own_hash, rows)
     if not part.limit(1).count():
         return stay
-    from pyspark.sql import Window
-    number = F.row_number().over(Window.partitionBy("id__", "hash__").orderBy(*[c for c in docs.columns if c != text_col]))
-    some = marked.join(part, ["id__", "hash__"]).withColumn("n__", number).where(F.col("n__") <= F.col("kept__")).select(*docs.columns)
-    return stay.unionByName(some)
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    packed = docs.select(*keys(docs[id_col], F.xxhash64(text, F.octet_length(text))), whole.alias(row),
+                         F.xxhash64(F.to_json(whole)).alias(at_))
+    some = hot_join(packed, part, [own_id, own_hash], rows, [at_]).groupBy(own_id, own_hash).agg(F.min_by(row, at_).alias(row))
+    return stay.unionByName(some.select(f"{row}.*"))

@@ -186,3 +186,63 @@ def test_tiles_link_texts_with_repeats_counted_once():
     assert [len(k) for k in keys] == [2 * om.BANDS, 2 * om.BANDS, om.BANDS, om.BANDS]
     found = om._tile_links(row, size, once, row, tile, keys, lists, om.THRESHOLD)
     assert len(found) == 2 and {v for link in found for v in link} == {0, 1, 2}
+
+
+def test_keep_one_with_clashing_and_map_columns(spark):
+    text, other = prose(1, 80), prose(2, 90)
+    rows = [(1, text), (1, text), (2, text), (3, other), (None, other), (None, None), (None, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA).repartition(2)
+    for name in ("id", "id__", "hash", "hash__", "kept", "kept__", "n__", "rows", "at", "row", "copies", "salt", "id_"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    docs = docs.withColumn("more", F.create_map(F.lit("k"), F.coalesce("doc_id", F.lit(0)))).withColumn("Row_", F.array("doc_id"))
+    kept = om.keep_one(docs)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    got = sorted(kept.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
+    assert [(r.doc_id, r.text) for r in got] == [(1, text), (3, other), (4, ""), (None, None), (None, None)]
+    assert got[0].n__ == "n__1" and got[0].more == {"k": 1}
+
+
+def test_one_of_many_repeated_rows_stays(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(prose(1, 60)).alias("text"))
+    assert om.keep_one(docs.unionByName(spark.createDataFrame([(5, prose(2, 60))], "doc_id long, text string"))).count() == 2
+
+
+def test_star_components_keep_one_hub_a_leaf(spark, monkeypatch):
+    r = random.Random(4)
+    edges = {(i, r.randrange(30)) for i in range(2000) for _ in range(5)} | {(5000 + i, 4000 + i % 7) for i in range(50)}
+    edges = {(a, b) for a, b in edges if a != b}
+    handed = []
+    whole = om.components
+    monkeypatch.setattr(om, "components", lambda e: handed.append(e.count()) or whole(e))
+    got = {x.node: x.label for x in om.star_components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    link = {n: n for e in edges for n in e}
+    def root(n):
+        while link[n] != n:
+            n = link[n]
+        return n
+    for a, b in edges:
+        link[root(a)] = root(b)
+    assert set(got) == set(link)
+    by = {}
+    for n, label in got.items():
+        by.setdefault(label, set()).add(root(n))
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({root(n) for n in link})
+    assert sum(handed) <= 30 * 30  # links between hubs, not one row an edge
+
+
+def test_links_handed_on_are_few_in_a_large_group(spark, monkeypatch):
+    base = words(5, 120)
+    rows = [(i, " ".join(edited(base, i, 1 + i % 2)), "en", "a", 1) for i in range(600)]
+    handed = []
+    whole = om.components
+    monkeypatch.setattr(om, "components", lambda e: handed.append(e.count()) or whole(e))
+    got = om.classes(spark.createDataFrame(rows, SCHEMA).repartition(8))
+    assert got.where("class_id = 0 AND class_size = 600").count() == 600 and sum(handed) <= 2 * len(rows)
+
+
+def test_places_of_long_texts_do_not_change_keys(monkeypatch):
+    texts = pa.array([" ".join(words(i, n)) for i, n in enumerate((3, 5, 6, 40, 300))] + ["a b c d e " * 60], pa.string())
+    value, size, _ = om.kmers(texts)
+    packed = om.band_keys(value, size)
+    monkeypatch.setattr(om, "_PACKED", 10)
+    assert (om.band_keys(value, size) == packed).all()
