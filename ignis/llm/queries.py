@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ignis.llm import (bloom_lm, bpe_chunks, hash_forest, lang_id, merkle, order_minhash, packing, quality_qda, quality_rules,
+from ignis.llm import (bloom_lm, bpe_chunks, hash_forest, lang_id, merkle, mtree, order_minhash, packing, quality_qda, quality_rules,
                        sharding, token_rollups, whitening)
 from ignis.llm.common import cut, table
 from ignis.session import ensure_checkpoint_dir
@@ -118,6 +118,12 @@ def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -126,7 +132,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sampled_splitters, op2_rule_ledger, op3_token_rollup, op4_hash_forest, op5_order_minhash, op6_nnls_packing,
-    op7_quadratic_discriminant, op8_overlapping_chunks, op9_bloom_lm, op10_family_svm, op11_bitmap_merkle, op12_lanczos_whitening, pipeline)}
+    op7_quadratic_discriminant, op8_overlapping_chunks, op9_bloom_lm, op10_family_svm, op11_bitmap_merkle, op12_lanczos_whitening, op13_mtree_topk, pipeline)}
 
 _OP2 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -206,4 +212,16 @@ SELECT p.doc_id, p.leaf, s.d AS subroot, u.d AS root, sha256(f.proof) AS proof_s
 FROM placed p JOIN done f USING (r) JOIN subroot s USING (g), (SELECT d FROM upper WHERE n = 1) u
 """
 
-ORACLE: dict[str, str] = {"op2_rule_ledger": _OP2, "op11_bitmap_merkle": _OP11}
+_OP13 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT)) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x) GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pair)
+WHERE rank <= 20
+"""
+
+ORACLE: dict[str, str] = {"op2_rule_ledger": _OP2, "op11_bitmap_merkle": _OP11, "op13_mtree_topk": _OP13}
