@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ignis.functions.columns import safe_ratio
-from ignis.operators.prefix import prefix_sums
+from ignis.operators.prefix import following, prefix_sums
 
 # The 9 inner edges of 10 uniform calibration bins, computed the
 # way numpy's linspace does (k * 0.1), so boundary scores land in the same bin.
@@ -145,24 +145,38 @@ def _totals(counts: DataFrame) -> tuple[float, float]:
     return float(row["p"] or 0.0), float(row["n"] or 0.0)
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One ROC point per distinct score threshold (score >= threshold is positive)."""
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", drop_intermediate: bool = True) -> DataFrame:
+    """ROC points (score >= threshold is positive), from the origin, whose threshold
+    is infinite, to (1, 1); ``drop_intermediate`` leaves out thresholds that lie
+    between two others on a line: those whose next threshold adds just as many
+    positives and negatives.  No scored rows, no points."""
     c = score_counts(df, label, score)
     P, N = _totals(c)
     r = ranking_sums(c)
-    return r.select(F.col("score").alias("threshold"),
-                    (F.col("cum_neg") / F.lit(N) if N else F.lit(None).cast("double")).alias("fpr"),
-                    (F.col("cum_pos") / F.lit(P) if P else F.lit(None).cast("double")).alias("tpr"))
+    if drop_intermediate:
+        ahead = following(c, "score", ["pos", "neg"], descending=True)
+        top = c.agg(F.max("score")).first()[0]
+        corner = (F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+                  | (F.col("score") == F.lit(top)))
+        r = r.join(ahead.where(corner).select("score"), "score", "left_semi")
+    share = lambda v, total: F.col(v) / F.lit(total) if total else F.lit(None).cast("double")
+    points = r.select(F.col("score").alias("threshold"), share("cum_neg", N).alias("fpr"), share("cum_pos", P).alias("tpr"))
+    origin = df.sparkSession.createDataFrame([(float("inf"), 0.0 if N else None, 0.0 if P else None)] if P + N else [],
+                                             "threshold double, fpr double, tpr double")
+    return origin.unionByName(points)
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Precision and recall per distinct score threshold."""
+    """Precision and recall per distinct score threshold, and the closing point
+    (precision 1, recall 0), which has no threshold.  No scored rows, no points."""
     c = score_counts(df, label, score)
-    P, _ = _totals(c)
+    P, N = _totals(c)
     r = ranking_sums(c)
-    return r.select(F.col("score").alias("threshold"),
-                    (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-                    (F.col("cum_pos") / F.lit(P) if P else F.lit(None).cast("double")).alias("recall"))
+    points = r.select(F.col("score").alias("threshold"),
+                      (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
+                      (F.col("cum_pos") / F.lit(P) if P else F.lit(None).cast("double")).alias("recall"))
+    end = df.sparkSession.createDataFrame([(None, 1.0, 0.0)] if P + N else [], "threshold double, precision double, recall double")
+    return points.unionByName(end)
 
 
 def _edge_bin(x: Column, edges: list[float], lo: int = 0, hi: int | None = None) -> Column:

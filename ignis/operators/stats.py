@@ -31,6 +31,11 @@ def linear_trend(df: DataFrame, x: str, ys: Sequence[str]) -> DataFrame:
     return out
 
 
+def yearly_trend(df: DataFrame, x: str, ys: Sequence[str], min_years: int = 11) -> DataFrame:
+    """``linear_trend`` of the targets that at least ``min_years`` years tell about."""
+    return linear_trend(df, x, ys).where(F.col("n") >= min_years)
+
+
 def with_trend_p_value(trend: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Adds the two-sided p-value of the slope (t test with n-2 degrees of
     freedom) and whether it is below ``alpha``; NULL without degrees of freedom.

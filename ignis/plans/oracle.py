@@ -730,10 +730,13 @@ SELECT {R('maj')} AS majority_accuracy, {R('prevalence')} AS prevalence, {R('acc
        {R('roc_auc - 0.5')} AS roc_auc_lift, {R('(roc_auc - 0.5) / 0.5')} AS roc_auc_lift_rel FROM j"""
     q["roc_auc"] = with_("score_cum") + f"SELECT {R(_AUC)} AS roc_auc FROM score_cum"
     q["average_precision"] = with_("score_cum") + f"SELECT {R(_AP)} AS average_precision FROM score_cum"
-    q["roc_curve"] = with_("score_cum") + (f"SELECT {R('score')} AS threshold, {R('cneg / tneg')} AS fpr, "
-                                           f"{R('cpos / tpos')} AS tpr FROM score_cum")
+    q["roc_curve"] = with_("score_cum") + f"""
+, step AS (SELECT *, cpos - lag(cpos, 1, 0) OVER o AS p, cneg - lag(cneg, 1, 0) OVER o AS n, row_number() OVER o AS i FROM score_cum WINDOW o AS (ORDER BY score DESC)),
+corner AS (SELECT *, i = 1 OR lead(p) OVER o IS NULL OR lead(p) OVER o <> p OR lead(n) OVER o <> n AS kept FROM step WINDOW o AS (ORDER BY i))
+SELECT {R('score')} AS threshold, {R('cneg / tneg')} AS fpr, {R('cpos / tpos')} AS tpr FROM corner WHERE kept
+UNION ALL SELECT cast('inf' AS double), 0e0, 0e0"""
     q["pr_curve"] = with_("score_cum") + (f"SELECT {R('score')} AS threshold, {R('cpos / (cpos + cneg)')} AS precision, "
-                                          f"{R('cpos / tpos')} AS recall FROM score_cum")
+                                          f"{R('cpos / tpos')} AS recall FROM score_cum UNION ALL SELECT NULL, 1e0, 0e0")
     q["calibration"] = with_("scored") + (
         f"SELECT {_calibration_bin()} AS bin, {R('avg(score)')} AS mean_predicted, "
         f"{R('avg(cast(label AS double))')} AS fraction_positive, count(*) AS n FROM scored GROUP BY 1")
