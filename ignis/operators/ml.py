@@ -9,6 +9,7 @@ tasks and score the expansion with one distributed ``transform``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ignis.functions.hashing import with_mix, with_replicate_mix
 from ignis.operators import metrics as M
+from ignis.operators.boosting import MAIN, Boosted, Boosting, Settings
 from ignis.operators.prefix import plotting_quantiles
 from ignis.operators.resample import class_weights, sample_n, stratified_folds
 
@@ -150,15 +152,19 @@ def _fit_rows(df: DataFrame) -> DataFrame:
 
 def fit_main_gbt(train: DataFrame, feature_cols: Sequence[str], id_col: str = "id", seed: int = 42,
                  make: Callable[[int], GBTClassifier] | None = None, weighted: bool = True,
-                 max_rounds: int = MAIN_ROUNDS) -> Model:
-    """GBT with early stopping on a 10% validation slice (the main model)."""
+                 max_rounds: int = MAIN_ROUNDS) -> Model | Boosted:
+    """GBT with early stopping on a 10% validation slice (the main model), grown
+    by ``boosting`` round by round; ``make`` fits MLlib's trees instead."""
     t = class_weights(train, "label") if weighted else train.withColumn("weight", F.lit(1.0))
     t = with_validation_slice(t, id_col)
+    if make is None:
+        rows = boosting_rows(t, feature_cols, id_col)
+        return fit_boosted(rows, feature_cols, replace(MAIN, rounds=max_rounds, seed=seed))[0]
     t = assemble(t, feature_cols).select(id_col, "label", "weight", "is_validation", FEATURES).persist()
     try:
         fit, held = (_fit_rows(t.where(F.col("is_validation") == v)).persist() for v in (False, True))
         try:
-            return boost_until_stopped(fit, held, make or (lambda rounds: main_gbt(seed=seed, rounds=rounds)), max_rounds)
+            return boost_until_stopped(fit, held, make, max_rounds)
         finally:
             fit.unpersist()
             held.unpersist()
@@ -166,6 +172,38 @@ def fit_main_gbt(train: DataFrame, feature_cols: Sequence[str], id_col: str = "i
         t.unpersist()
 
 
+def boosting_rows(df: DataFrame, feature_cols: Sequence[str], id_col: str = "id", fold: str | None = None) -> DataFrame:
+    """Rows as ``boosting`` takes them, stored: held back where ``is_validation``,
+    left out by the ensemble that ``fold`` names."""
+    out = F.col(fold).cast("int") if fold else F.lit(-1)
+    rows = df.select(*feature_cols, F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight"),
+                     F.xxhash64(id_col).alias("key"), out.alias("out"), F.col("is_validation").alias("held")).checkpoint(eager=True)
+    n = rows.count()
+    return rows.coalesce(max(1, -(-n // ROWS_PER_FIT_PARTITION)))
+
+
+def fit_boosted(rows: DataFrame, feature_cols: Sequence[str], settings: Settings = MAIN, count: int = 1) -> list[Boosted]:
+    """``count`` ensembles over the rows, each grown until it stops."""
+    run = Boosting(rows, feature_cols, settings, count)
+    try:
+        return run.grow().models()
+    finally:
+        run.close()
+
+
+def cross_validate_boosted(df: DataFrame, feature_cols: Sequence[str], settings: Settings = MAIN, k: int = 5, id_col: str = "id",
+                           seed: int = 42) -> DataFrame:
+    """Stratified k-fold CV of the main model without class weights: the k
+    ensembles grow in the same passes over the rows, each without its own fold and
+    with its own early stopping."""
+    data = with_validation_slice(stratified_folds(df, "label", id_col, k, seed).withColumn("weight", F.lit(1.0)), id_col)
+    run = Boosting(boosting_rows(data, feature_cols, id_col, "fold"), feature_cols, settings, k)
+    try:
+        return fold_summary(fold_metrics(run.grow().left_out())).checkpoint(eager=True)
+    finally:
+        run.close()
+
+
 FOLD_METRICS = ("roc_auc", "average_precision", "f1", "accuracy")
 
 

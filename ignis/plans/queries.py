@@ -11,12 +11,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ignis.functions.dates import day_of_week, day_of_year, weekend_flag
+from ignis.operators import boosting as BO
 from ignis.operators import clean as C
 from ignis.operators import metrics as M
 from ignis.operators import ml as ML
@@ -576,13 +576,12 @@ def _main_rows(spark, sf):
 
 
 def _main_fit(spark, sf):
-    """The main model, fitted and saved once per state of the input, and its rows."""
+    """The main model, fitted and stored (as its node table) once per state of the
+    input, and its rows."""
     d = _main_rows(spark, sf)
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    path = V.stored_path(spark, sf, "main_gbt")
-    if not FS.exists(spark, f"{path}/metadata"):
-        ML.fit_main_gbt(tr, V.FEATURE_COLS, seed=SEED).write().overwrite().save(path)
-    return GBTClassificationModel.load(path), tr, te
+    nodes = V.stored(spark, sf, "main_gbt", lambda: ML.fit_main_gbt(tr, V.FEATURE_COLS, seed=SEED).node_table(spark), params=(BO.MAIN, SEED))
+    return BO.Boosted.from_nodes(nodes, V.FEATURE_COLS), tr, te
 
 
 def q_train_gbt(spark, sf):
@@ -601,9 +600,7 @@ def q_rf_size_regression(spark, sf):
 
 
 def q_cross_validate(spark, sf):
-    d = _main_rows(spark, sf).drop("split")
-    return finish(ML.cross_validate(d, V.FEATURE_COLS, lambda tr: ML.fit_main_gbt(tr, V.FEATURE_COLS, seed=SEED, weighted=False),
-                                    k=5, seed=SEED))
+    return finish(ML.cross_validate_boosted(_main_rows(spark, sf).drop("split"), V.FEATURE_COLS, k=5, seed=SEED))
 
 
 def q_feature_importance(spark, sf):

@@ -3,6 +3,7 @@ clean incidents -> nearest site -> weather features -> model features."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,15 +47,16 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
-           partition_by: Sequence[str] = ()) -> DataFrame:
-    """A derived table, built and written once per state of its input files and
-    read by every later step."""
-    return FS.materialize(spark, build, stored_path(spark, sf_dir, name), partition_by)
+           partition_by: Sequence[str] = (), params: object = None) -> DataFrame:
+    """A derived table, built and written once per state of its input files, of
+    the code and of the build's parameters, and read by every later step."""
+    return FS.materialize(spark, build, stored_path(spark, sf_dir, name, params), partition_by)
 
 
-def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+def stored_path(spark: SparkSession, sf_dir: str, name: str, params: object = None) -> str:
     base = sf_dir.rstrip("/")
-    key = FS.fingerprint(spark, [f"{base}/{t}.parquet" for t in ("orders", "customer", "nation", "supplier", "lineitem")])
+    inputs = FS.fingerprint(spark, [f"{base}/{t}.parquet" for t in ("orders", "customer", "nation", "supplier", "lineitem")])
+    key = hashlib.sha1(repr((inputs, FS.code_version(), params)).encode()).hexdigest()[:16]
     return scratch_path(spark, f"{name}-{key}")
 
 

@@ -7,11 +7,16 @@ import gzip
 import hashlib
 import io
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from itertools import chain, groupby
+from pathlib import Path
 
 import pyarrow as pa
+from py4j.java_gateway import is_instance_of
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,11 +222,52 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a written table is complete at ``path`` (its success marker is there)."""
+def _fs(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop sees them; a local one without its checksum files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    checked = is_instance_of(spark.sparkContext._gateway, fs, "org.apache.hadoop.fs.ChecksumFileSystem")
+    return (fs.getRawFileSystem() if checked else fs), at
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None where there is none."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that is there whole or not at all, and never in another's
+    place; whether it was this call that did."""
     jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    own = f"{path}.{uuid.uuid4().hex}"
+    fs, at = _fs(spark, own)
+    stream = fs.create(at, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(fs.makeQualified(at), fs.makeQualified(_fs(spark, path)[1]), none)  # fails where the name is taken
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        fs.delete(at, False)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder that this job has written."""
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
 
 
 def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
@@ -234,17 +280,58 @@ def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
     return hashlib.sha1(repr(sorted(found)).encode()).hexdigest()[:16]
 
 
+@lru_cache(maxsize=None)
+def code_version() -> str:
+    """Changes when the code that derives tables does."""
+    root = Path(__file__).parent.parent
+    parts = sorted(p for d in ("functions", "operators", "plans", "sources") for p in (root / d).glob("*.py"))
+    return hashlib.sha1(b"".join(p.name.encode() + p.read_bytes() for p in parts)).hexdigest()[:16]
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The folder of the attempt that counts at ``path``; None where no build has ended."""
+    name = read_small(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return f"{path.rstrip('/')}/{name}" if name else None
+
+
+#: Hours after which an attempt that was not published is one of a builder that died.
+STALE_HOURS = 48
+
+
+def _sweep(spark: SparkSession, path: str, keep: str) -> None:
+    """Deletes unpublished attempts of builders that died long ago."""
+    fs, at = _fs(spark, path)
+    now = spark.sparkContext._jvm.java.lang.System.currentTimeMillis()
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("attempt-") and name != keep and now - status.getModificationTime() > STALE_HOURS * 3_600_000:
+            fs.delete(status.getPath(), True)
+
+
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write-if-absent Parquet cache: read the table at ``path``; only where it
-    isn't complete, call ``build`` and write it first.  Operators may run jobs
+    """Write-if-absent Parquet cache: read the table at ``path``; only where no build
+    of it has ended, call ``build`` and write it first.  Operators may run jobs
     while a frame is being built, so the frame itself is built only then.  The
-    stored table also cuts the lineage of everything downstream."""
-    if not exists(spark, path):
-        w = build().write.mode("overwrite")  # leftovers of a job that died
+    stored table also cuts the lineage of everything downstream.
+
+    Every builder writes an attempt folder of its own, and a pointer that can be
+    put only once names the one that counts.  So builders at once don't touch each
+    other's files, all read the same table, and a builder that dies leaves nothing
+    that is read; an attempt that came second is deleted again."""
+    at = published(spark, path)
+    if at is None:
+        path = path.rstrip("/")
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        w = build().write
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
-    return spark.read.parquet(path)
+        w.parquet(f"{path}/{attempt}")
+        if put_if_absent(spark, f"{path}/_SUCCESS", attempt):
+            _sweep(spark, path, attempt)
+        else:
+            remove(spark, f"{path}/{attempt}")
+        at = published(spark, path)
+    return spark.read.parquet(at)
 
 
 def read_geojson_features(spark: SparkSession, path: str, prop_names: Sequence[str] = ("iso_a2", "ISO_A2"),

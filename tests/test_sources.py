@@ -134,6 +134,55 @@ def test_materialize_builds_only_when_absent(spark):
     assert FS.materialize(spark, lambda: build(7), p).count() == 7
 
 
+def test_two_builders_at_once_and_a_dead_one(spark):
+    p = os.path.join(tempfile.mkdtemp(prefix="ignis-mat-"), "t")
+    inner = []
+    def slow():  # while this build runs, another one begins and ends
+        inner.append(FS.materialize(spark, lambda: spark.range(3), p))
+        return spark.range(8)
+    outer = FS.materialize(spark, slow, p)
+    assert outer.count() == inner[0].count() == 3  # both read what was published first
+    assert len([n for n in os.listdir(p) if n.startswith("attempt-")]) == 1
+    dead = os.path.join(os.path.dirname(p), "u")
+    def dies():
+        spark.range(4).write.parquet(f"{dead}/attempt-of-one-that-died")
+        raise RuntimeError("lost")
+    try:
+        FS.materialize(spark, dies, dead)
+    except RuntimeError:
+        pass
+    assert FS.published(spark, dead) is None
+    assert FS.materialize(spark, lambda: spark.range(6), dead).count() == 6
+    assert os.path.isdir(f"{dead}/attempt-of-one-that-died")  # not old enough to be swept
+    os.utime(f"{dead}/attempt-of-one-that-died", (0, 0))
+    os.remove(f"{dead}/_SUCCESS")
+    assert FS.materialize(spark, lambda: spark.range(7), dead).count() == 7
+    assert not os.path.isdir(f"{dead}/attempt-of-one-that-died")
+
+
+def test_builders_in_threads_agree(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    p = os.path.join(tempfile.mkdtemp(prefix="ignis-mat-"), "t")
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda n: FS.materialize(spark, lambda: spark.range(n), p).count(), range(10, 16)))
+    assert len(set(got)) == 1 and len([n for n in os.listdir(p) if n.startswith("attempt-")]) == 1
+
+
+def test_put_if_absent(spark):
+    p = os.path.join(tempfile.mkdtemp(prefix="ignis-put-"), "x")
+    assert FS.read_small(spark, p) is None
+    assert FS.put_if_absent(spark, p, "one é") and not FS.put_if_absent(spark, p, "two")
+    assert FS.read_small(spark, p) == "one é" and [n for n in os.listdir(os.path.dirname(p)) if not n.startswith(".")] == ["x"]
+
+
+def test_stored_tables_depend_on_parameters(spark):
+    from conftest import SF001
+
+    from ignis.plans import views as V
+    one, same, other = (V.stored(spark, SF001, "params_test", lambda n=n: spark.range(n), params={"n": k}) for n, k in ((3, 1), (4, 1), (5, 2)))
+    assert (one.count(), same.count(), other.count()) == (3, 3, 5)
+
+
 def test_geojson_country_filter(spark):
     d = tempfile.mkdtemp(prefix="ignis-geo-")
     fc = {"type": "FeatureCollection", "features": [
