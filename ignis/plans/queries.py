@@ -22,6 +22,7 @@ from ignis.operators import metrics as M
 from ignis.operators import ml as ML
 from ignis.operators import profiles as PR
 from ignis.operators import resample as RS
+from ignis.operators import resample_counts as RC
 from ignis.operators import stats as ST
 from ignis.operators import tables as TB
 from ignis.operators.climate import DAY_OF_MEASURES
@@ -451,6 +452,16 @@ def q_bootstrap_ci(spark, sf):
     return finish(RS.bootstrap_ci(V.scored(spark, sf), n_boot=1000, seed=SEED))
 
 
+def q_bootstrap_multinomial(spark, sf):
+    """Bootstrap intervals whose every replicate is exactly n draws with replacement."""
+    return finish(RC.bootstrap_counts(V.scored(spark, sf), n_boot=1000, seed=SEED))
+
+
+def q_permutation_by_counts(spark, sf):
+    """The permutation test drawn by distinct score."""
+    return finish(RC.permutation_counts(V.scored(spark, sf), n_perm=1000, seed=SEED))
+
+
 # ---------------------------------------------------------------- models: operators around a fit, with oracles
 SIZE_FEATURES = ["month", "year", "agency_code", "cause_code"]
 
