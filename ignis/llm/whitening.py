@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ignis.llm.common import cut
 
 COMPONENTS, SCALE = 4, 256
+#: Bytes of a partition of the fit list, and partial sums that the driver adds up itself.
+PART_BYTES, PARTIALS = 1 << 24, 64
 #: Components whose share of the trace is below this are rounding errors of a vanishing one.
 LEAST_SHARE = 1e-13
 
@@ -55,19 +57,32 @@ class Fit:
     trace: float
 
 
+def _added(parts: list[bytes]) -> np.ndarray:
+    return np.sum([np.frombuffer(v, dtype=np.float64) for v in parts], axis=0)
+
+
 def _summed(rows: DataFrame, run, length: int) -> np.ndarray:
     """Sum over all tasks of the arrays of ``length`` doubles that ``run`` makes
-    of a task's matrices."""
+    of a task's matrices.  The driver adds up at most PARTIALS arrays; more are
+    first added up in Spark."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(length)
         for batch in batches:
             if batch.num_rows:
                 total += run(batch.column("x"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(length, dtype=np.int32)), pa.array(total)], ["i", "v"])
-    out = np.zeros(length)
-    for r in rows.select("x").mapInArrow(task, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    def add(own: pa.Table) -> pa.Table:
+        return pa.table({"v": pa.array([_added(own.column("v").to_pylist()).tobytes()], pa.binary())})
+    parts = rows.select("x").mapInArrow(task, "v binary")
+    if rows.rdd.getNumPartitions() > PARTIALS:
+        parts = parts.withColumn("to", F.spark_partition_id() % PARTIALS).groupBy("to").applyInArrow(add, "v binary")
+    return _added([r["v"] for r in parts.collect()])
+
+
+def packed(distinct: DataFrame, dim: int) -> DataFrame:
+    """The rows in partitions of about PART_BYTES: they are read once a step."""
+    return distinct.coalesce(max(1, -(-distinct.count() * dim * 8 // PART_BYTES)))
 
 
 def exact_sums(rows: DataFrame, dim: int) -> tuple[int, list[int]]:
@@ -209,7 +224,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, scale: int = SCALE,
     out = None
     for dim in sorted(r["dim"] for r in rows.where("dim > 0").select("dim").distinct().collect()):
         own = rows.where(F.col("dim") == dim)
-        distinct = cut(own.select("x").distinct())
+        distinct = packed(cut(own.select("x").distinct()), dim)
         found = fit(distinct, dim, components)
         if not len(found.values):
             continue

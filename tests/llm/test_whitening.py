@@ -100,3 +100,11 @@ def test_a_hot_vector_counts_once_in_the_fit(spark):
     got = whitening.whiten(frame(spark, many).repartition(5))
     check(got.where("vec_id < 200").collect(), brute([(i, v.tolist()) for i, v in enumerate(x)]))
     assert got.count() == 3200 * 4
+
+
+def test_partial_sums_may_be_added_in_spark(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 5))
+    monkeypatch.setattr(whitening, "PARTIALS", 2)
+    monkeypatch.setattr(whitening, "packed", lambda rows, dim: rows.repartition(7))
+    check(whitening.whiten(frame(spark, x)).collect(), brute([(i, v.tolist()) for i, v in enumerate(x)]))
