@@ -286,7 +286,7 @@ def logistic_scorer(weights: Sequence[float], bias: float) -> Scorer:
     return run
 
 
-def _grid(sample: DataFrame, col: str, resolution: int, percentiles=(0.05, 0.95)) -> list[float]:
+def grid_values(sample: DataFrame, col: str, resolution: int, percentiles=(0.05, 0.95)) -> list[float]:
     """Grid values of one feature: its distinct values when there are fewer
     than ``resolution``, else ``resolution`` points between two quantiles (at
     plotting positions)."""
@@ -303,7 +303,7 @@ def partial_dependence(scorer: Scorer, sample: DataFrame, feature_cols: Sequence
     """Average predicted probability, and average log odds, when one feature is
     set to each grid value for every sampled row.  All (feature, grid value)
     pairs are expanded in one pass inside the tasks and scored at once."""
-    pairs = [(f, float(v)) for f in features for v in _grid(sample, f, resolution)]
+    pairs = [(f, float(v)) for f in features for v in grid_values(sample, f, resolution)]
     grid = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("grid_value")) for f, v in pairs])
     x = sample.select(*feature_cols).withColumn("__g", F.explode(grid)).select("*", "__g.*").drop("__g")
     v = F.array(*[F.when(F.col("feature") == c, F.col("grid_value")).otherwise(F.col(c).cast("double"))

@@ -9,7 +9,7 @@ what makes it an independent check of the Spark plans.
 
 from __future__ import annotations
 
-from ignis.plans.views import CORE_FEATURES, FEATURE_COLS, FEATURE_GROUPS, FEATURE_LABELS, PDP_FEATURES
+from ignis.plans.views import CORE_FEATURES, FEATURE_COLS, FEATURE_GROUPS, FEATURE_LABELS, FIXED_TREES, PDP_FEATURES
 
 SEED = 42
 
@@ -418,6 +418,74 @@ SELECT feature, {R('grid_value')} AS grid_value, {R('avg(p)')} AS average_probab
 FROM p GROUP BY feature, p.grid_value"""
 
 
+def _grid_sql(rows: str) -> str:
+    """(feature, grid_value) of the partial-dependence features over the rows."""
+    grids = []
+    for f in PDP_FEATURES:
+        q = lambda p: (f"(SELECT (1 - g) * any_value(lo) + g * any_value(hi) FROM (SELECT least(greatest(n * {p} + 0.4 + 0.2 * {p} - k, 0), 1) AS g, "
+                       f"list_extract(xs, cast(k AS bigint)) AS lo, list_extract(xs, cast(k AS bigint) + 1) AS hi FROM "
+                       f"(SELECT xs, n, floor(least(greatest(n * {p} + 0.4 + 0.2 * {p}, 1), n - 1)) AS k FROM "
+                       f"(SELECT list(cast({f} AS double) ORDER BY {f}) AS xs, count(*) AS n FROM {rows}))) GROUP BY g)")
+        grids.append(f"SELECT '{f}' AS feature, v AS grid_value FROM (SELECT DISTINCT cast({f} AS double) AS v FROM {rows}) "
+                     f"WHERE (SELECT count(DISTINCT {f}) FROM {rows}) < 50 UNION ALL "
+                     f"SELECT '{f}', lo + (hi - lo) * i / 49e0 FROM (SELECT {q('0.05e0')} AS lo, {q('0.95e0')} AS hi) "
+                     f"CROSS JOIN (SELECT range AS i FROM range(0, 50)) WHERE (SELECT count(DISTINCT {f}) FROM {rows}) >= 50")
+    return " UNION ALL ".join(grids)
+
+
+def _fixed_trees() -> str:
+    """Nodes of the fixed ensemble, paths to every node, rows that reach each, and
+    each leaf's features with interval and share."""
+    names = ", ".join(f"'{c}'" for c in FEATURE_COLS)
+    cols = ", ".join(f"cast({c} AS double)" for c in FEATURE_COLS)
+    rows = ", ".join(f"({t}, {n}, {'NULL' if f is None else repr(f)}, {x}e0, {a}, {b}, {v}e0)" for t, n, f, x, a, b, v in FIXED_TREES)
+    return with_("model").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, nodes(tree, node, feature, threshold, l, r, value) AS (VALUES {rows})
+, path AS (
+  SELECT DISTINCT tree, 0 AS node, []::STRUCT(f VARCHAR, t DOUBLE, l BOOLEAN, p INTEGER, c INTEGER)[] AS steps FROM nodes
+  UNION ALL
+  SELECT p.tree, CASE WHEN s.range = 0 THEN n.l ELSE n.r END,
+         list_append(p.steps, {{f: n.feature, t: n.threshold, l: s.range = 0, p: n.node, c: CASE WHEN s.range = 0 THEN n.l ELSE n.r END}})
+  FROM path p JOIN nodes n ON n.tree = p.tree AND n.node = p.node AND n.feature IS NOT NULL CROSS JOIN range(0, 2) s)
+, xs AS (SELECT inc_id AS id, map([{names}], [{cols}]) AS x FROM model)
+, cover AS (SELECT p.tree, p.node, count(xs.id) AS n FROM path p LEFT JOIN xs ON len(list_filter(p.steps, lambda c: (x[c.f] <= c.t) <> c.l)) = 0 GROUP BY 1, 2)
+, part AS (
+  SELECT k.tree, k.node, k.s.f AS f, product(CASE WHEN u.n > 0 THEN cast(v.n AS double) / u.n ELSE 0.5e0 END) AS share,
+         max(CASE WHEN k.s.l THEN cast('-inf' AS double) ELSE k.s.t END) AS lo, min(CASE WHEN k.s.l THEN k.s.t ELSE cast('inf' AS double) END) AS hi
+  FROM (SELECT p.tree, p.node, unnest(p.steps) AS s FROM path p JOIN nodes n USING (tree, node) WHERE n.feature IS NULL) k
+  JOIN cover u ON u.tree = k.tree AND u.node = k.s.p JOIN cover v ON v.tree = k.tree AND v.node = k.s.c GROUP BY 1, 2, 3)
+, leaf AS (
+  SELECT tree, node, n.value AS v, list(f ORDER BY f) AS fs, list(share ORDER BY f) AS ss, list(lo ORDER BY f) AS los, list(hi ORDER BY f) AS his
+  FROM part JOIN nodes n USING (tree, node) GROUP BY 1, 2, 3)"""
+
+
+def _walked_fixed() -> str:
+    return _fixed_trees() + f"""
+, grid AS ({_grid_sql('model')})
+, reach AS (
+  SELECT g.feature, g.grid_value, v * list_product(list_transform(range(1, len(fs) + 1), lambda i: CASE WHEN fs[i] = g.feature THEN 1e0 ELSE ss[i] END)) AS m
+  FROM (SELECT DISTINCT * FROM grid) g CROSS JOIN leaf
+  WHERE len(list_filter(range(1, len(fs) + 1), lambda i: fs[i] = g.feature AND NOT (g.grid_value > los[i] AND g.grid_value <= his[i]))) = 0)
+SELECT feature, {R('grid_value')} AS grid_value, {R('sum(m)')} AS average_margin FROM reach GROUP BY feature, reach.grid_value"""
+
+
+def _tree_shapley_fixed() -> str:
+    factorial = "[1e0, 1e0, 2e0, 6e0, 24e0, 120e0]"
+    return _fixed_trees() + f"""
+, met AS (SELECT xs.id, tree, node, v, fs, ss, len(fs) AS d,
+                 list_transform(range(1, len(fs) + 1), lambda i: CASE WHEN x[fs[i]] > los[i] AND x[fs[i]] <= his[i] THEN 1e0 ELSE 0e0 END) AS os FROM xs CROSS JOIN leaf)
+, pattern AS (SELECT tree, node, v, fs, ss, d, os, count(*) AS n, list(id) AS ids FROM met GROUP BY ALL)
+, phi AS (
+  SELECT ids, fs[i] AS f, sum(v * (os[i] - ss[i]) * {factorial}[1 + bit_count(m)] * {factorial}[d - bit_count(m)] / {factorial}[1 + d]
+         * list_product(list_transform(range(1, d + 1), lambda j: CASE WHEN j = i THEN 1e0 WHEN (m >> (j - 1)) & 1 = 1 THEN os[j] ELSE ss[j] END))) AS p
+  FROM (SELECT pattern.*, a.range AS i, b.range AS m FROM pattern CROSS JOIN range(1, 7) a CROSS JOIN range(0, 32) b
+        WHERE a.range <= d AND b.range < (1 << d) AND (b.range >> (a.range - 1)) & 1 = 0) GROUP BY tree, node, ids, f)
+, own AS (SELECT id, f, sum(p) AS p FROM (SELECT unnest(ids) AS id, f, p FROM phi) GROUP BY 1, 2)
+, every AS (SELECT xs.id, f.f, coalesce(own.p, 0e0) AS p FROM xs CROSS JOIN (SELECT DISTINCT f FROM part) f LEFT JOIN own ON own.id = xs.id AND own.f = f.f)
+, su AS (SELECT f AS feature, avg(abs(p)) AS a, avg(p) AS m FROM every GROUP BY 1)
+SELECT feature, {R('a')} AS mean_abs_shapley, {R('m')} AS mean_shapley, cast(row_number() OVER (ORDER BY round(a, 12) DESC, feature) AS int) AS rank FROM su"""
+
+
 def _shapley_fixed() -> str:
     cols = ", ".join(f"cast({c} AS double)" for c in FEATURE_COLS)
     weights = ", ".join(f"{FIXED_WEIGHTS.get(c, 0.0)}e0" for c in FEATURE_COLS)
@@ -774,6 +842,8 @@ FROM tr CROSS JOIN c"""
         f"SELECT CASE {groups} END AS feature_group, {R('sum(importance)')} AS importance, {R('sum(importance) * 100e0')} AS share_pct FROM im GROUP BY 1")
     q["partial_dependence_fixed"] = _pdp_fixed()
     q["sampled_shapley_fixed"] = _shapley_fixed()
+    q["walked_dependence_fixed"] = _walked_fixed()
+    q["tree_shapley_fixed"] = _tree_shapley_fixed()
     q["permutation_test"] = _perm_sql()
     q["bootstrap_ci"] = _boot_sql()
     return q

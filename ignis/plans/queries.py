@@ -25,6 +25,7 @@ from ignis.operators import resample as RS
 from ignis.operators import resample_counts as RC
 from ignis.operators import stats as ST
 from ignis.operators import tables as TB
+from ignis.operators import trees as TR
 from ignis.operators.climate import DAY_OF_MEASURES
 from ignis.operators.nearest import nearest_site
 from ignis.operators.prefix import quantiles_wide
@@ -536,6 +537,26 @@ def q_sampled_shapley_fixed(spark, sf):
     return finish(ML.shapley_summary(values))
 
 
+def _fixed_paths(spark, rows):
+    nodes = spark.createDataFrame([(*r, None) for r in V.FIXED_TREES],
+                                  "tree int, node int, feature string, threshold double, left int, right int, value double, cover double")
+    return TR.leaf_paths(TR.with_cover(nodes, rows, V.FEATURE_COLS))
+
+
+def q_walked_dependence_fixed(spark, sf):
+    """Partial dependence of a fixed ensemble by the weighted walk, its covers
+    counted over all model rows; grids as partial dependence has them."""
+    rows = V.main_model_rows(spark, sf).checkpoint(eager=True)
+    grid = {f: ML.grid_values(rows, f, 50) for f in V.PDP_FEATURES}
+    return finish(TR.walked_dependence(_fixed_paths(spark, rows), grid))
+
+
+def q_tree_shapley_fixed(spark, sf):
+    """Exact attributions of a fixed ensemble for all model rows, summed up by feature."""
+    rows = V.main_model_rows(spark, sf).checkpoint(eager=True)
+    return finish(ML.shapley_summary(TR.tree_shapley(rows, _fixed_paths(spark, rows), V.FEATURE_COLS)))
+
+
 # ---------------------------------------------------------------- fitted models (rows-only checks)
 def _older_split(spark, sf):
     rows = V.stored(spark, sf, "older_rows", lambda: V.older_model_rows(spark, sf))
@@ -639,6 +660,21 @@ def q_sampled_shapley(spark, sf):
     return finish(ML.shapley_summary(values))
 
 
+def q_walked_dependence(spark, sf):
+    """Partial dependence of the main model by the weighted walk (margin scale)."""
+    model, tr, _ = _main_fit(spark, sf)
+    sample = RS.sample_n(tr, 10000, seed=SEED).checkpoint(eager=True)
+    grid = {f: ML.grid_values(sample, f, 50) for f in V.PDP_FEATURES}
+    return finish(TR.walked_dependence(TR.leaf_paths(model.node_table(spark)), grid))
+
+
+def q_tree_shapley(spark, sf):
+    """Exact attributions of the main model for a sample of the test rows."""
+    model, _, te = _main_fit(spark, sf)
+    explain = RS.sample_n(te, 5000, seed=SEED)
+    return finish(ML.shapley_summary(TR.tree_shapley(explain, TR.leaf_paths(model.node_table(spark)), V.FEATURE_COLS)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -164,3 +164,16 @@ def size_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("agency_code").cast("double").alias("agency_code"),
                  F.col("cause_code").cast("double").alias("cause_code"))
     return d.na.drop()
+
+
+#: A fixed ensemble over the main features (tree, node, feature, threshold, left, right, value), whose covers are
+#: those of the rows it is applied to.
+FIXED_TREES = [
+    (0, 0, "latitude", 50.8, 1, 2, 0.0), (0, 1, "doy_sin", 0.07, 3, 4, 0.0), (0, 2, "latitude", 55.2, 5, 6, 0.0),
+    (0, 3, None, 0.0, -1, -1, 0.42), (0, 4, "month", 4.0, 7, 8, 0.0), (0, 5, None, 0.0, -1, -1, -0.31), (0, 6, "longitude", -97.3, 9, 10, 0.0),
+    (0, 7, None, 0.0, -1, -1, 0.11), (0, 8, None, 0.0, -1, -1, 0.27), (0, 9, None, 0.0, -1, -1, -0.64), (0, 10, None, 0.0, -1, -1, 0.08),
+    (1, 0, "month", 6.0, 1, 2, 0.0), (1, 1, "log_size", 5.53, 3, 4, 0.0), (1, 2, "doy_sin", -0.66, 5, 6, 0.0), (1, 3, None, 0.0, -1, -1, 0.19),
+    (1, 4, "longitude", -118.5, 7, 8, 0.0), (1, 5, None, 0.0, -1, -1, -0.23), (1, 6, None, 0.0, -1, -1, 0.36), (1, 7, None, 0.0, -1, -1, -0.15),
+    (1, 8, None, 0.0, -1, -1, 0.05),
+    (2, 0, "longitude", -76.0, 1, 2, 0.0), (2, 1, "longitude", -118.5, 3, 4, 0.0), (2, 2, None, 0.0, -1, -1, -0.4),
+    (2, 3, None, 0.0, -1, -1, 0.21), (2, 4, "latitude", 46.4, 5, 6, 0.0), (2, 5, None, 0.0, -1, -1, 0.33), (2, 6, None, 0.0, -1, -1, -0.07)]
