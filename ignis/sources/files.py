@@ -246,7 +246,8 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     """Writes a small file that is there whole or not at all, and never in another's
     place; whether it was this call that did."""
     jvm = spark.sparkContext._jvm
-    own = f"{path}.{uuid.uuid4().hex}"
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    own = f"{folder}/.{name}.{uuid.uuid4().hex}"  # hidden from readers of the folder
     fs, at = _fs(spark, own)
     stream = fs.create(at, False)
     stream.write(bytearray(text.encode()))
@@ -264,6 +265,13 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
         fs.delete(at, False)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the visible files and folders in a folder; none where there is no folder."""
+    fs, at = _fs(spark, path)
+    found = [status.getPath().getName() for status in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in found if not n.startswith((".", "_")))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder that this job has written."""
     fs, at = _fs(spark, path)
