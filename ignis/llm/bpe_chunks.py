@@ -81,21 +81,33 @@ def stitch(starts: list[int], pieces: list[str], ends: list[list[int]], pattern:
     scans share none in their overlap, the current scan is carried on through
     the next chunk's text."""
     segments, begin, open_text, open_start, open_ends = [], 0, pieces[0], starts[0], ends[0]
-    for start, piece, own in zip(starts[1:], pieces[1:], ends[1:]):
-        limit = open_start + len(open_text) - EDGE
+    at_, joined = 1, 1  # the chunk to take over next, and the chunks whose text the open scan has
+    while at_ < len(starts):
+        start, own = starts[at_], ends[at_]
+        limit = min(open_start + len(open_text), start + len(pieces[at_])) - EDGE
         mine = set(own[: bisect_left(own, limit)])
         lo = bisect_left(open_ends, start + 1)
         shared = next((e for e in open_ends[lo: bisect_left(open_ends, limit)]
                        if e in mine and e > begin and not open_text[e - open_start - 1].isspace()), None)
-        if shared is None:
-            keep = open_start + len(open_text) - start  # the next chunk's text that is already here
-            tail = bisect_left(open_ends, limit)
-            resume = open_ends[tail - 1] if tail else open_start
-            open_text += piece[keep:]
-            open_ends = open_ends[:tail] + [resume + e for e in boundaries(open_text[resume - open_start:], pattern)]
+        if shared is not None:
+            segments.append(open_text[begin - open_start: shared - open_start])
+            begin, open_text, open_start, open_ends = shared, pieces[at_], start, own
+            at_ += 1
+            joined = at_
             continue
-        segments.append(open_text[begin - open_start: shared - open_start])
-        begin, open_text, open_start, open_ends = shared, piece, start, own
+        at_ += 1
+        if joined >= at_:
+            continue
+        # the open scan goes on from its last boundary, through at least as much text again: no text is scanned often
+        end = open_start + len(open_text)
+        tail = bisect_left(open_ends, end - EDGE)
+        resume = open_ends[tail - 1] if tail else open_start
+        parts, wanted = [open_text], 2 * (end - resume)
+        while joined < len(starts) and (joined < at_ or end - resume < wanted):
+            parts.append(pieces[joined][end - starts[joined]:])  # what is not here already
+            end, joined = end + len(parts[-1]), joined + 1
+        open_text = "".join(parts)
+        open_ends = open_ends[:tail] + [resume + e for e in boundaries(open_text[resume - open_start:], pattern)]
     segments.append(open_text[begin - open_start:])
     return segments
 

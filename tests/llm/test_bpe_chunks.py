@@ -37,6 +37,17 @@ def test_no_shared_boundary_goes_on_with_the_scan():
         assert [i for s in in_pieces(text, 50, 20) for i in direct(s)] == direct(text)
 
 
+def test_stitching_scans_no_text_often(monkeypatch):
+    for text in ("a" * 40_000, "a" * 15_000 + " b" * 500 + "c" * 15_000):
+        starts = list(range(0, len(text), 100))
+        pieces = [text[s: s + 150] for s in starts]
+        ends = [[s + e for e in bc.boundaries(p, P.PATTERN)] for s, p in zip(starts, pieces)]
+        seen, whole = [], bc.boundaries
+        monkeypatch.setattr(bc, "boundaries", lambda t, p: seen.append(len(t)) or whole(t, p))
+        assert "".join(bc.stitch(starts, pieces, ends, P.PATTERN)) == text and sum(seen) < 4 * len(text)
+        monkeypatch.setattr(bc, "boundaries", whole)
+
+
 def test_prose_is_cut():
     assert len(in_pieces(prose(1, 2000), 1000, 100)) >= 8
 
