@@ -10,6 +10,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from itertools import chain, groupby
 from pathlib import Path
@@ -106,15 +107,33 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("uri"))
 
 
+#: Files opened at a time to read their headers.
+HEADER_THREADS = 16
+
+
 def file_headers(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """(file_path, header) for every file under ``path``: the first line of each
-    file, found in one distributed scan (the first row of a file's first split)."""
-    txt = (spark.read.option("encoding", encoding).text(path)
-           .select(F.col("_metadata.file_path").alias("file_path"),
-                   F.col("_metadata.file_block_start").alias("__start"),
-                   F.monotonically_increasing_id().alias("__pos"), "value"))
-    first = txt.where(F.col("__start") == 0).groupBy("file_path").agg(F.min_by("value", "__pos").alias("header"))
-    return first.select("file_path", F.regexp_replace("header", "^﻿", "").alias("header"))
+    """(file_path, header) for every file under ``path``: the first line of each;
+    files without a line have no row.
+
+    Each file is opened through Hadoop and read to the end of its first line, so
+    the bytes read don't grow with the files: no scan of Spark's ends so early.  One
+    line a file passes through the driver, as the file index does."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def head(name: str) -> str | None:
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+            source = codec.createInputStream(stream) if codec is not None else stream
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, encoding)).readLine()
+        finally:
+            stream.close()
+    files = [(r["path"], r["uri"]) for r in _listed(spark, path).collect()]
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        lines = list(pool.map(lambda f: head(f[0]), files))
+    found = [(uri, re.sub("^\ufeff", "", line)) for (_, uri), line in zip(files, lines) if line is not None]
+    return spark.createDataFrame(found, "file_path string, header string")
 
 
 def read_csv_union(spark: SparkSession, path: str, encoding: str = "UTF-8", rename=snake,

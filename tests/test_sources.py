@@ -134,6 +134,25 @@ def test_materialize_builds_only_when_absent(spark):
     assert FS.materialize(spark, lambda: build(7), p).count() == 7
 
 
+def _bytes_read(spark):
+    stats = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+    return sum(stats[i].getBytesRead() for i in range(len(stats)))
+
+
+def test_headers_read_the_same_of_larger_files(spark):
+    d = tempfile.mkdtemp(prefix="ignis-head-")
+    read = {}
+    for size in (100_000, 3_000_000):
+        os.makedirs(f"{d}/{size}")
+        for k in range(3):
+            _write(f"{d}/{size}/f{k}.csv", f"a,b,{k}\n" + f"1,2,{k}\n" * size, "utf-8")
+        before = _bytes_read(spark)
+        got = {r.file_path.rsplit("/", 1)[1]: r.header for r in FS.file_headers(spark, f"{d}/{size}").collect()}
+        read[size] = _bytes_read(spark) - before
+        assert got == {f"f{k}.csv": f"a,b,{k}" for k in range(3)}
+    assert read[3_000_000] < 2 * read[100_000] + 1_000_000 and read[3_000_000] < 0.2 * 3 * 6 * 3_000_000
+
+
 def test_two_builders_at_once_and_a_dead_one(spark):
     p = os.path.join(tempfile.mkdtemp(prefix="ignis-mat-"), "t")
     inner = []
