@@ -842,6 +842,9 @@ FROM tr CROSS JOIN c"""
         f"SELECT CASE {groups} END AS feature_group, {R('sum(importance)')} AS importance, {R('sum(importance) * 100e0')} AS share_pct FROM im GROUP BY 1")
     q["partial_dependence_fixed"] = _pdp_fixed()
     q["sampled_shapley_fixed"] = _shapley_fixed()
+    q["geojson_features"] = f"""
+SELECT 'CA' AS code, cast(c_custkey AS BIGINT) AS id, c_name || ' {{"' || c_custkey || chr(92) || '"}}], [{{' AS name,
+       {R('cast(c_acctbal AS double)')} AS x, {R('cast(c_custkey % 90 AS double)')} AS y FROM customer WHERE c_nationkey = 3"""
     q["walked_dependence_fixed"] = _walked_fixed()
     q["tree_shapley_fixed"] = _tree_shapley_fixed()
     q["permutation_test"] = _perm_sql()

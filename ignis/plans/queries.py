@@ -129,6 +129,29 @@ def q_csv_rejects(spark, sf):
     return found.groupBy("reason").agg(F.sum("rejected").alias("rejected"))
 
 
+def q_geojson_features(spark, sf):
+    """Customers written as FeatureCollections, one document a file, whose names hold
+    braces, quotes and backslashes, then scanned; the features of one country are kept."""
+    c = fx.table(spark, sf, "customer")
+    files = max(4, c.count() // 100_000)
+    name = F.concat(F.col("c_name"), F.lit(' {"'), F.col("c_custkey").cast("string"), F.lit('\\"}], [{'))
+    code = F.when(F.col("c_nationkey") == 3, F.lit("CA")).otherwise(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("c_acctbal").cast("double"), (F.col("c_custkey") % 90).cast("double")).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(code.alias("iso_a2"), F.col("c_custkey").alias("id"), name.alias("name")).alias("properties"),
+                                 point.alias("geometry")))
+    rows = c.select((F.col("c_custkey") % files).cast("int").alias("file"), F.lit(1).alias("part"), F.col("c_custkey").alias("key"), feature.alias("line"))
+    least = rows.groupBy("file").agg(F.min("key").alias("least"))
+    rows = rows.join(F.broadcast(least), "file").withColumn("line", F.when(F.col("key") == F.col("least"), F.col("line")).otherwise(F.concat(F.lit(","), "line")))
+    ends = [least.select("file", F.lit(part).alias("part"), F.lit(0).cast("long").alias("key"), F.lit(text).alias("line"))
+            for part, text in ((0, '{"type": "FeatureCollection", "features": ['), (2, "]}"))]
+    path = scratch_path(spark, f"features_{uuid.uuid4().hex}")
+    whole = rows.drop("least").unionByName(ends[0]).unionByName(ends[1])
+    whole.repartition(files, "file").sortWithinPartitions("file", "part", "key").select("file", "line").write.partitionBy("file").text(path)
+    found = FS.read_geojson_features(spark, f"{path}/*/*.txt", keep="CA")
+    return finish(found.select("code", F.col("properties.id").cast("long").alias("id"), F.col("properties.name").alias("name"),
+                               F.get(F.col("geometry.coordinates"), F.lit(0)).cast("double").alias("x"), F.get(F.col("geometry.coordinates"), F.lit(1)).cast("double").alias("y")))
+
+
 def _catalogue_csv(spark, sf):
     path = scratch_path(spark, f"catalogue_{uuid.uuid4().hex}")
     cat = STN.catalogue_fixture(spark, sf)

@@ -15,14 +15,17 @@ from functools import lru_cache
 from itertools import chain, groupby
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from py4j.java_gateway import is_instance_of
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ignis.session import scratch_path
+
 
 def snake(name: str) -> str:
     """'Max Temp (°C)' -> 'max_temp_c'; 'Longitude (x)' -> 'longitude_x'."""
@@ -361,15 +364,125 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str,
     return spark.read.parquet(at)
 
 
+def _json_levels(data: bytes, inside: bool, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Places of the braces and brackets of a stretch of JSON that stand outside
+    strings, the depth after each, which open, and whether the stretch ends inside a
+    string; ``inside`` and ``depth`` tell how it begins."""
+    raw = np.frombuffer(re.sub(rb"\\.", b"  ", data, flags=re.DOTALL), dtype=np.uint8)
+    quotes = np.cumsum(raw == ord('"'))
+    spots = np.flatnonzero(np.isin(raw, np.frombuffer(b"{}[]", dtype=np.uint8)))
+    spots = spots[(quotes[spots] + inside) % 2 == 0]
+    opens = (raw[spots] == ord("{")) | (raw[spots] == ord("["))
+    ends_inside = bool((int(quotes[-1]) if len(quotes) else 0) + inside & 1)
+    return spots, depth + np.cumsum(np.where(opens, 1, -1)), opens, ends_inside
+
+
+def _split_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[bytes]]]:
+    """(file, start of the split, its bytes piece by piece), split by split."""
+    def rows():
+        for batch in batches:
+            yield from zip(batch.column("uri").to_pylist(), batch.column("start").to_pylist(), (v.as_py() for v in batch.column("value")))
+    for (uri, start), own in groupby(rows(), key=lambda r: r[:2]):
+        def pieces(own=own):
+            held, size = [], 0
+            for *_, value in own:
+                held.append(value + b"}")  # the reader cuts at braces
+                size += len(value) + 1
+                if size > 1 << 20:
+                    yield b"".join(held)
+                    held, size = [], 0
+            if held:
+                yield b"".join(held)
+        yield uri, start, pieces()
+
+
+#: Depth inside a feature: the collection, its array, the feature.
+_FEATURE_DEPTH = 3
+
+
+def geojson_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, feature) of every feature of the FeatureCollections under
+    ``path``, one line of JSON each: the objects two levels below a file's top
+    object whose type is Feature.  Files may be of any size.
+
+    A file is read in splits.  A first pass over them counts, for each, what it does
+    to the depth whether it begins inside a string or outside; from that the driver
+    knows how each begins (a row a split).  So in the second pass every task finds the
+    features of its own splits, strings and escapes told apart from structure; pieces
+    of a feature that lies across splits are put together after it."""
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for uri, start, pieces in _split_bytes(batches):
+            inside, depth = [False, True], [0, 0]  # begun outside a string, and inside one
+            for data in pieces:
+                for h in range(2):
+                    _, levels, _, inside[h] = _json_levels(data, inside[h], depth[h])
+                    depth[h] = int(levels[-1]) if len(levels) else depth[h]
+            out.append((uri, start, inside[0], depth[0], depth[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))],
+                                         ["uri", "start", "flips", "outside", "inside"])
+    begins, known = {}, {}
+    measured = raw.mapInArrow(measure, "uri string, start long, flips boolean, outside long, inside long").collect()
+    for r in sorted(measured, key=lambda r: (r["uri"], r["start"])):
+        inside, depth = known.get(r["uri"], (False, 0))
+        begins[r["uri"], r["start"]] = (inside, depth)
+        known[r["uri"]] = (inside ^ r["flips"], depth + (r["inside"] if inside else r["outside"]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri, start, pieces in _split_bytes(batches):
+            inside, depth = begins[uri, start]
+            held, fragments, whole, place = [], [], [], 0
+            begun_here = False
+            for data in pieces:
+                spots, levels, opens, ends_inside = _json_levels(data, inside, depth)
+                edge = 0
+                for i in np.flatnonzero((opens & (levels == _FEATURE_DEPTH)) | (~opens & (levels == _FEATURE_DEPTH - 1))).tolist():
+                    at = int(spots[i])
+                    if data[at] not in b"{}":
+                        continue
+                    if opens[i]:
+                        held, edge, begun_here = [], at, True
+                    elif data[at:at + 1] == b"}":
+                        text = b"".join([*held, data[edge:at + 1]])
+                        (whole if begun_here else fragments).append((place, text, True, begun_here))
+                        held, edge, begun_here, place = [], at + 1, False, place + 1
+                inside, depth = ends_inside, int(levels[-1]) if len(levels) else depth
+                if depth >= _FEATURE_DEPTH:
+                    held.append(data[edge:])
+                else:
+                    held = []
+            if held and depth >= _FEATURE_DEPTH:
+                fragments.append((place, b"".join(held), False, begun_here))
+            rows = [(uri, start, p, t.decode(), e, b) for p, t, e, b in (*whole, *fragments)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()))], ["uri", "start", "place", "text", "ends", "begins"])
+    parts = raw.mapInArrow(cut, "uri string, start long, place int, text string, ends boolean, begins boolean").checkpoint(eager=True)
+    done = parts.where("begins AND ends").select("uri", F.col("text").alias("feature"))
+    # pieces: two a split at most; a feature's follow the one that begins it
+    order = Window.partitionBy("uri").orderBy("start", "place")
+    loose = parts.where("NOT (begins AND ends)").withColumn("nth", F.sum(F.col("begins").cast("int")).over(order))
+    joined = loose.groupBy("uri", "nth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "text"))), lambda p: p["text"]), "")
+                                             .alias("feature")).select("uri", "feature")
+    one_line = F.regexp_replace("feature", r"[\r\n]+", " ")  # a line break in JSON stands between tokens only
+    found = done.unionByName(joined).where(F.get_json_object("feature", "$.type") == "Feature")
+    return found.select(F.element_at(F.split("uri", "/"), -1).alias("source_file"), one_line.alias("feature"))
+
+
 def read_geojson_features(spark: SparkSession, path: str, prop_names: Sequence[str] = ("iso_a2", "ISO_A2"),
                           keep: str | None = None) -> DataFrame:
-    """One row per feature of a GeoJSON FeatureCollection (multi-line JSON);
-    ``code`` = the first present property among ``prop_names``; optionally keep
-    only features whose code equals ``keep``."""
-    raw = spark.read.option("multiLine", True).json(path)
-    feats = raw.select(F.explode("features").alias("f"))
-    props = feats.schema["f"].dataType["properties"].dataType.fieldNames()
+    """One row per feature of the GeoJSON FeatureCollections under ``path``; ``code`` =
+    the first present property among ``prop_names``; optionally keep only features
+    whose code equals ``keep``.  The features are landed as lines of JSON in the
+    shared folder and read from there, so a large file is read by many tasks."""
+    lines = scratch_path(spark, f"geojson_{uuid.uuid4().hex}")
+    geojson_feature_lines(spark, path).select("feature").write.text(lines)
+    feats = spark.read.json(lines)
+    props = feats.schema["properties"].dataType.fieldNames() if "properties" in feats.columns else []
     present = [p for p in prop_names if p in props]
-    code = F.coalesce(*[F.col(f"f.properties.{p}") for p in present]) if present else F.lit(None).cast("string")
-    out = feats.select(code.alias("code"), F.col("f.properties").alias("properties"), F.col("f.geometry").alias("geometry"))
+    code = F.coalesce(*[F.col(f"properties.{p}").cast("string") for p in present]) if present else F.lit(None).cast("string")
+    out = feats.where("type = 'Feature'") if "type" in feats.columns else feats
+    out = out.select(code.alias("code"), *[F.col(c) if c in feats.columns else F.lit(None).cast("string").alias(c) for c in ("properties", "geometry")])
     return out.where(F.col("code") == keep) if keep is not None else out

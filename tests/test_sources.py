@@ -236,3 +236,42 @@ def test_first_non_null_in_file_order(spark):
     df = FS.read_csv_union(spark, f"{d}/*.csv")
     first = first_non_null(df, "station_name", ["max_temp_c"], ["source_file", "source_pos"]).collect()
     assert {r.station_name: r.max_temp_c for r in first} == {"A": "9", "B": "4"}
+
+
+def _collection(seed, n):
+    import random
+    r = random.Random(seed)
+    words = ['plain', 'br{ace', '}close{', 'quo"te', 'back\\\\slash', '"}]},{"type":"Feature"', 'tab\t', 'é[x]', '\\"', '']
+    features = [{"type": "Feature", "properties": {"iso_a2": r.choice(["CA", "US", None]), "id": i, "name": "".join(r.choice(words) for _ in range(r.randrange(6))),
+                                                   "more": {"list": [{"a": "}"}, {"a": "{"}]}},
+                 "geometry": {"type": "Polygon", "coordinates": [[[r.random(), i], [1.5, 2.5]]]}} for i in range(n)]
+    return {"type": "FeatureCollection", "name": "odd } name", "crs": {"properties": {"name": "x"}}, "bbox": [1, 2, 3, 4], "features": features}
+
+
+def test_one_large_collection_is_read_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+    for seed, n, indent, most in ((1, 300, None, 700), (2, 60, 2, 97), (3, 1, None, 40), (4, 200, 1, 1 << 20)):
+        d = tempfile.mkdtemp(prefix="ignis-geo-")
+        whole = _collection(seed, n)
+        with open(f"{d}/one.geojson", "w") as f:
+            json.dump(whole, f, indent=indent, ensure_ascii=seed % 2 == 0)
+        with open(f"{d}/two.geojson", "w") as f:
+            json.dump(_collection(seed + 10, 7), f)
+        old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            lines = FS.geojson_feature_lines(spark, d)
+            got = [json.loads(r.feature) for r in lines.where("source_file = 'one.geojson'").collect()]
+            key = lambda f: f["properties"]["id"]
+            assert sorted(got, key=key) == whole["features"] and lines.count() == n + 7
+            if most < 1000:
+                assert spark.read.option("lineSep", "}").text(f"{d}/one.geojson").rdd.getNumPartitions() > 5
+            feats = FS.read_geojson_features(spark, d)
+            raw = spark.read.option("multiLine", True).json(d).select(F.explode("features").alias("f"))
+            want = raw.select(F.col("f.properties.iso_a2").alias("code"), F.to_json("f.properties").alias("p"), F.to_json("f.geometry").alias("g"))
+            mine = feats.select("code", F.to_json("properties").alias("p"), F.to_json("geometry").alias("g"))
+            assert sorted(map(str, mine.collect())) == sorted(map(str, want.collect()))
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
