@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ignis.llm import arrow_text as at
-from ignis.llm.common import in_fold
+from ignis.llm.common import cut, in_fold
 
 #: Labelled documents to fit on at most on average, over all languages; at most ROWS of a language.
 SAMPLE, ROWS = 4_000, 700
+#: Languages that are learnt at most, the most frequent ones: a column of other things than languages has any number of values.
+LANGUAGES = 256
 DIMENSIONS, ORDERS = 4096, (1, 2, 3, 4)
 ROUNDS, PENALTY = 150, 1e-4
 UNDETERMINED = "und"
@@ -129,16 +131,16 @@ class Hierarchy:
         return lang, np.clip(score, 0, 1)
 
 
-def sample(labelled: DataFrame, total: int = SAMPLE, rows: int = ROWS) -> DataFrame:
-    """lang and text of about min(rows, total / languages) documents of each
-    language, drawn by a hash of id and text.  The driver sees one row a language."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = min(rows, max(1, total // max(len(counts), 1)))
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(rate)
+def sample(labelled: DataFrame, total: int = SAMPLE, rows: int = ROWS, languages: int = LANGUAGES) -> DataFrame:
+    """lang and text of about min(rows, total / languages) documents of each of the
+    most frequent languages (ties: the lesser name), ``languages`` at most, drawn by
+    a hash of id and text.  Their table is joined to the documents; the driver sees
+    how many there are."""
+    most = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages))
+    each = min(rows, max(1, total // max(most.count(), 1)))
+    rates = most.select("lang", (F.lit(float(each)) / F.col("n")).alias("rate"))
     point = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    return labelled.where(point < rate).select("lang", "text")
+    return labelled.join(F.broadcast(rates), "lang").where(point < F.col("rate")).select("lang", "text")
 
 
 def fit(labelled: DataFrame, total: int = SAMPLE, rows: int = ROWS) -> Hierarchy:

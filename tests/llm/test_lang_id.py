@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import numpy as np
 import pyarrow as pa
 from conftest import SF01
@@ -56,3 +57,11 @@ def test_vectors_are_of_whole_texts():
     long = "abc " * 50_000 + "ß" * 50_000
     x = lang_id.vectors(pa.array([long, long[:1000], "", None, "123 !"], pa.string()))
     assert not np.allclose(x[0], x[1]) and not x[2:].any() and np.allclose(np.linalg.norm(x[:2], axis=1), 1, atol=1e-3)
+
+
+def test_a_column_with_very_many_values(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), "id").alias("text"),
+                                    F.when(F.col("id") % 2 == 0, "en").when(F.col("id") % 4 == 1, "fr").otherwise(F.concat(F.lit("x"), "id")).alias("lang"))
+    n = {r["lang"]: r["count"] for r in lang_id.sample(docs, 400, 100, 40).groupBy("lang").count().collect()}
+    assert len(n) <= 40 and n["en"] >= 4 and n["fr"] >= 4 and sum(n.values()) < 800
+    assert set(n) <= {"en", "fr"} | {f"x{i}" for i in range(3, 400, 4)} | {f"x{i}" for i in range(3, 6000, 4)}
