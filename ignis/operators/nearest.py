@@ -6,10 +6,11 @@ neighbouring cells (an equi-join on the cell key, longitude wrapping at the
 antimeridian).  The best candidate is accepted only if it is no farther than
 the nearest point outside the searched 3x3 block -- a lower bound that uses the
 point's own latitude, because longitude degrees shrink with cos(lat).  Points
-that are not yet resolved move to the next, twice coarser level; the top level
-(one cell) resolves everything.  Candidate pairs are reduced by a partial
-aggregate inside the join task, so no pair row is shuffled; a cell that holds
-a large share of the sites is split by AQE's skew-join handling.
+that are not yet resolved move to the next, twice coarser level.  Candidate pairs
+are reduced by a partial aggregate inside the join task, so no pair row is shuffled;
+a cell that holds a large share of the sites is split by AQE's skew-join handling.
+Points that GRID_LEVELS levels have not resolved lie far from all sites; they go
+down an adaptive tree of cells instead, best bounds first (``tree_search``).
 
 Ties are broken by site name, then key (first in sorted station name).
 Sites with missing coordinates are dropped (they would otherwise win every
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ignis.functions.geo import EARTH_RADIUS_KM, haversine_km
@@ -104,6 +105,76 @@ def _level_search(points: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     return best.select("plat", "plon", "__best", resolved.alias("__resolved"))
 
 
+#: Grid levels that points are searched on before the tree, sites of a leaf cell, and levels of the tree.
+GRID_LEVELS, LEAF_SITES, TREE_LEVELS = 3, 16, 22
+
+
+def _box_distance(lat, lon, south, north, west, east) -> F.Column:
+    """Least great-circle distance in km from a point to a box of latitudes and
+    longitudes: along its own meridian where that passes the box, else to the
+    nearest point of the box's two side meridians."""
+    inside = F.lit(EARTH_RADIUS_KM) * F.radians(F.greatest(F.lit(0.0), south - lat, lat - north))
+
+    def side(edge):
+        turn = F.radians(lon - edge)
+        foot = F.degrees(F.atan2(F.sin(F.radians(lat)), F.cos(F.radians(lat)) * F.cos(turn)))  # the meridian's nearest latitude
+        ends = F.least(haversine_km(lat, lon, south, edge), haversine_km(lat, lon, north, edge))
+        return F.when((foot >= south) & (foot <= north), haversine_km(lat, lon, foot, edge)).otherwise(ends)
+    return F.when((lon >= west) & (lon <= east), inside).otherwise(F.least(side(west), side(east)))
+
+
+def tree_search(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """plat, plon, __best (km, name, key of the nearest site) and __seen (cells and
+    sites looked at) of each point, by a quadtree over the sites.
+
+    A cell with more than LEAF_SITES sites is divided; every cell has the box of its
+    sites and one of them.  Level by level, a point keeps the cells whose box is no
+    farther than the nearest of the sites that cells have shown it; of the leaves
+    that remain the sites are looked at.  So a point far from all sites meets a few
+    cells of each level along the sites' edge, and few sites."""
+    size = lambda k: F.lit(360.0) / F.pow(F.lit(2.0), k)
+    k = F.col("__k")
+    # latitude 90 belongs to the last row of cells; longitudes are in [-180, 180)
+    top = F.greatest(F.pow(F.lit(2.0), k - 1).cast("long") - 1, F.lit(0))
+    ci = F.least(F.floor((F.col("__slat") + 90.0) / size(k)).cast("long"), top)
+    cj = F.floor((F.col("__slon") + 180.0) / size(k)).cast("long")
+    every = sites.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(TREE_LEVELS)))).withColumn("__ci", ci).withColumn("__cj", cj)
+    cell = ["__k", "__ci", "__cj"]
+    cells = every.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"), F.min("__slat").alias("__s"), F.max("__slat").alias("__nn"), F.min("__slon").alias("__w"),
+                                     F.max("__slon").alias("__e"), F.min(F.struct("__slat", "__slon")).alias("__one")).checkpoint(eager=True)
+    inner = (F.col("__n") > LEAF_SITES) & (k < TREE_LEVELS)
+    parents = cells.where(inner).select((k + 1).alias("__k"), F.col("__ci").alias("__pi"), F.col("__cj").alias("__pj"))
+    below = cells.withColumn("__pi", F.shiftright("__ci", 1)).withColumn("__pj", F.shiftright("__cj", 1))
+    nodes = cells.where("__k = 1").unionByName(below.join(parents, ["__k", "__pi", "__pj"], "left_semi").select(*cells.columns))
+    nodes = nodes.withColumn("__inner", inner).checkpoint(eager=True)
+    roots = F.explode(F.array(*[F.struct(F.lit(0).cast("long").alias("__ci"), F.lit(j).cast("long").alias("__cj")) for j in range(2)]))
+    front = points.select("plat", "plon", F.lit(float("inf")).alias("__near"), F.lit(0).cast("long").alias("__seen"), roots.alias("c")).select(
+        "plat", "plon", "__near", "__seen", "c.*")
+    own = Window.partitionBy("plat", "plon")
+    ends = None
+    for level in range(1, TREE_LEVELS + 1):
+        here = front.join(nodes.where(k == level), ["__ci", "__cj"])
+        here = here.withColumn("__lo", _box_distance(F.col("plat"), F.col("plon"), F.col("__s"), F.col("__nn"), F.col("__w"), F.col("__e")))
+        here = here.withColumn("__hi", haversine_km("plat", "plon", "__one.__slat", "__one.__slon"))
+        here = here.withColumn("__near", F.least("__near", F.min("__hi").over(own))).withColumn("__seen", F.col("__seen") + F.count(F.lit(1)).over(own))
+        here = here.where(F.col("__lo") <= F.col("__near") * (1 + 1e-9) + 1e-6).select(
+            "plat", "plon", "__near", "__seen", "__k", "__ci", "__cj", "__lo", "__inner").checkpoint(eager=True)
+        leaves = here.where("NOT __inner").drop("__inner")
+        ends = leaves if ends is None else ends.unionByName(leaves)
+        open_ = here.where("__inner")
+        if open_.isEmpty():
+            break
+        four = F.explode(F.array(*[F.struct((2 * F.col("__ci") + a).alias("i"), (2 * F.col("__cj") + b).alias("j")) for a in range(2) for b in range(2)]))
+        front = open_.select("plat", "plon", "__near", "__seen", four.alias("c")).select(
+            "plat", "plon", "__near", "__seen", F.col("c.i").alias("__ci"), F.col("c.j").alias("__cj"))
+    least = F.min("__near").over(own)
+    ends = ends.withColumn("__near", least).withColumn("__seen", F.max("__seen").over(own)).where(F.col("__lo") <= F.col("__near") * (1 + 1e-9) + 1e-6)
+    held = every.join(nodes.where("NOT __inner").select(*cell), cell, "left_semi").select(*cell, "__skey", "__sname", "__slat", "__slon")
+    met = ends.join(held, cell)
+    found = F.struct(haversine_km("plat", "plon", "__slat", "__slon").alias("km"), F.col("__sname").alias("name"), F.col("__skey").alias("key"))
+    return met.groupBy("plat", "plon").agg(F.min(found).alias("__best"), (F.max("__seen") + F.count(F.lit(1))).alias("__seen"))
+
+
 def wrap_longitude(lon) -> F.Column:
     """The same meridian in [-180, 180)."""
     return F.pmod(lon + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
@@ -137,12 +208,14 @@ def nearest_site(points: DataFrame, sites: DataFrame, lat: str = "lat", lon: str
     found = []
     pending = coords
     if n_sites > 0:
-        for k in range(k0, -1, -1):
+        for k in range(k0, max(k0 - GRID_LEVELS, -1), -1):
             level = _level_search(pending, s, k).checkpoint(eager=True)
             found.append(level.where("__resolved").select("plat", "plon", "__best"))
             pending = level.where(~F.col("__resolved")).select("plat", "plon")
-            if k > 0 and pending.isEmpty():
+            if k == 0 or pending.isEmpty():
                 break
+        else:  # lone points, far from all sites
+            found.append(tree_search(pending, s).select("plat", "plon", "__best").checkpoint(eager=True))
     if found:
         best = found[0]
         for f in found[1:]:
