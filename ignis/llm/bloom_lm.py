@@ -72,23 +72,50 @@ class Tokens:
 
     n: int
     owner: np.ndarray
-    word: np.ndarray      # hash
-    context: np.ndarray   # hash of the token before, or BEGIN
+    table: np.ndarray         # hashes of the distinct words, END and BEGIN
+    code: np.ndarray          # place of each token's hash in the table
+    context_code: np.ndarray  # that of the token before, or of BEGIN
+
+    @property
+    def word(self) -> np.ndarray:
+        return self.table[self.code]
+
+    @property
+    def context(self) -> np.ndarray:
+        return self.table[self.context_code]
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the distinct bigrams, the place of each token's among them, and how often each occurs."""
+        width = len(self.table)
+        distinct, place, times = np.unique(self.context_code * width + self.code, return_inverse=True, return_counts=True)
+        return pair(self.table[distinct // width], self.table[distinct % width]), place, times
+
+
+def word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """A 64-bit hash of each (non-empty) word: the sum of mixed (place, byte) pairs, mixed again."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64, count=words.offset + len(words) + 1)[words.offset:]
+    raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64)
+    size, start = np.diff(offsets), offsets[:-1] - offsets[0]
+    place = (np.arange(len(raw)) - np.repeat(start, size)).astype(np.uint64)
+    return _mix(np.add.reduceat(_mix((place << np.uint64(8)) + raw + np.uint64(1)), start) + size.astype(np.uint64) * _C1)
 
 
 def tokens(texts: pa.Array) -> Tokens:
     words = at.words_of(pc.ascii_lower(at.plain(texts)))
-    table = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, count=len(words.dictionary))
+    table = word_hashes(words.dictionary)
     per = words.counts
     owner = np.repeat(np.arange(words.n), per + 1)
     ends = np.cumsum(per + 1) - 1
-    word = np.empty(len(owner), np.uint64)
+    end, begin = len(table), len(table) + 1
+    code = np.full(len(owner), end, dtype=np.int64)
     body = np.ones(len(owner), dtype=bool)
     body[ends] = False
-    word[body], word[ends] = table[words.ids], END
-    context = np.concatenate([[BEGIN], word[:-1]]).astype(np.uint64)[: len(word)]
-    context[ends - per] = BEGIN
-    return Tokens(words.n, owner, word, context)
+    code[body] = words.ids
+    context = np.concatenate([[begin], code[:-1]])[: len(code)]
+    context[ends - per] = begin
+    return Tokens(words.n, owner, np.concatenate([table, [END, BEGIN]]).astype(np.uint64), code, context)
 
 
 def _count(n_buckets: int):
@@ -112,12 +139,12 @@ def _count(n_buckets: int):
                 parts.clear()
         for part in at.text_slices(batches):
             t = tokens(part.column("text"))
-            begins = np.array([t.n], dtype=np.int64)
-            for order, keys in ((1, t.word), (2, pair(t.context, t.word))):
-                k, c = np.unique(keys, return_counts=True)
+            once = np.bincount(t.code, minlength=len(t.table))
+            once[-1] = t.n  # each text begins once
+            both, _, times = t.bigrams()
+            for order, k, c in ((1, t.table[once > 0], once[once > 0]), (2, both, times)):
                 held[order].append((k, c))
                 n_held += len(k)
-            held[1].append((np.array([BEGIN]), begins))
             if n_held > HELD:
                 yield from flush()
                 n_held = 0
@@ -139,23 +166,36 @@ def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def places(keys: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np.ndarray:
-    """Bit of a probe for (key, level) in a segment of ``bits`` bits."""
-    shift = np.array([probe + 1, level], dtype=np.uint64) * np.array([_C1, _C2])
-    h = _mix(keys + shift[:1] + shift[1:])
-    return ((h >> np.uint64(32)) * bits.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+#: Bits of a block, and levels of a key that share one: their probes meet one line of memory.
+BLOCK_BITS, BLOCK_LEVELS = 512, 8
+
+
+def blocks(keys: np.ndarray, level: int, bits: np.ndarray) -> np.ndarray:
+    """First bit of the block where (key, level) lies, in a segment of ``bits`` bits."""
+    h = _mix(keys * _C1 + np.array([level // BLOCK_LEVELS], dtype=np.uint64) * _C2) >> np.uint64(32)
+    return (h * (bits // BLOCK_BITS).astype(np.uint64) >> np.uint64(32)).astype(np.int64) * BLOCK_BITS
+
+
+def offsets(keys: np.ndarray, level: int) -> np.ndarray:
+    """A hash whose parts of 9 bits are the places of the probes in the block."""
+    return _mix(keys + np.array([level], dtype=np.uint64) * _C2)
+
+
+def place_of(h: np.ndarray, probe: int) -> np.ndarray:
+    return (h >> np.uint64(9 * probe) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The filter of some n-grams, as bytes."""
     levels = np.searchsorted(LEAST, counts, side="right")
     entries = int(levels.sum())
-    bits = np.array([-(-entries * BITS_PER_ENTRY // 64) * 64 or 64])
+    bits = np.array([-(-entries * BITS_PER_ENTRY // BLOCK_BITS) * BLOCK_BITS or BLOCK_BITS])
     flags = np.zeros(int(bits[0]), dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         k = keys[levels >= level]
+        first, h = blocks(k, level, bits), offsets(k, level)
         for probe in range(PROBES):
-            flags[places(k, level, probe, bits)] = True
+            flags[first + place_of(h, probe)] = True
     return np.packbits(flags, bitorder="little")
 
 
@@ -205,14 +245,18 @@ class Shard:
         out = np.full(len(keys), -1, dtype=np.int16)
         out[mine] = 0
         mine = mine[self.bits[bucket[mine] - self.first] > 0]
-        level = 0
+        level, first = 0, None
         while len(mine):
             level += 1
-            seg = bucket[mine] - self.first
-            for probe in range(PROBES):
-                p = places(keys[mine], level, probe, self.bits[seg])
-                ok = self.raw[self.at[seg] + (p >> 3)] >> (p & 7).astype(np.uint8) & 1 == 1
-                mine, seg = mine[ok], seg[ok]
+            own = keys[mine]
+            if first is None or level % BLOCK_LEVELS == 0:
+                seg = bucket[mine] - self.first
+                first = blocks(own, level, self.bits[seg]) + 8 * self.at[seg]
+            h = offsets(own, level)
+            for probe in range(PROBES):  # a key is out at its first bit that isn't set
+                p = first + place_of(h, probe)
+                ok = self.raw[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1
+                mine, first, h = mine[ok], first[ok], h[ok]
             out[mine] = level
             if level >= len(LEAST) - 1:
                 break
@@ -221,10 +265,10 @@ class Shard:
 
 def probe(t: Tokens, shard: Shard, before: np.ndarray | None) -> np.ndarray:
     """Levels (3, tokens) of word, context and bigram; those of other shards keep what is known."""
-    out = np.full((3, len(t.word)), -1, dtype=np.int16) if before is None else before.copy()
-    for k, keys in enumerate((t.word, t.context, pair(t.context, t.word))):
-        distinct, place = np.unique(keys, return_inverse=True)
-        got = shard.levels(distinct)[place]
+    out = np.full((3, len(t.code)), -1, dtype=np.int16) if before is None else before.copy()
+    single = shard.levels(t.table)
+    both, place, _ = t.bigrams()
+    for k, got in enumerate((single[t.code], single[t.context_code], shard.levels(both)[place])):
         out[k] = np.where(got >= 0, got, out[k])
     return out
 
@@ -279,10 +323,14 @@ def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_
     shards.append((start, n_buckets))
     rows = source.select("doc_id", "text", F.lit(None).cast("binary").alias("levels"))
     for lo, hi in shards[:-1]:
-        rows = cut(rows.mapInArrow(_probe_pass(_shard(model, n_buckets, lo, hi)), "doc_id bigint, text string, levels binary"))
+        sent = _shard(model, n_buckets, lo, hi)
+        rows = cut(rows.mapInArrow(_probe_pass(sent), "doc_id bigint, text string, levels binary"))
+        sent.destroy()
     last = _shard(model, n_buckets, *shards[-1])
     scored = cut(rows.mapInArrow(_score_pass(last, table, floor, n, v), (
         "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<bigint>")))
+    last.destroy()
+    table.destroy()
     scored = scored.withColumn("row", F.monotonically_increasing_id())
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     counted = rare.join(words.where(F.col("c") < floor), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
@@ -343,7 +391,7 @@ def _score_pass(sent, table, floor: int, n: int, v: int):
         for part in at.text_slices(batches):
             t = tokens(part.column("text"))
             model = log_probability(probe(t, shard, _known_levels(part, t)), n, v)
-            distinct, place = np.unique(t.word, return_inverse=True)
+            distinct, place = t.table, t.code
             where = np.minimum(np.searchsorted(words, distinct), max(len(words) - 1, 0))
             hit = words[where] == distinct if len(words) else np.zeros(len(distinct), dtype=bool)
             base = np.zeros(len(distinct))

@@ -82,3 +82,10 @@ def test_tokens():
 def test_hot_word_counts(spark):
     rows = [(i, "hot " * 50 + prose(i, 5), None, None, None) for i in range(300)]
     assert digest(lm.score(spark.createDataFrame(rows, SCHEMA).repartition(6))) == brute([(r[0], r[1]) for r in rows])
+
+
+def test_word_hashes_are_distinct_and_depend_on_the_word_alone():
+    words = [f"w{i}" for i in range(20_000)] + ["ab", "ba", "aab", "é", "\0", "\0\0", "a" * 300, "a" * 301]
+    a = lm.word_hashes(pa.array(words, pa.large_string()))
+    b = lm.word_hashes(pa.array(["x"] + words[::-1], pa.large_string()).slice(1))
+    assert len(set(a.tolist())) == len(words) and (a == b[::-1]).all() and not len(lm.word_hashes(pa.array([], pa.large_string())))
