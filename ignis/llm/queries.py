@@ -31,6 +31,16 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.passes(quality_rules.PRODUCTION).alias("kept"))
 
 
+def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy takes away from all documents, from the ledger's bits."""
+    ledger = cut(quality_rules.ledger(table(spark, sf_dir, "documents")).select("fail_bits"))
+    parts = [quality_rules.ablate(ledger, p).select("policy", "rule", "fails", "fails_only_this", "kept", "kept_without") for p in quality_rules.POLICIES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals after batches of inserts (all documents), a replayed batch,
     deletes (all copies of a text but the first) and revisions (repeated lines
@@ -132,7 +142,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sampled_splitters, op2_rule_ledger, op3_token_rollup, op4_hash_forest, op5_order_minhash, op6_nnls_packing,
-    op7_quadratic_discriminant, op8_overlapping_chunks, op9_bloom_lm, op10_family_svm, op11_bitmap_merkle, op12_lanczos_whitening, op13_mtree_topk, pipeline)}
+    op7_quadratic_discriminant, op8_overlapping_chunks, op9_bloom_lm, op10_family_svm, op11_bitmap_merkle, op12_lanczos_whitening, op13_mtree_topk, pipeline,
+    ledger_ablation)}
 
 _OP2 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -163,6 +174,20 @@ b AS (
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
+
+
+def _ablation() -> str:
+    parts = []
+    for policy, rules in quality_rules.POLICIES.items():
+        m = quality_rules.mask(policy)
+        for rule in rules:
+            b = quality_rules.bit(rule)
+            parts.append(f"SELECT '{policy}' AS policy, '{rule}' AS rule, count(*) FILTER (WHERE fail_bits & {b} <> 0) AS fails, "
+                         f"count(*) FILTER (WHERE fail_bits & {m} = {b}) AS fails_only_this, count(*) FILTER (WHERE fail_bits & {m} = 0) AS kept, "
+                         f"count(*) FILTER (WHERE fail_bits & {m - b} = 0) AS kept_without FROM ledger")
+    return f"WITH ledger AS ({_OP2})\n" + "\nUNION ALL ".join(parts)
+
+
 _OP11 = """
 WITH RECURSIVE
 crc_table AS (
@@ -224,4 +249,4 @@ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id OR
 WHERE rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op2_rule_ledger": _OP2, "op11_bitmap_merkle": _OP11, "op13_mtree_topk": _OP13}
+ORACLE: dict[str, str] = {"op2_rule_ledger": _OP2, "op11_bitmap_merkle": _OP11, "op13_mtree_topk": _OP13, "ledger_ablation": _ablation()}

@@ -48,3 +48,41 @@ def test_overfull_ranges_are_divided(spark):
     assert (total, count) == (40 * 2001 + 3960 * 2, 4000)
     assert all(n == 1 or (b <= 3.5 * total / 16 and n <= 3.5 * count / 16) for b, n in full.values())
     assert bounds == sorted(set(bounds))
+
+
+def brute(slim, n_shards):
+    """Shard and slot of every record in key order, by the rule's letter, over one range."""
+    rows = sorted(slim.collect(), key=lambda r: bytes(r.key))
+    share = max(sum(r.size for r in rows) / n_shards, 1.0)
+    groups, at = {}, 0
+    for r in rows:
+        first, size = groups.get(bytes(r.key)[:8], (at, 0))
+        groups[bytes(r.key)[:8]] = (first, size + r.size)
+        at += r.size
+    out, at, slots = Counter(), 0, Counter()
+    for r in rows:
+        first, size = groups[bytes(r.key)[:8]]
+        cut = first if size <= sharding.WHOLE_GROUP * share else at
+        k = min(int(cut // share), n_shards - 1)
+        out[(r.doc_id, r.size, r.text_crc32, k, slots[k])] += 1
+        slots[k] += 1
+        at += r.size
+    return out
+
+
+def test_shards_equal_brute_force(spark, monkeypatch):
+    rows = [(i, prose(i % 900, 3 + i % 50), None, None, None) for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5).persist()
+    slim = sharding._slim(docs, "doc_id", "text")
+    monkeypatch.setattr(sharding, "_slim", lambda *_: slim)  # row numbers in the keys are those of one reading
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs, 6, ranges=1).collect())
+    assert got == brute(slim, 6)
+
+
+def test_ranges_do_not_change_the_result(spark, monkeypatch):
+    rows = [(i, f"{i} " + "y" * (i * 37 % 900), None, None, None) for i in range(3000)]  # distinct texts
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    slim = sharding._slim(docs, "doc_id", "text")
+    monkeypatch.setattr(sharding, "_slim", lambda *_: slim)
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs, 7, ranges=24).collect())
+    assert got == brute(slim, 7)
