@@ -95,3 +95,15 @@ def test_boosted_trees_split_between_any_of_250_values(spark):
         t = ML.assemble(rows.selectExpr("id", "x", f"cast(x >= {least} as int) AS label"), ["x"])
         got = ML.gradient_boosting(max_iter=1, depth=1).fit(t).transform(t)
         assert got.where("prediction != label").count() == 0
+
+
+def test_main_model_is_as_good_as_mllib(spark):
+    """The same settings and as many rounds, on the same rows."""
+    from ignis.plans import queries as Q
+    d = Q._main_rows(spark, SF01)
+    tr, te = d.where("split = 'train'"), d.where("split = 'test'")
+    ours, _, _ = Q._main_fit(spark, SF01)
+    rows = ML.with_validation_slice(RS.class_weights(tr, "label")).where("NOT is_validation")
+    theirs = ML.main_gbt(rounds=len(ours.trees)).fit(ML._fit_rows(ML.assemble(rows, V.FEATURE_COLS).select("label", "weight", "features")).persist())
+    a, b = (ML.evaluate(ML.score(m, ML.assemble(te, V.FEATURE_COLS))).first() for m in (ours, theirs))
+    assert a.roc_auc > b.roc_auc - 0.005 and a.log_loss < b.log_loss + 0.02 and abs(a.accuracy - b.accuracy) < 0.02
