@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ignis.functions.columns import safe_ratio
-from ignis.operators.prefix import following, prefix_sums
+from ignis.operators.prefix import bounds_of, following, prefix_sums
 
 # The 9 inner edges of 10 uniform calibration bins, computed the
 # way numpy's linspace does (k * 0.1), so boundary scores land in the same bin.
@@ -152,13 +152,12 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", drop_in
     positives and negatives.  No scored rows, no points."""
     c = score_counts(df, label, score)
     P, N = _totals(c)
-    r = ranking_sums(c)
+    bounds = bounds_of(c, "score")
+    r = prefix_sums(c, "score", ["pos", "neg"], descending=True, bounds=bounds, stored=True)
     if drop_intermediate:
-        ahead = following(c, "score", ["pos", "neg"], descending=True)
-        top = c.agg(F.max("score")).first()[0]
-        corner = (F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-                  | (F.col("score") == F.lit(top)))
-        r = r.join(ahead.where(corner).select("score"), "score", "left_semi")
+        first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+        r = following(r, "score", ["pos", "neg"], descending=True, bounds=bounds, source=c)
+        r = r.where(first | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
     share = lambda v, total: F.col(v) / F.lit(total) if total else F.lit(None).cast("double")
     points = r.select(F.col("score").alias("threshold"), share("cum_neg", N).alias("fpr"), share("cum_pos", P).alias("tpr"))
     origin = df.sparkSession.createDataFrame([(float("inf"), 0.0 if N else None, 0.0 if P else None)] if P + N else [],

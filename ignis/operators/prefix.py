@@ -125,26 +125,31 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], group_
     return d.select(*df.columns, *[(own(v) + F.col(f"__o_{v}")).alias(f"{prefix}{v}") for v in value_cols])
 
 
-def following(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False,
-              n_blocks: int | None = None, prefix: str = "next_") -> DataFrame:
+def bounds_of(df: DataFrame, col: str, n_blocks: int | None = None) -> list:
+    """Bounds of as many blocks as the rows of ``df`` (stored) take."""
+    n = df.count()
+    return block_bounds(df, col, n_blocks or blocks_for(n), n_rows=n)
+
+
+def following(df: DataFrame, order_col: str, value_cols: Sequence[str], descending: bool = False, bounds: list | None = None,
+              source: DataFrame | None = None, n_blocks: int | None = None, prefix: str = "next_") -> DataFrame:
     """Adds the values of the next row in ``order_col`` order (null after the last),
-    where each row has an order of its own.  ``df`` is read three times, so it
-    should be stored.
+    where each row has an order of its own.  ``source`` is a stored frame of the same
+    rows, by default ``df`` itself.
 
     Inside a block the next row comes from a window over the block; the last row of
     a block is handed the first row of the next one that has rows, through a table
     of one row a block."""
-    value_cols = list(value_cols)
-    n = df.count()
-    bounds = block_bounds(df, order_col, n_blocks or blocks_for(n), n_rows=n)
+    value_cols, source = list(value_cols), df if source is None else source
+    if bounds is None:
+        bounds = bounds_of(source, order_col, n_blocks)
     blk = _block_index(F.col(order_col), bounds)
-    d = df.withColumn("__blk", (F.lit(len(bounds)) - blk if descending else blk).cast("int"))
+    blk = (F.lit(len(bounds)) - blk if descending else blk).cast("int")
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy("__blk").orderBy(order)
-    d = d.withColumn("__own", F.lead(F.struct(*value_cols)).over(w))
+    d = df.withColumn("__blk", blk).withColumn("__own", F.lead(F.struct(*value_cols)).over(Window.partitionBy("__blk").orderBy(order)))
     if bounds:
         row = F.struct(F.col(order_col).alias("o"), F.struct(*value_cols).alias("v"))
-        firsts = d.groupBy("__blk").agg((F.max(row) if descending else F.min(row))["v"].alias("__v"))
+        firsts = source.groupBy(blk.alias("__blk")).agg((F.max(row) if descending else F.min(row))["v"].alias("__v"))
         handed = firsts.select("__blk", F.lead("__v").over(Window.orderBy("__blk")).alias("__first"))  # one row a block
         d = d.join(handed, "__blk").withColumn("__own", F.coalesce("__own", "__first"))
     return d.select(*df.columns, *[F.col(f"__own.{v}").alias(f"{prefix}{v}") for v in value_cols])

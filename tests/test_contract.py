@@ -12,7 +12,8 @@ from conftest import SF001
 from ignis.plans.queries import QUERIES
 
 ROWS_ONLY = {"train_lr", "train_rf", "train_gbt", "rf_size_regression", "cross_validate",
-             "best_model", "feature_importance", "grouped_importance", "partial_dependence", "sampled_shapley"}
+             "best_model", "feature_importance", "grouped_importance", "partial_dependence", "sampled_shapley",
+             "walked_dependence", "tree_shapley", "bootstrap_multinomial", "permutation_by_counts"}
 
 
 def test_registry_and_oracle_keys():
