@@ -6,8 +6,9 @@ level is read back by probing 1, 2, ... until a probe fails.  The filter is laid
 out in segments by n-gram hash: the task that sums a bucket's counts also sets
 the bits of its segment, which is sized by what the bucket holds, so the filter
 grows with the corpus and its error rate doesn't.  Workers get it as a broadcast
-of at most SHARD_BYTES; a larger filter goes out shard by shard, one pass over
-the texts each, with the levels found so far carried along.
+of at most SHARD_BYTES; a larger filter goes out shard by shard.  Then the texts are
+read once, their distinct n-grams dealt to shards as arrays, and each shard's pass
+probes those alone.
 
 A token's probability is the bigram estimate smoothed with the unigram one,
 both from probed levels.
@@ -24,11 +25,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ignis.llm import arrow_text as at
 from ignis.llm.common import cut, in_fold
+from ignis.session import ensure_checkpoint_dir
 
 #: Bits an entry (n-gram and level) and probes of it: about 2 % of absent entries seem present.
 BITS_PER_ENTRY, PROBES = 8, 4
@@ -263,14 +266,11 @@ class Shard:
         return out
 
 
-def probe(t: Tokens, shard: Shard, before: np.ndarray | None) -> np.ndarray:
-    """Levels (3, tokens) of word, context and bigram; those of other shards keep what is known."""
-    out = np.full((3, len(t.code)), -1, dtype=np.int16) if before is None else before.copy()
+def probe(t: Tokens, shard: Shard) -> np.ndarray:
+    """Levels (3, tokens) of word, context and bigram."""
     single = shard.levels(t.table)
     both, place, _ = t.bigrams()
-    for k, got in enumerate((single[t.code], single[t.context_code], shard.levels(both)[place])):
-        out[k] = np.where(got >= 0, got, out[k])
-    return out
+    return np.stack([single[t.code], single[t.context_code], shard.levels(both)[place]])
 
 
 def log_probability(levels: np.ndarray, n: int, v: int, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -321,15 +321,13 @@ def score(docs: DataFrame, held_out_fold: int = 1, id_col: str = "doc_id", text_
             start, taken = b, 0
         taken += sizes.get(b, 0)
     shards.append((start, n_buckets))
-    rows = source.select("doc_id", "text", F.lit(None).cast("binary").alias("levels"))
-    for lo, hi in shards[:-1]:
-        sent = _shard(model, n_buckets, lo, hi)
-        rows = cut(rows.mapInArrow(_probe_pass(sent), "doc_id bigint, text string, levels binary"))
+    scored_as = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<bigint>"
+    if len(shards) == 1:
+        sent = _shard(model, n_buckets, *shards[0])
+        scored = cut(source.mapInArrow(_score_texts(sent, table, floor, n, v), scored_as))
         sent.destroy()
-    last = _shard(model, n_buckets, *shards[-1])
-    scored = cut(rows.mapInArrow(_score_pass(last, table, floor, n, v), (
-        "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<bigint>")))
-    last.destroy()
+    else:
+        scored = cut(_probed_by_shard(source, model, n_buckets, shards).mapInArrow(_score_slices(table, floor, n, v), scored_as))
     table.destroy()
     scored = scored.withColumn("row", F.monotonically_increasing_id())
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
@@ -361,53 +359,112 @@ def _open(sent) -> Shard:
     return _OPEN[key]
 
 
-def _known_levels(part: pa.RecordBatch, t: Tokens) -> np.ndarray | None:
-    raw = part.column("levels")
-    if raw.null_count == len(raw):
-        return None
-    each = np.bincount(t.owner, minlength=t.n)
-    rows = [np.frombuffer(b, dtype=np.int16).reshape(3, c) for b, c in zip(raw.to_pylist(), each)]
-    return np.concatenate(rows, axis=1)
+_SLICE = "slice bigint, shard int, ids binary, here binary, table binary, code binary, context binary, place binary, keys binary, at binary"
 
 
-def _probe_pass(sent):
+def _tokenise(n_buckets: int, firsts: list[int]):
+    """The one pass over the texts where the filter has several shards: for each
+    slice of text a row (shard -1) of its tokens' codes, and for each shard one of
+    the distinct n-grams that lie in it, with their places among the slice's."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _open(sent)
+        number = TaskContext.get().partitionId() << 32
         for part in at.text_slices(batches):
             t = tokens(part.column("text"))
-            levels = probe(t, shard, _known_levels(part, t))
-            ends = np.cumsum(np.bincount(t.owner, minlength=t.n))[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text"), pa.array([np.ascontiguousarray(x).tobytes() for x in np.split(levels, ends, axis=1)], pa.binary())],
-                ["doc_id", "text", "levels"])
+            both, place, _ = t.bigrams()
+            keys = np.concatenate([t.table, both])
+            shard = np.searchsorted(firsts, bucket_of(keys, n_buckets), side="right") - 1
+            order = np.argsort(shard, kind="stable")
+            edges = np.searchsorted(shard[order], np.arange(len(firsts) + 1))
+            ids = part.column("doc_id")
+            rows = [(number, -1, ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), t.table.tobytes(),
+                     t.code.astype(np.int32).tobytes(), t.context_code.astype(np.int32).tobytes(), place.astype(np.int32).tobytes(), None, None)]
+            for s, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                if hi > lo:
+                    own = order[lo:hi]
+                    rows.append((number, s, None, None, None, None, None, None, keys[own].tobytes(), own.astype(np.int32).tobytes()))
+            number += 1
+            names = [c.split() for c in _SLICE.split(", ")]
+            types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[kind]) for i, (_, kind) in enumerate(names)], [n for n, _ in names])
+    return run
+
+
+def _probe_keys(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _open(sent)
+        for batch in batches:
+            got = [shard.levels(np.frombuffer(k, dtype=np.uint64)).astype(np.int16).tobytes() for k in batch.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("at"), pa.array(got, pa.binary())], ["slice", "at", "levels"])
+    return run
+
+
+def _probed_by_shard(source: DataFrame, model: DataFrame, n_buckets: int, shards: list[tuple[int, int]]) -> DataFrame:
+    """The slices of the texts with the levels of their distinct n-grams.
+
+    The texts are read once, whatever the number of shards; each shard of the filter
+    is broadcast once and probed with the n-grams dealt to it, which no other pass
+    reads."""
+    spark = source.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bloom_lm/{uuid.uuid4().hex}"
+    source.mapInArrow(_tokenise(n_buckets, [lo for lo, _ in shards]), _SLICE).write.partitionBy("shard").parquet(f"{base}/slices")
+    slices = spark.read.schema(_SLICE).parquet(f"{base}/slices")
+    found = None
+    for s, (lo, hi) in enumerate(shards):
+        sent = _shard(model, n_buckets, lo, hi)
+        got = cut(slices.where(F.col("shard") == s).select("slice", "keys", "at").mapInArrow(_probe_keys(sent), "slice bigint, at binary, levels binary"))
+        sent.destroy()
+        found = got if found is None else found.unionByName(got)
+    levels = found.groupBy("slice").agg(F.collect_list(F.struct("at", "levels")).alias("levels"))  # a row a shard
+    return slices.where("shard = -1").select("slice", "ids", "here", "table", "code", "context", "place").join(levels, "slice")
+
+
+def _score_slices(table, floor: int, n: int, v: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                get = lambda c, kind: np.frombuffer(row[c], dtype=kind)  # noqa: B023, E731
+                code, context, place = (get(c, np.int32).astype(np.int64) for c in ("code", "context", "place"))
+                words = get("table", np.uint64)
+                levels = np.zeros(len(words) + int(place.max(initial=-1)) + 1, dtype=np.int16)
+                for part in row["levels"]:
+                    levels[np.frombuffer(part["at"], dtype=np.int32)] = np.frombuffer(part["levels"], dtype=np.int16)
+                ids = pa.array(get("ids", np.int64), mask=~get("here", np.bool_))
+                owner = np.cumsum(context == len(words) - 1) - 1  # each text begins once
+                t = Tokens(len(ids), owner, words, code, context)
+                yield _scores(ids, t, np.stack([levels[code], levels[context], levels[len(words) + place]]), table, floor, n, v)
     return run
 
 
-def _score_pass(sent, table, floor: int, n: int, v: int):
-    """The last probes, the model's score, and the base score of frequent words; rarer words are listed with how often each occurs."""
+def _score_texts(sent, table, floor: int, n: int, v: int):
+    """The scores of texts where one shard holds the whole filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _open(sent)
-        words, counts = table.value
         for part in at.text_slices(batches):
             t = tokens(part.column("text"))
-            model = log_probability(probe(t, shard, _known_levels(part, t)), n, v)
-            distinct, place = t.table, t.code
-            where = np.minimum(np.searchsorted(words, distinct), max(len(words) - 1, 0))
-            hit = words[where] == distinct if len(words) else np.zeros(len(distinct), dtype=bool)
-            base = np.zeros(len(distinct))
-            if len(words):
-                base[hit] = np.log10((counts[where[hit]] + 0.5) / (n + 0.5 * (v + 1)))
-            frequent = hit[place]
-            rare = np.flatnonzero(~frequent)
-            width = len(distinct) + 1
-            each, times = np.unique(t.owner[rare] * width + place[rare], return_counts=True)
-            edges = np.searchsorted(each // width, np.arange(t.n + 1))
-            yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array(np.bincount(t.owner, minlength=t.n)),
-                pa.array(np.bincount(t.owner[frequent], minlength=t.n)),
-                pa.array(np.bincount(t.owner, weights=base[place], minlength=t.n)),
-                pa.array(np.bincount(t.owner, weights=model, minlength=t.n)),
-                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(distinct[each % width].view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(times.astype(np.int64))),
-            ], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
+            yield _scores(part.column("doc_id"), t, probe(t, shard), table, floor, n, v)
     return run
+
+
+def _scores(ids: pa.Array, t: Tokens, levels: np.ndarray, table, floor: int, n: int, v: int) -> pa.RecordBatch:
+    """The model's score, and the base score of frequent words; rarer words are listed with how often each occurs."""
+    words, counts = table.value
+    model = log_probability(levels, n, v)
+    distinct, place = t.table, t.code
+    where = np.minimum(np.searchsorted(words, distinct), max(len(words) - 1, 0))
+    hit = words[where] == distinct if len(words) else np.zeros(len(distinct), dtype=bool)
+    base = np.zeros(len(distinct))
+    if len(words):
+        base[hit] = np.log10((counts[where[hit]] + 0.5) / (n + 0.5 * (v + 1)))
+    frequent = hit[place]
+    rare = np.flatnonzero(~frequent)
+    width = len(distinct) + 1
+    each, times = np.unique(t.owner[rare] * width + place[rare], return_counts=True)
+    edges = np.searchsorted(each // width, np.arange(t.n + 1))
+    return pa.RecordBatch.from_arrays([
+        ids, pa.array(np.bincount(t.owner, minlength=t.n)),
+        pa.array(np.bincount(t.owner[frequent], minlength=t.n)),
+        pa.array(np.bincount(t.owner, weights=base[place], minlength=t.n)),
+        pa.array(np.bincount(t.owner, weights=model, minlength=t.n)),
+        pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(distinct[each % width].view(np.int64))),
+        pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(times.astype(np.int64))),
+    ], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
