@@ -131,7 +131,11 @@ def label_encode(df: DataFrame, col: str, out: str, fill: str | None = None) ->
     dictionary = keyed.select("__enc_key").where(F.col("__enc_key").isNotNull()).distinct()
     from ignis.operators.prefix import dense_rank_values
     codes = dense_rank_values(dictionary, "__enc_key", out).checkpoint(eager=True)
-    return keyed.join(codes, "__enc_key", "left").drop("__enc_key")
+    known = keyed.where(F.col("__enc_key").isNotNull()).join(codes, "__enc_key").select(*df.columns, out)
+    if fill is not None:
+        return known
+    # rows without a value take no part in the join, where they would all meet in one task
+    return known.unionByName(df.where(F.col(col).isNull()).withColumn(out, F.lit(None).cast(codes.schema[out].dataType)))
 
 
 def climate_derived(df: DataFrame) -> DataFrame:
