@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from tricky import ROWS, SCHEMA, empty, prose, tricky
 
 from ignis.llm import bloom_lm as lm
 from ignis.llm import queries
+from ignis.session import ensure_checkpoint_dir
 
 
 def words(text):
@@ -133,3 +135,34 @@ def test_word_hashes_are_distinct_and_depend_on_the_word_alone():
     a = lm.word_hashes(pa.array(words, pa.large_string()))
     b = lm.word_hashes(pa.array(["x"] + words[::-1], pa.large_string()).slice(1))
     assert len(set(a.tolist())) == len(words) and (a == b[::-1]).all() and not len(lm.word_hashes(pa.array([], pa.large_string())))
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3000):
+        keys = np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
+    assert lm._unpack_keys(lm._pack_keys(np.array([7, 7, (1 << 64) - 1], np.uint64))).tolist() == [7, 7, (1 << 64) - 1]
+    keys = np.sort(rng.integers(0, 1 << 64, 3000, dtype=np.uint64))
+    assert len(lm._pack_keys(keys)) < 8 * len(keys)
+
+
+def test_stored_tokens_come_back():
+    t = lm._sorted_table(lm.tokens(pa.array(["the end of the end", None, "  ", "the"], pa.string())))
+    assert (np.diff(t.table.astype(object)) > 0).all()
+    row = {"ends": np.bincount(t.owner).astype(np.int64).tobytes(), "table": lm._pack_keys(t.table), "code": b"\x01" + t.code.astype(np.uint8).tobytes()}
+    got = lm._stored_tokens(row)
+    assert (got.owner.tolist(), got.word.tolist(), got.context.tolist()) == (t.owner.tolist(), t.word.tolist(), t.context.tolist())
+
+
+def test_shards_store_little_and_leave_nothing(spark, monkeypatch):
+    """Bytes stored for the passes over the shards, and those that are left when the scores are there."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    text = docs.selectExpr("sum(octet_length(text))").first()[0]
+    base = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "bloom_lm"
+    stored = lambda: sum(p.stat().st_size for p in base.rglob("*.parquet"))
+    before, seen, whole = stored(), [], lm._shard
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1 << 17)
+    monkeypatch.setattr(lm, "_shard", lambda *a: seen.append(stored()) or whole(*a))
+    lm.score(docs, shard_bytes=60_000).count()
+    assert len(seen) >= 8 and seen[0] - before < 2 * text and all(a > b for a, b in zip(seen, seen[1:])) and stored() == before
